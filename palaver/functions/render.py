@@ -27,25 +27,20 @@ def message(m: Column, indent: str = "") -> Column:
         F.when(m["datetime"] != "", F.concat(F.lit(DASH), m["datetime"])).otherwise(""),
         F.when(m["is_bot"], F.lit(BOT)).otherwise(""),
     )
-    body = F.transform(F.split(m["text"], "\n", -1), lambda line: F.concat(pad, line))
+    body = F.replace(m["text"], F.lit("\n"), F.lit(f"\n{indent}")) if indent else m["text"]
     emojis = F.transform(
         m["reactions"], lambda r: F.concat(F.lit(":"), r["emoji"], F.lit(": ("), r["count"].cast("string"), F.lit(")"))
     )
     reacted = F.when(
-        F.size(m["reactions"]) > 0,
-        F.array(F.concat(pad, F.lit(REACTIONS), F.array_join(emojis, " ")), F.lit("")),
-    ).otherwise(_none())
+        F.size(m["reactions"]) > 0, F.concat(F.lit(f"\n{indent}{REACTIONS}"), F.array_join(emojis, " "), F.lit("\n"))
+    ).otherwise("")
+    shown = F.transform(
+        m["attachments"], lambda a: F.concat(F.lit(indent + ATTACHMENT), F.substring(a, 1, ATTACHMENT_CUT))
+    )
     attached = F.when(
-        F.size(m["attachments"]) > 0,
-        F.concat(
-            F.transform(
-                m["attachments"],
-                lambda a: F.concat(pad, F.lit(ATTACHMENT), F.substring(a, 1, ATTACHMENT_CUT)),
-            ),
-            F.array(F.lit("")),
-        ),
-    ).otherwise(_none())
-    return F.array_join(F.concat(F.array(header, F.lit("")), body, F.array(F.lit("")), reacted, attached), "\n")
+        F.size(m["attachments"]) > 0, F.concat(F.lit("\n"), F.array_join(shown, "\n"), F.lit("\n"))
+    ).otherwise("")
+    return F.concat(header, F.lit("\n\n"), pad, body, F.lit("\n"), reacted, attached)
 
 
 def replies_line(count: Column) -> Column:
@@ -57,10 +52,11 @@ def thread(parent: Column, replies: Column) -> Column:
     """Text of a thread held in one row (a page of :func:`palaver.operators.threads.nest`)."""
     nested = F.when(
         F.size(replies) > 0,
-        F.concat(F.array(replies_line(F.size(replies))), F.transform(replies, lambda r: message(r, REPLY_INDENT))),
-    ).otherwise(_none())
-    return F.array_join(F.concat(F.array(message(parent)), nested, F.array(F.lit(RULE), F.lit(""))), "\n")
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
+        F.concat(
+            F.lit("\n"),
+            replies_line(F.size(replies)),
+            F.lit("\n"),
+            F.array_join(F.transform(replies, lambda r: message(r, REPLY_INDENT)), "\n"),
+        ),
+    ).otherwise("")
+    return F.concat(message(parent), nested, F.lit(f"\n{RULE}\n"))

@@ -28,5 +28,8 @@ def first_number(text: Column) -> Column:
 
 def json_quote(text: Column) -> Column:
     """JSON string literal of a value; null gives ``null``."""
+    plain = ~text.rlike(r"[\x00-\x1f\"\\]")
     quoted = F.to_json(F.array(text), {"ignoreNullFields": "false"})
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+        F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    )

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from palaver.schema import UNKNOWN_MONTH
 
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_MONTH_WORD = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-_MONTH_FIRST = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,? +([0-9]{1,2})(?:st|nd|rd|th)?\b(?!:)"
-_DAY_FIRST = r"(?i)\b([0-9]{1,2})(?:st|nd|rd|th)? +(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-_CLOCK = r"(?i)(?<![0-9:])([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?: *([ap])\.?m)?"
-_ISO = r"\b([0-9]{4})-([0-9]{2})-([0-9]{2})"
-_SLASH = r"\b([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\b"
-_YEAR = r"\b([0-9]{4})\b"
+_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+_NUMBER = r"([0-9]{1,2})(?:st|nd|rd|th)?"
+_YEAR = r",? +([0-9]{4})\b"
+_MONTH_DAY = rf"(?i)\b{_MONTH},? +{_NUMBER}\b(?!:)"
+_DAY_MONTH = rf"(?i)\b{_NUMBER} +{_MONTH}"
+_ISO = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_SLASH = r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b"
+_CLOCK = r"(?i)(?<![0-9:])[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[ap]m\b)?"
 
 
 def id_datetime(timestamp: Column) -> Column:
@@ -38,38 +38,36 @@ def label_datetime(label: Column, captured_at: Column | None = None) -> Column:
     have no time, since the moment of the query must not decide the result.
     """
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(label, pattern, group).try_cast("int")
-
-    captured = captured_at.cast("timestamp") if captured_at is not None else F.lit(None).cast("timestamp")
-    month_at = F.instr(F.lit(_MONTHS), F.lower(F.regexp_extract(label, r"\b" + _MONTH_WORD, 1)))
-    has_word = label.rlike(_MONTH_FIRST) | label.rlike(_DAY_FIRST)
-    word_month = ((month_at + 2) / 3).cast("int")
-    word_day = F.coalesce(part(_MONTH_FIRST, 1), part(_DAY_FIRST, 1))
-    word_year = F.coalesce(part(_YEAR, 1), F.year(captured))
-
-    iso, slash, clock = label.rlike(_ISO), label.rlike(_SLASH), label.rlike(_CLOCK)
-    relative = F.when(label.rlike(r"(?i)\byesterday\b"), F.date_sub(captured, 1)).otherwise(F.to_date(captured))
-    year = F.when(iso, part(_ISO, 1)).when(slash, part(_SLASH, 3)).when(has_word, word_year).otherwise(F.year(relative))
-    month = (
-        F.when(iso, part(_ISO, 2)).when(slash, part(_SLASH, 1)).when(has_word, word_month).otherwise(F.month(relative))
+    def reordered(pattern: str, order: str, *tail: Column) -> Column:
+        """``15 Jan 2025`` out of the label, parsed as a date."""
+        text = F.concat(F.regexp_replace(label, f"^.*?{pattern}.*$", order), *tail)
+        return F.try_to_timestamp(text, F.lit("d MMM yyyy")).cast("date").cast("string")
+
+    # One branch applies per label, so a label costs few matches.
+    day = (
+        F.when(label.rlike(_MONTH_DAY + _YEAR), reordered(_MONTH_DAY + _YEAR, "$2 $1 $3"))
+        .when(label.rlike(_ISO), F.regexp_extract(label, _ISO, 0))
+        .when(label.rlike(_SLASH), F.try_to_timestamp(F.regexp_extract(label, _SLASH, 0), F.lit("M/d/yyyy")).cast("date").cast("string"))
+        .when(label.rlike(_DAY_MONTH + _YEAR), reordered(_DAY_MONTH + _YEAR, "$1 $2 $3"))
     )
-    day = F.when(iso, part(_ISO, 3)).when(slash, part(_SLASH, 2)).when(has_word, word_day).otherwise(F.day(relative))
-
-    half = F.lower(F.regexp_extract(label, _CLOCK, 4))
-    hour = part(_CLOCK, 1)
-    hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
-    usable = iso | slash | has_word | clock
+    if captured_at is not None:
+        captured = captured_at.cast("timestamp")
+        year = F.year(captured).cast("string")
+        back = F.when(label.rlike(r"(?i)\byesterday\b"), 1).otherwise(0)
+        day = (
+            day.when(label.rlike(_MONTH_DAY), reordered(_MONTH_DAY, "$2 $1 ", year))
+            .when(label.rlike(_DAY_MONTH), reordered(_DAY_MONTH, "$1 $2 ", year))
+            .when(label.rlike(_CLOCK), F.date_sub(captured, back).cast("string"))
+        )
+    clock = F.regexp_extract(label, _CLOCK, 0)
     return F.when(
-        usable,
-        F.try_make_timestamp(
-            year,
-            month,
-            day,
-            F.coalesce(hour, F.lit(0)),
-            F.coalesce(part(_CLOCK, 2), F.lit(0)),
-            F.coalesce(part(_CLOCK, 3), F.lit(0)).cast("decimal(8,6)"),
-        ),
+        label.rlike("[0-9]"),
+        F.when(clock == "", day.try_cast("timestamp"))
+        .when(
+            F.lower(clock).endswith("m"),
+            F.try_to_timestamp(F.concat(day, F.lit(" "), F.upper(clock)), F.lit("yyyy-MM-dd h:mm[:ss][ ]a")),
+        )
+        .otherwise(F.concat(day, F.lit(" "), clock).try_cast("timestamp")),
     )
 
 

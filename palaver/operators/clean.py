@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,8 +80,9 @@ def date_bounds(
         if low:
             inside = inside & (moment >= times.literal(low))
         if high:
-            inside = inside & (F.to_date(moment) <= F.lit(high.date().isoformat()).cast("date"))
-        return moment.isNull() | inside
+            day_after = datetime.combine(high.date() + timedelta(days=1), time())
+            inside = inside & (moment < times.literal(day_after))
+        return F.coalesce(inside, F.lit(True))
 
     if not (low or high):
         return messages

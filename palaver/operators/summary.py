@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import times
@@ -15,13 +15,14 @@ def with_month(messages: DataFrame, captured_at: str | None = None) -> DataFrame
     return messages.withColumn("month", times.month_key(moment))
 
 
-def month_totals(messages: DataFrame, expand_threads: bool = True) -> DataFrame:
-    """Per month and channel: threads (by parent date), standalone messages, their sum."""
+def month_totals(messages: DataFrame, expand_threads: bool = True, *more: Column) -> DataFrame:
+    """Per month and channel: threads (by parent date), standalone messages, their sum, and ``more`` aggregates."""
     is_parent = (F.coalesce("reply_count", F.lit(0)) > 0) if expand_threads else F.lit(False)
     return messages.groupBy("month", "channel").agg(
         F.count_if(is_parent).alias("n_threads"),
         F.count_if(~is_parent).alias("n_standalone"),
         F.count(F.lit(1)).alias("total_messages"),
+        *more,
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators import clean, progress as progress_ops, threads
+from palaver.session import shared_folder
 from palaver.schema import CHANNELS, FORMAT_VERSION, REPLIES
 
 SEARCH_NAME_CUT = 20
@@ -92,9 +93,13 @@ def channel_export(
     exported: DataFrame | None = None,
     mode: str = "anti_join",
     captured_at: str | None = None,
+    store: bool = False,
 ) -> Export:
     """Export of the requested channels (all when none are named).
 
+    ``store`` writes the cleaned messages and their replies once to the shared folder.
+    Sinks that render documents read them several times, each time other columns.
+
     With ``progress`` completed channels are left out and the rest is resumed:
     ``mode="anti_join"`` keeps everything not in ``exported``, ``mode="high_water"``
     keeps ids above the saved mark and so loses older history not yet read.
@@ -109,17 +114,25 @@ def channel_export(
     if exported is not None and mode == "anti_join":
         source = progress_ops.not_exported(source, exported)
     kept = clean_messages(source, channels, oldest, newest, exclude_bots, captured_at)
+    if store:
+        kept = stored(kept, "messages")
     if expand_threads:
         found = threads.thread_replies(replies, threads.parents(kept), exclude_bots)
+        if store:
+            found = stored(found, "replies")
     else:
         found = replies.filter(F.lit(False))
-    if channels:
-        meta = channel_table(messages.sparkSession, channels)
-    else:
-        meta = channels_found(messages)
+    meta = channel_table(messages.sparkSession, channels) if channels else channels_found(kept)
     return Export(kept, found, meta, expand_threads=expand_threads)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and go on from the written copy."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def search_export(
     messages: DataFrame,
     query: str,

@@ -48,10 +48,10 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
         tie = F.concat_ws("/", "source_channel", F.lpad(F.col("seq").cast("string"), 20, "0"))
     top = top.withColumn("tie", tie)
 
-    totals = threads.reply_totals(export.replies)
+    found = threads.reply_totals(export.replies)
     placed = (
         top.withColumn("parent_ts", F.col("timestamp"))
-        .join(totals, ["channel", "parent_ts"], "left")
+        .join(found, ["channel", "parent_ts"], "left")
         .withColumn("n_replies", F.coalesce("n_replies", F.lit(0)))
     )
     message = threads.message_struct().alias("m")
@@ -79,13 +79,13 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
         message,
     )
 
-    counted = summary.month_totals(top, export.expand_threads)
-    ends = top.groupBy(*_BUCKET).agg(
+    totals = summary.month_totals(
+        top,
+        export.expand_threads,
         F.max(F.when(F.col("is_parent"), F.col("timestamp"))).alias("last_thread"),
         F.max(F.when(~F.col("is_parent"), F.struct("timestamp", "tie"))).alias("last_standalone"),
     )
-    totals_and_ends = counted.join(ends, _BUCKET)
-    heads = summary.attach_channels(totals_and_ends, export.channels, keep_empty=not split_by)
+    heads = summary.attach_channels(totals, export.channels, keep_empty=not split_by)
     heads = heads.withColumn("month", F.coalesce("month", F.lit(""))).withColumn(
         "channel_pos", F.coalesce("channel_pos", F.lit(0))
     )
@@ -95,14 +95,13 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
 def _documents(heads: DataFrame, split_by: str | None) -> DataFrame:
     """``month, n_channels, leading, last_channel``; an unsplit export is a document even without channels."""
     order = Window.partitionBy("month").orderBy("channel_pos", "channel")
-    leading = heads.withColumn("_rank", F.row_number().over(order)).filter("_rank <= 3")
-    names = leading.groupBy("month").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_rank", "channel"))), lambda s: s["channel"]).alias("leading")
+    ranked = heads.withColumn("_rank", F.row_number().over(order))
+    first_three = F.collect_list(F.when(F.col("_rank") <= 3, F.struct("_rank", "channel")))
+    documents = ranked.groupBy("month").agg(
+        F.transform(F.sort_array(first_three), lambda s: s["channel"]).alias("leading"),
+        F.count(F.lit(1)).alias("n_channels"),
+        F.max(F.struct("channel_pos", "channel")).alias("last_channel"),
     )
-    sizes = heads.groupBy("month").agg(
-        F.count(F.lit(1)).alias("n_channels"), F.max(F.struct("channel_pos", "channel")).alias("last_channel")
-    )
-    documents = names.join(sizes, "month")
     if not split_by:
         only = heads.sparkSession.range(1).select(F.lit("").alias("month"))
         documents = only.join(documents, "month", "left").fillna(0, "n_channels")

@@ -697,7 +697,7 @@ stems AS (SELECT "month", regexp_replace(string_agg(channel, '_' ORDER BY channe
 SELECT * FROM blocks""",
 )
 def document_blocks(spark, folder):
-    export = _order_export(spark, folder)
+    export = _order_export(spark, folder, store=True)
     blocks = lay.markdown_blocks(export, lay.lay_out(export, "month"), "Chat archive")
     return blocks.select("month", "channel", "section", "thread_ts", "pos", "text")
 
@@ -722,7 +722,7 @@ SELECT "year", stem, line, count(*) AS n FROM (
 def markdown_sink(spark, folder):
     """Documents written to the shared folder and read back line by line."""
     path = shared_folder(spark, "markdown")
-    text_sink.write_markdown(_order_export(spark, folder), path, split_by="month", title="Chat archive")
+    text_sink.write_markdown(_order_export(spark, folder, store=True), path, split_by="month", title="Chat archive")
     lines = spark.read.option("basePath", path).schema("value string, year string, stem string").text(path)
     return lines.groupBy("year", "stem", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -759,7 +759,7 @@ SELECT "month", count(*) FILTER (reply_count > 0) AS n_threads, count(*) FILTER
 def json_lines_sink(spark, folder):
     """Records written to the shared folder and read back as JSON with a schema."""
     path = shared_folder(spark, "json")
-    row_sink.write_json_lines(_order_export(spark, folder), path)
+    row_sink.write_json_lines(_order_export(spark, folder, store=True), path)
     schema = "replies array<struct<user:string>>, reply_count int, year string, month string"
     found = spark.read.schema(schema).json(f"{path}/threads").select("month", F.size("replies").alias("n"), F.lit(1).alias("t"))
     single = spark.read.schema("user string, year string, month string").json(f"{path}/standalone").select("month", F.lit(0).alias("n"), F.lit(0).alias("t"))
@@ -771,7 +771,7 @@ def json_lines_sink(spark, folder):
 @register("json_document")
 def json_document(spark, folder):
     """Blocks of the nested, indented JSON document of the whole export."""
-    export = _order_export(spark, folder)
+    export = _order_export(spark, folder, store=True)
     return lay.json_blocks(export, lay.lay_out(export))
 
 

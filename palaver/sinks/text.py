@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palaver.functions.times import year_of
@@ -46,8 +46,6 @@ def write_blocks(
     channel is cut into several tasks and part files; the parts of a stem in name
     order, one after the other, are the document.
     """
-    if laid.documents.isEmpty():
-        return False
     folders = ["year", "stem"]
     named = blocks.join(lay.stems(laid.documents, template, date, suffix), "month").withColumn(
         "year", year_of(F.col("month"))
@@ -56,12 +54,14 @@ def write_blocks(
         folders = ["stem"]
         named = named.drop("year")
     order = [*folders, *lay.SORT_KEY]
+    written = Observation()
     (
-        named.repartitionByRange(*order)
+        named.observe(written, F.count(F.lit(1)).alias("blocks"))
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(*folders, "text")
         .write.mode(mode)
         .partitionBy(*folders)
         .text(path)
     )
-    return True
+    return written.get["blocks"] > 0
