@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.times import year_of
@@ -19,7 +19,7 @@ def write_markdown(
     title: str = "Export",
     mode: str = "overwrite",
 ) -> bool:
-    """Markdown below ``path``; returns whether there was anything to write."""
+    """Markdown below ``path``; returns whether ``path`` now holds a document."""
     laid = lay.lay_out(export, split_by)
     return write_blocks(lay.markdown_blocks(export, laid, title), laid, path, template, date, ".md", mode)
 
@@ -54,14 +54,12 @@ def write_blocks(
         folders = ["stem"]
         named = named.drop("year")
     order = [*folders, *lay.SORT_KEY]
-    written = Observation()
     (
-        named.observe(written, F.count(F.lit(1)).alias("blocks"))
-        .repartitionByRange(*order)
+        named.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(*folders, "text")
         .write.mode(mode)
         .partitionBy(*folders)
         .text(path)
     )
-    return written.get["blocks"] > 0
+    return not blocks.sparkSession.read.text(path).isEmpty()
