@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palaver.functions.text import html_escape
+
 # The layout of the Markdown export.
 DASH = " — "
 BOT = " (bot)"
@@ -60,3 +62,40 @@ def thread(parent: Column, replies: Column) -> Column:
         ),
     ).otherwise("")
     return F.concat(message(parent), nested, F.lit(f"\n{RULE}\n"))
+
+
+def html_message(m: Column) -> Column:
+    """A message as HTML paragraphs."""
+    emojis = F.transform(
+        m["reactions"], lambda r: F.concat(F.lit(":"), r["emoji"], F.lit(": ("), r["count"].cast("string"), F.lit(")"))
+    )
+    files = F.transform(m["attachments"], lambda a: F.concat(F.lit("<li>"), html_escape(a), F.lit("</li>")))
+    return F.concat(
+        F.lit("<p><b>"),
+        html_escape(m["user"]),
+        F.lit("</b>"),
+        F.when(m["datetime"] != "", F.concat(F.lit(DASH), html_escape(m["datetime"]))).otherwise(""),
+        F.when(m["is_bot"], F.lit(BOT)).otherwise(""),
+        F.lit("</p><p>"),
+        F.replace(html_escape(m["text"]), F.lit("\n"), F.lit("<br>")),
+        F.lit("</p>"),
+        F.when(
+            F.size(m["reactions"]) > 0,
+            F.concat(F.lit(f"<p>{REACTIONS}"), html_escape(F.array_join(emojis, " ")), F.lit("</p>")),
+        ).otherwise(""),
+        F.when(
+            F.size(m["attachments"]) > 0, F.concat(F.lit("<ul>"), F.array_join(files, ""), F.lit("</ul>"))
+        ).otherwise(""),
+    )
+
+
+def plain_message(m: Column, indent: str = "") -> Column:
+    """A message as ``user [time] (bot): text``, further lines indented."""
+    return F.concat(
+        F.lit(indent),
+        m["user"],
+        F.when(m["datetime"] != "", F.concat(F.lit(" ["), m["datetime"], F.lit("]"))).otherwise(""),
+        F.when(m["is_bot"], F.lit(BOT)).otherwise(""),
+        F.lit(": "),
+        F.replace(m["text"], F.lit("\n"), F.lit(f"\n{indent}  ")),
+    )

@@ -21,6 +21,12 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
+def html_escape(text: Column) -> Column:
+    for value, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(value), F.lit(entity))
+    return text
+
+
 def first_number(text: Column) -> Column:
     """First run of digits as int, else 0. ``1,234 replies`` gives 1."""
     return F.coalesce(F.regexp_extract(text, r"([0-9]+)", 1).try_cast("int"), F.lit(0))

@@ -21,6 +21,7 @@ class Export:
 
     ``messages`` are the surviving top-level messages, ``replies`` the long table of
     their replies, ``channels`` the requested channels with their run metadata.
+    ``store`` tells that the tables are written copies and intermediate ones may be too.
     """
 
     messages: DataFrame
@@ -30,6 +31,7 @@ class Export:
     export_date: str = ""
     format_version: str = FORMAT_VERSION
     expand_threads: bool = True
+    store: bool = False
 
     @property
     def parents(self) -> DataFrame:
@@ -123,7 +125,7 @@ def channel_export(
     else:
         found = replies.filter(F.lit(False))
     meta = channel_table(messages.sparkSession, channels) if channels else channels_found(kept)
-    return Export(kept, found, meta, expand_threads=expand_threads)
+    return Export(kept, found, meta, expand_threads=expand_threads, store=store)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import jsontext, render
-from palaver.functions.text import json_quote
+from palaver.functions.text import html_escape, json_quote
 from palaver.operators import summary, threads
-from palaver.plans.export import Export
+from palaver.plans.export import Export, stored
 
 SORT_KEY = ("month", "channel_pos", "channel", "section", "thread_ts", "tie", "pos")
 
@@ -89,6 +89,9 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
     heads = heads.withColumn("month", F.coalesce("month", F.lit(""))).withColumn(
         "channel_pos", F.coalesce("channel_pos", F.lit(0))
     )
+    if export.store:
+        # Read several times below; as a file its size is known, so Spark can judge a broadcast.
+        heads = stored(heads, "heads")
     return Layout(top_rows.unionByName(reply_rows), heads, _documents(heads, split_by), split_by)
 
 
@@ -154,7 +157,6 @@ def markdown_blocks(export: Export, layout: Layout, title: str = "Export") -> Da
     )
     m = F.col("m")
     is_parent_row = F.col("pos") == _FIRST
-    ends_here = F.when(is_parent_row, F.col("n_replies") == 0).otherwise(F.col("pos") == F.col("last_pos"))
     body = F.when(
         is_parent_row,
         F.concat(
@@ -165,11 +167,57 @@ def markdown_blocks(export: Export, layout: Layout, title: str = "Export") -> Da
             ).otherwise(""),
         ),
     ).otherwise(render.message(m, render.REPLY_INDENT))
-    closing = F.when((F.col("section") == _STANDALONE) | ends_here, F.lit(f"\n{render.RULE}\n")).otherwise("")
+    closing = F.when((F.col("section") == _STANDALONE) | _ends_thread(), F.lit(f"\n{render.RULE}\n")).otherwise("")
     content = _with_position(layout.rows, heads).select(*SORT_KEY, F.concat(body, closing).alias("text"))
     return export_head.unionByName(channel_head).unionByName(content).unionByName(other)
 
 
+def html_blocks(export: Export, layout: Layout, title: str = "Export") -> DataFrame:
+    """Blocks of a static page per document; a thread is an article with its replies quoted."""
+    named, workspace, date = (html_escape(F.lit(v)) for v in (title, export.workspace, export.export_date))
+    opening = F.concat(
+        F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), named, F.lit("</title></head><body>\n<h1>"),
+        named, F.lit(" — "), workspace, F.lit("</h1><p>Exported: "), date, F.lit("</p>"),
+    )
+    channel = F.concat(
+        F.lit("<section><h2>#"), html_escape(F.col("channel")), F.lit("</h2><p>"), F.col("total_messages").cast("string"),
+        F.lit(" messages | Status: "), html_escape(F.col("status")), F.lit("</p>"),
+    )
+    text = render.html_message(F.col("m"))
+    start = F.concat(F.lit('<article id="'), html_escape(F.col("thread_ts")), F.lit('">'))
+    body = F.when(F.col("pos") == _FIRST, F.concat(start, text)).otherwise(
+        F.concat(F.lit("<blockquote>"), text, F.lit("</blockquote>"))
+    )
+    closing = F.when((F.col("section") == _STANDALONE) | _ends_thread(), F.lit("</article>")).otherwise("")
+    blocks = _edges(layout.documents, _EXPORT_HEAD, _FIRST, opening)
+    for part in (
+        _from_heads(layout.heads, _CHANNEL_HEAD, channel),
+        _with_position(layout.rows, layout.heads).select(*SORT_KEY, F.concat(body, closing).alias("text")),
+        _from_heads(layout.heads, _CHANNEL_TAIL, F.lit("</section>")),
+        _edges(layout.documents, _EXPORT_TAIL, _LAST, F.lit("</body></html>")),
+    ):
+        blocks = blocks.unionByName(part)
+    return blocks
+
+
+def plain_blocks(export: Export, layout: Layout, title: str = "Export") -> DataFrame:
+    """Plain text: a line per message, replies indented below their parent."""
+    opening = F.lit(f"{title} - {export.workspace} - {export.export_date}")
+    channel = F.concat(F.lit("#"), F.col("channel"), F.lit(" ("), F.col("total_messages").cast("string"), F.lit(" messages)"))
+    m = F.col("m")
+    line = F.when(F.col("pos") == _FIRST, render.plain_message(m)).otherwise(render.plain_message(m, "    "))
+    return (
+        _edges(layout.documents, _EXPORT_HEAD, _FIRST, opening)
+        .unionByName(_from_heads(layout.heads, _CHANNEL_HEAD, channel))
+        .unionByName(_with_position(layout.rows, layout.heads).select(*SORT_KEY, line.alias("text")))
+    )
+
+
+def _ends_thread() -> Column:
+    """The row closes its thread: the last reply, or a parent without replies."""
+    return F.when(F.col("pos") == _FIRST, F.col("n_replies") == 0).otherwise(F.col("pos") == F.col("last_pos"))
+
+
 def json_blocks(export: Export, layout: Layout) -> DataFrame:
     """Blocks of the nested JSON document (two spaces per level), rows ``SORT_KEY + text``."""
     heads = layout.heads.join(layout.documents.select("month", "last_channel"), "month").withColumn(

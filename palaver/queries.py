@@ -629,6 +629,18 @@ def parse_reactions(spark, folder):
     return found.select("timestamp", F.inline("reactions")).withColumn("count", F.col("count").cast("bigint"))
 
 
+@register(
+    "parse_panels",
+    f"""WITH {TALKS}
+SELECT parent_ts, turn AS pos, "user", text, ts AS "timestamp", is_bot FROM c WHERE turn > 0""",
+)
+def parse_panels(spark, folder):
+    """Replies read from saved thread panels."""
+    panels = a.panels_from_conversations(a.table(spark, folder, "conversations"))
+    found = snapshots.parse_panels(panels)
+    return found.select("parent_ts", F.col("pos").cast("bigint").alias("pos"), "user", "text", "timestamp", "is_bot")
+
+
 # --- rendering and sinks --------------------------------------------------------------------
 
 MESSAGE_MD = """'**'||{u}||'**'||CASE WHEN {bot} THEN ' (bot)' ELSE '' END||chr(10)||chr(10)||{text}||chr(10)"""
@@ -768,11 +780,125 @@ def json_lines_sink(spark, folder):
     )
 
 
-@register("json_document")
+@register(
+    "export_channel_records",
+    f"""WITH {ORDERS}
+SELECT channel, to_json({{'channel': channel, 'status': 'completed', 'export_started': '', 'export_finished': '',
+  'total_messages': count(*), 'workspace': 'https://example.org', 'export_date': '2024-07-01T10:00:00',
+  'format_version': '1.0'}}) AS record FROM p GROUP BY channel""",
+)
+def export_channel_records(spark, folder):
+    """Channel records next to the run's manifest."""
+    export = _order_export(spark, folder)
+    record = "struct<channel:string,status:string,export_started:string,export_finished:string,total_messages:bigint>"
+    channels = row_sink.channel_records(export).select("channel", F.from_json("record", record).alias("r"))
+    manifest = [row_sink.manifest(export).select(c).scalar().alias(c) for c in ("workspace", "export_date", "format_version")]
+    both = F.struct(F.expr("r.channel"), F.expr("r.status"), F.expr("r.export_started"), F.expr("r.export_finished"), F.expr("r.total_messages"), *manifest)
+    return channels.select("channel", F.to_json(both).alias("record"))
+
+
+@register(
+    "xml_sink",
+    f"""WITH {ORDERS}
+SELECT channel, p.ts AS parent_ts, count(*) AS n_replies, p.reply_count FROM p JOIN r USING (channel)
+WHERE p.ts = r.parent_ts GROUP BY channel, p.ts, p.reply_count""",
+)
+def xml_sink(spark, folder):
+    """Threads written as XML to the shared folder and read back."""
+    path = shared_folder(spark, "xml")
+    row_sink.write_xml(_order_export(spark, folder, store=True), path)
+    schema = "channel string, parent struct<timestamp:string>, replies array<struct<user:string>>, reply_count bigint"
+    found = spark.read.format("xml").option("rowTag", "thread").schema(schema).load(f"{path}/threads")
+    return found.select("channel", F.col("parent.timestamp").alias("parent_ts"), F.size("replies").cast("bigint").alias("n_replies"), "reply_count")
+
+
+HTML_MESSAGE = """'<p><b>'||"user"||'</b>'||CASE WHEN is_bot THEN ' (bot)' ELSE '' END||'</p><p>'||text||'</p>'"""
+
+
+@register(
+    "html_pages",
+    f"""WITH {ORDERS}, {BLOCKS}
+SELECT "month", channel, section, thread_ts, pos, text FROM (
+  SELECT "month", '' AS channel, 0 AS section, '' AS thread_ts, -1 AS pos,
+     '<!DOCTYPE html>'||chr(10)||'<html><head><meta charset="utf-8"><title>Chat archive</title></head><body>'||chr(10)
+     ||'<h1>Chat archive — https://example.org</h1><p>Exported: 2024-07-01T10:00:00</p>' AS text FROM s GROUP BY "month"
+  UNION ALL SELECT "month", channel, 1, '', -1, '<section><h2>#'||channel||'</h2><p>'||total||' messages | Status: completed</p>' FROM s
+  UNION ALL SELECT "month", channel, CASE WHEN reply_count > 0 THEN 2 ELSE 4 END, ts, -1,
+     '<article id="'||ts||'">'||{HTML_MESSAGE}||CASE WHEN reply_count > 0 THEN '' ELSE '</article>' END FROM p
+  UNION ALL SELECT "month", r.channel, 2, r.parent_ts, pos, '<blockquote>'||{HTML_MESSAGE}||'</blockquote>'
+     ||CASE WHEN pos = last_pos THEN '</article>' ELSE '' END
+  FROM r JOIN k ON r.channel = k.channel AND r.parent_ts = k.parent_ts
+  UNION ALL SELECT "month", channel, 5, '', -1, '</section>' FROM s
+  UNION ALL SELECT "month", '', 6, '', -1, '</body></html>' FROM s GROUP BY "month")""",
+)
+def html_pages(spark, folder):
+    export = _order_export(spark, folder, store=True)
+    blocks = lay.html_blocks(export, lay.lay_out(export, "month"), "Chat archive")
+    return blocks.select("month", "channel", "section", "thread_ts", "pos", "text")
+
+
+@register(
+    "plain_text",
+    f"""WITH {TALKS}, n AS (SELECT count(*) AS n FROM c WHERE turn = 0)
+SELECT '' AS thread_ts, -1 AS pos, 'Talks - https://example.org - 2024-07-01' AS text
+UNION ALL SELECT '', -1, '#conversations ('||n||' messages)' FROM n
+UNION ALL SELECT parent_ts, CASE WHEN turn = 0 THEN -1 ELSE turn END,
+  CASE WHEN turn = 0 THEN '' ELSE '    ' END||"user"||CASE WHEN is_bot THEN ' (bot)' ELSE '' END||': '
+  ||replace(text, chr(10), chr(10)||CASE WHEN turn = 0 THEN '  ' ELSE '      ' END) FROM c""",
+)
+def plain_text(spark, folder):
+    export = plans.channel_export(*_talks(spark, folder)).dated("https://example.org", "2024-07-01")
+    return lay.plain_blocks(export, lay.lay_out(export), "Talks").select("thread_ts", "pos", "text")
+
+
+def _json_members(row: str, pad: str) -> str:
+    """SQL for the members of a message without reactions and attachments."""
+    members = [
+        ("user", f"'\"'||{row}.\"user\"||'\"'"), ("text", f"'\"'||{row}.text||'\"'"), ("timestamp", f"'\"'||{row}.ts||'\"'"),
+        ("datetime", "'\"\"'"), ("reactions", "'[]'"), ("is_bot", f"CAST({row}.is_bot AS VARCHAR)"), ("attachments", "'[]'"),
+    ]
+    return "||','||chr(10)||".join(f"'{pad}\"{name}\": '||{value}" for name, value in members)
+
+
+def _json_lines(*lines: str) -> str:
+    return "||chr(10)||".join("'" + line + "'" for line in lines)
+
+
+JSON_DOCUMENT = f"""
+s AS (SELECT channel, count(*) FILTER (reply_count > 0) AS n_threads, count(*) FILTER (reply_count = 0) AS n_standalone,
+             count(*) AS total, max(ts) FILTER (reply_count > 0) AS last_thread, max(ts) FILTER (reply_count = 0) AS last_single,
+             CASE WHEN channel = (SELECT max(channel) FROM p) THEN '' ELSE ',' END AS comma FROM p GROUP BY channel),
+k AS (SELECT channel, parent_ts, max(pos) AS last_pos FROM r GROUP BY ALL),
+doc AS (
+  SELECT '' AS channel, 0 AS section, '' AS thread_ts, -1 AS pos, {_json_lines(
+      '{', '  "workspace": "https://example.org",', '  "export_date": "2024-07-01T10:00:00",', '  "format_version": "1.0",', '  "channels": [')} AS text
+  UNION ALL SELECT channel, 1, '', -1, {_json_lines('    {', '      "channel": "')}||channel||{_json_lines(
+      '",', '      "status": "completed",', '      "export_started": "",', '      "export_finished": "",', '      "total_messages": ')}||total
+      ||CASE WHEN n_threads > 0 THEN {_json_lines(',', '      "threads": [')} ELSE {_json_lines(',', '      "threads": [],')} END FROM s
+  UNION ALL SELECT p.channel, 2, p.ts, -1, {_json_lines('        {', '          "parent": {', '')}||{_json_members('p', ' ' * 12)}
+      ||{_json_lines('', '          },', '          "replies": [')} FROM p WHERE reply_count > 0
+  UNION ALL SELECT r.channel, 2, r.parent_ts, r.pos, {_json_lines('            {', '')}||{_json_members('r', ' ' * 14)}
+      ||{_json_lines('', '            }')}||CASE WHEN r.pos < k.last_pos THEN ',' ELSE
+        {_json_lines('', '          ],', '          "reply_count": ')}||p.reply_count||{_json_lines('', '        }')}
+        ||CASE WHEN p.ts = s.last_thread THEN '' ELSE ',' END END
+    FROM r JOIN k USING (channel, parent_ts) JOIN p ON p.channel = r.channel AND p.ts = r.parent_ts JOIN s ON s.channel = r.channel
+  UNION ALL SELECT channel, 3, '', -1, CASE WHEN n_threads > 0 THEN {_json_lines('      ],', '')} ELSE '' END
+      ||CASE WHEN n_standalone > 0 THEN '      "standalone_messages": [' ELSE {_json_lines('      "standalone_messages": []', '    }')}||comma END FROM s
+  UNION ALL SELECT p.channel, 4, p.ts, -1, {_json_lines('        {', '')}||{_json_members('p', ' ' * 10)}||{_json_lines('', '        }')}
+      ||CASE WHEN p.ts = s.last_single THEN '' ELSE ',' END FROM p JOIN s USING (channel) WHERE p.reply_count = 0
+  UNION ALL SELECT channel, 5, '', -1, {_json_lines('      ]', '    }')}||comma FROM s WHERE n_standalone > 0
+  UNION ALL SELECT '', 6, '', -1, {_json_lines('  ]', '}')})"""
+
+
+@register(
+    "json_document",
+    f"""WITH {ORDERS}, {JSON_DOCUMENT}
+SELECT channel, section, thread_ts, pos, text FROM doc""",
+)
 def json_document(spark, folder):
     """Blocks of the nested, indented JSON document of the whole export."""
     export = _order_export(spark, folder, store=True)
-    return lay.json_blocks(export, lay.lay_out(export))
+    return lay.json_blocks(export, lay.lay_out(export)).select("channel", "section", "thread_ts", "pos", "text")
 
 
 # --- streaming ------------------------------------------------------------------------------
@@ -810,6 +936,22 @@ def stream_lossless(spark, folder):
     return spark.read.parquet(f"{base}/messages").select("channel", "timestamp", "user", "text")
 
 
+@register(
+    "stream_replies",
+    f"""WITH {TALKS}
+SELECT parent_ts, turn AS pos, "user" FROM c WHERE turn > 0""",
+)
+def stream_replies(spark, folder):
+    """Thread replies ingested twice; the stored table has each once."""
+    schema = a.table(spark, folder, "conversations").schema
+    talks = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
+    base = shared_folder(spark, "stream")
+    source = a.replies_from_conversations(talks)
+    for run in ("first", "again"):
+        stream.ingest_replies(source, f"{base}/replies", f"{base}/{run}").awaitTermination()
+    return spark.read.parquet(f"{base}/replies").select("parent_ts", F.col("pos").cast("bigint").alias("pos"), "user")
+
+
 @register(
     "stream_counters",
     f"""WITH {EVENTS}

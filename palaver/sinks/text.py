@@ -37,6 +37,34 @@ def write_json(
     return write_blocks(lay.json_blocks(export, laid), laid, path, template, date, ".json", mode)
 
 
+def write_html(
+    export: Export,
+    path: str,
+    split_by: str | None = None,
+    template: str = "{channel}_{date}",
+    date: str = "",
+    title: str = "Export",
+    mode: str = "overwrite",
+) -> bool:
+    """A static page per document."""
+    laid = lay.lay_out(export, split_by)
+    return write_blocks(lay.html_blocks(export, laid, title), laid, path, template, date, ".html", mode)
+
+
+def write_plain(
+    export: Export,
+    path: str,
+    split_by: str | None = None,
+    template: str = "{channel}_{date}",
+    date: str = "",
+    title: str = "Export",
+    mode: str = "overwrite",
+) -> bool:
+    """Plain text, a line per message."""
+    laid = lay.lay_out(export, split_by)
+    return write_blocks(lay.plain_blocks(export, laid, title), laid, path, template, date, ".txt", mode)
+
+
 def write_blocks(
     blocks: DataFrame, laid: lay.Layout, path: str, template: str, date: str, suffix: str, mode: str
 ) -> bool:

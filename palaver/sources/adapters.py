@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import html as h
+from palaver.functions.text import html_escape as escape
 from palaver.operators import clean, threads
 from palaver.schema import as_messages, as_replies
 
@@ -51,20 +52,29 @@ def messages_from_events(events: DataFrame, overlap: bool = False) -> DataFrame:
 
 def threads_from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One thread per conversation, turn 0 its parent; one conversation a day, one turn a minute."""
-    stamp = (F.lit(CONVERSATION_START) + F.col("conv_id") * DAY + F.col("turn") * MINUTE) * 1_000_000
+    found = replies_from_conversations(conversations)
+    top = as_messages(
+        conversations.filter("turn = 0"), seq=F.col("conv_id") * 1000 + F.col("turn"), **_turn_columns()
+    )
+    return threads.with_reply_counts(top, found), found
+
+
+def replies_from_conversations(conversations: DataFrame) -> DataFrame:
     parent_stamp = (F.lit(CONVERSATION_START) + F.col("conv_id") * DAY) * 1_000_000
-    common = {
+    return as_replies(
+        conversations.filter("turn > 0"), parent_ts=parent_stamp.cast("string"), pos=F.col("turn"), **_turn_columns()
+    )
+
+
+def _turn_columns() -> dict[str, Column]:
+    stamp = (F.lit(CONVERSATION_START) + F.col("conv_id") * DAY + F.col("turn") * MINUTE) * 1_000_000
+    return {
         "channel": F.lit("conversations"),
         "user": F.col("role"),
         "text": F.col("text"),
         "timestamp": stamp.cast("string"),
         "is_bot": F.col("role") == "assistant",
     }
-    found = as_replies(
-        conversations.filter("turn > 0"), parent_ts=parent_stamp.cast("string"), pos=F.col("turn"), **common
-    )
-    top = as_messages(conversations.filter("turn = 0"), seq=F.col("conv_id") * 1000 + F.col("turn"), **common)
-    return threads.with_reply_counts(top, found), found
 
 
 def threads_from_orders(orders: DataFrame, lineitem: DataFrame, shift: int = ORDER_SHIFT) -> tuple[DataFrame, DataFrame]:
@@ -149,6 +159,26 @@ def snapshots_from_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
+def panels_from_conversations(conversations: DataFrame) -> DataFrame:
+    """Saved thread panels of some turns each, the first item of a conversation being the parent."""
+    item = item_html(
+        user=F.col("role"),
+        text=F.col("text"),
+        message_id=(F.lit(CONVERSATION_START) + F.col("conv_id") * DAY + F.col("turn") * MINUTE) * 1_000_000,
+        label=F.concat(F.lit("Turn "), F.col("turn")),
+        is_bot=F.col("role") == "assistant",
+        reply_count=F.lit(0),
+    )
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("item")))), lambda i: i["item"])
+    pages = conversations.groupBy("conv_id", (F.col("turn") / PAGE_TURNS).cast("bigint").alias("page"))
+    return pages.agg(F.array_join(listed, "\n").alias("html"), F.min("turn").alias("first_pos")).select(
+        F.lit("conversations").alias("channel"),
+        ((F.lit(CONVERSATION_START) + F.col("conv_id") * DAY) * 1_000_000).cast("string").alias("parent_ts"),
+        "first_pos",
+        "html",
+    )
+
+
 def item_html(user: Column, text: Column, message_id: Column, label: Column, is_bot: Column, reply_count: Column) -> Column:
     """A message list item carrying the markers of :mod:`palaver.functions.html`."""
     return F.concat(
@@ -177,12 +207,6 @@ def item_html(user: Column, text: Column, message_id: Column, label: Column, is_
     )
 
 
-def escape(text: Column) -> Column:
-    for value, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(value), F.lit(entity))
-    return text
-
-
 def catalog_from_nation(nation: DataFrame, region: DataFrame) -> DataFrame:
     """Regions as sections, nations as channels; a later section repeats all channels, one more is empty."""
     listed = (

@@ -18,6 +18,7 @@ DOCUMENT = (
     "search_query string, created_at string, updated_at string, format string"
 )
 PAGE_SIZE = 1000
+CHANNELS_PER_DOCUMENT = 100
 
 
 def read_documents(spark: SparkSession, path: str, files: str = "*.json", lines: bool = False) -> DataFrame:
@@ -76,8 +77,8 @@ def write_documents(progress: DataFrame, expanded: DataFrame, path: str, page_si
     """Save runs as documents in the nested shape, one JSON line each.
 
     The expanded ids of a channel are spread by hash over enough documents to keep
-    each array near ``page_size``; reading merges them again. A run with few
-    expanded threads is a single document.
+    each array near ``page_size``, and so are the channels of a run; reading merges
+    them again. A run with few channels and expanded threads is a single document.
     """
     documents(progress, expanded, page_size).write.mode("overwrite").text(path)
     return path
@@ -95,14 +96,20 @@ def documents(progress: DataFrame, expanded: DataFrame, page_size: int = PAGE_SI
     # Page 0 always exists and so carries channels without expanded threads.
     first = progress.select(*keys, F.lit(0).cast("bigint").alias("page"))
     slots = first.unionByName(sliced.select(*keys, "page")).distinct()
-    entries = slots.join(progress, keys).join(sliced, [*keys, "page"], "left")
+    sizes = progress.groupBy("export_id").agg(F.ceil(F.count(F.lit(1)) / CHANNELS_PER_DOCUMENT).alias("_groups"))
+    entries = (
+        slots.join(progress, keys)
+        .join(sliced, [*keys, "page"], "left")
+        .join(sizes, "export_id")
+        .withColumn("group", F.pmod(F.xxhash64("channel"), F.col("_groups")))
+    )
     entry = F.struct(
         "status",
         "last_message_ts",
         "message_count",
         F.coalesce("expanded_threads", F.array().cast("array<string>")).alias("expanded_threads"),
     )
-    runs = entries.groupBy("export_id", "page").agg(
+    runs = entries.groupBy("export_id", "page", "group").agg(
         F.first("workspace_url").alias("workspace_url"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("channel", entry.alias("entry"))))).alias("channels"),
         F.first("search_query").alias("search_query"),
