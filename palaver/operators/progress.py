@@ -99,18 +99,18 @@ def add_expanded(expanded: DataFrame, parents: DataFrame, export_id: str) -> Dat
 
 def status(progress: DataFrame) -> DataFrame:
     """One row per run, newest first: ``completed/total completed``. Finished runs are listed too."""
-    runs = progress.groupBy("export_id").agg(
+    per_run = progress.groupBy("export_id").agg(
         F.first("workspace_url").alias("workspace"),
         F.count_if(F.col("status") == COMPLETED).alias("_done"),
         F.count("channel").alias("_total"),
         F.max("updated_at").alias("updated_at"),
         F.first("search_query").alias("search_query"),
     )
-    return runs.select(
+    return per_run.orderBy(F.desc("updated_at"), "export_id").select(
         "export_id",
         "workspace",
         F.format_string("%d/%d completed", "_done", "_total").alias("channels"),
         (F.col("_done") == F.col("_total")).alias("is_complete"),
         F.substring("updated_at", 1, 19).alias("updated"),
         "search_query",
-    ).orderBy(F.desc("updated"), "export_id")
+    )

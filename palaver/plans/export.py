@@ -44,6 +44,15 @@ class Export:
     def nested_threads(self, page_size: int = threads.PAGE_SIZE) -> DataFrame:
         return threads.nest(self.parents, self.replies, page_size)
 
+    def without_expanded(self, expanded: DataFrame) -> Export:
+        """The rest of a resumed run: threads whose replies are already saved are left out whole."""
+        ids = expanded.select("channel", "parent_ts")
+        return replace(
+            self,
+            messages=progress_ops.skip_expanded(self.messages, ids),
+            replies=self.replies.join(ids, ["channel", "parent_ts"], "left_anti"),
+        )
+
     def dated(self, workspace: str, export_date: str) -> Export:
         return replace(self, workspace=workspace, export_date=export_date)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def write_markdown(
     path: str,
     split_by: str | None = None,
     template: str = "{channel}_{date}",
-    date: str = "",
+    date: str | None = None,
     title: str = "Export",
     mode: str = "overwrite",
 ) -> bool:
@@ -29,7 +31,7 @@ def write_json(
     path: str,
     split_by: str | None = None,
     template: str = "{channel}_{date}",
-    date: str = "",
+    date: str | None = None,
     mode: str = "overwrite",
 ) -> bool:
     """The nested JSON document(s), two spaces per level, non-ASCII kept."""
@@ -42,7 +44,7 @@ def write_html(
     path: str,
     split_by: str | None = None,
     template: str = "{channel}_{date}",
-    date: str = "",
+    date: str | None = None,
     title: str = "Export",
     mode: str = "overwrite",
 ) -> bool:
@@ -56,7 +58,7 @@ def write_plain(
     path: str,
     split_by: str | None = None,
     template: str = "{channel}_{date}",
-    date: str = "",
+    date: str | None = None,
     title: str = "Export",
     mode: str = "overwrite",
 ) -> bool:
@@ -66,14 +68,16 @@ def write_plain(
 
 
 def write_blocks(
-    blocks: DataFrame, laid: lay.Layout, path: str, template: str, date: str, suffix: str, mode: str
+    blocks: DataFrame, laid: lay.Layout, path: str, template: str, date: str | None, suffix: str, mode: str
 ) -> bool:
     """Write blocks as ``[year=Y/]stem=<file name>/part-*``.
 
     Blocks are range-partitioned by the whole sort key, so one large month or
-    channel is cut into several tasks and part files; the parts of a stem in name
-    order, one after the other, are the document.
+    channel is cut into several tasks and part files; the parts of a stem by part
+    number, one after the other, are the document. ``date`` is today by default; in a
+    split export the month takes its place.
     """
+    date = datetime.now().strftime("%Y%m%d") if date is None else date
     folders = ["year", "stem"]
     named = blocks.join(lay.stems(laid.documents, template, date, suffix), "month").withColumn(
         "year", year_of(F.col("month"))

@@ -105,6 +105,30 @@ def test_written_documents(export, tmp_path):
     assert THREAD_MD in read_document(folder) and "#empty" not in read_document(folder)
 
 
+def test_html_and_plain_documents(export):
+    page = ordered(lay.html_blocks(export, lay.lay_out(export), "Chat & more"))
+    assert page.startswith('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>Chat &amp; more</title>')
+    assert '<article id="1234567890123456"><p><b>alice</b> — Jan 15, 2025 10:30 AM</p><p>Hello world</p><p>Reactions: :thumbsup: (3)</p>\n<blockquote>' in page
+    assert "<p>Hey!<br>You</p></blockquote>" in page and "Hi &quot;there&quot;" in page
+    assert page.count("<article") == page.count("</article>") == 2
+    assert page.count("<section>") == page.count("</section>") == 2 and page.endswith("</body></html>")
+    text = ordered(lay.plain_blocks(export, lay.lay_out(export), "Chat"))
+    assert text.split("\n") == [
+        "Chat - https://test - 2025-01-15T10:05:00", "#general (2 messages)",
+        "alice [Jan 15, 2025 10:30 AM]: Hello world", "    bob: Hey!", "      You", '    charlie (bot): Hi "there" \\ ü',
+        "dave: Standalone msg", "#empty (0 messages)",
+    ]
+
+
+def test_other_sinks_and_default_date(export, tmp_path):
+    from datetime import datetime
+
+    assert text_sink.write_html(export, str(tmp_path / "h")) and text_sink.write_plain(export, str(tmp_path / "p"))
+    today = datetime.now().strftime("%Y%m%d")
+    assert glob.glob(f"{tmp_path}/h/stem=*")[0].endswith(f"stem=general_empty_{today}.html")
+    assert glob.glob(f"{tmp_path}/p/stem=*")[0].endswith(f"stem=general_empty_{today}.txt")
+
+
 def test_large_document_is_cut_and_stays_in_order(spark, message_table, reply_table, tmp_path):
     """One thread holds most rows: its replies land in several part files, in order."""
     parent = "1234567890123456"

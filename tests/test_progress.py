@@ -64,6 +64,13 @@ def test_expanded_threads_are_a_set(spark, message_table):
     assert [r["timestamp"] for r in progress.skip_expanded(parents, twice).collect()] == ["2"]
 
 
+def test_rest_of_a_resumed_run(spark, general):
+    export = plans.channel_export(*general)
+    done = spark.createDataFrame([("run", "general", "1234567890123456")], schema.EXPANDED)
+    rest = export.without_expanded(done)
+    assert rest.parents.count() == 0 and rest.replies.count() == 0 and rest.standalone.count() == 1
+
+
 def test_newest_save_counts(saved, spark):
     later = saved.filter("channel = 'random' and export_id = 'cp1'").withColumn("updated_at", F.lit("2024-02-01")).withColumn("status", F.lit("completed"))
     rows = progress.latest(saved.unionByName(later)).filter("export_id = 'cp1'").collect()
