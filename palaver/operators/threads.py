@@ -75,7 +75,8 @@ def nest(parents: DataFrame, replies: DataFrame, page_size: int = PAGE_SIZE) ->
     Replies are grouped by ``(channel, parent_ts, pos div page_size)``, so no array
     exceeds a page and a huge thread spreads over many tasks. A thread below the page
     size is one row with page 0; longer ones continue in further rows, each naming
-    its parent. Parents without replies keep an empty array.
+    its parent. Parents without replies keep an empty array; replies of other messages
+    fall away in the join.
     """
     paged = replies.withColumn("page", F.floor(F.col("pos") / page_size).cast("bigint"))
     keys = [*_THREAD, "page"]

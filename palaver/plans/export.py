@@ -19,13 +19,15 @@ SEARCH_NAME_CUT = 20
 class Export:
     """Tables of one export run.
 
-    ``messages`` are the surviving top-level messages, ``replies`` the long table of
-    their replies, ``channels`` the requested channels with their run metadata.
+    ``messages`` are the surviving top-level messages, ``reply_source`` the long table
+    that holds their replies, ``channels`` the requested channels with their run metadata.
+    ``reply_source`` may hold replies of other messages too: nesting and documents join
+    it with the parents anyway, so only :attr:`replies` pays for a join of its own.
     ``store`` tells that the tables are written copies and intermediate ones may be too.
     """
 
     messages: DataFrame
-    replies: DataFrame
+    reply_source: DataFrame
     channels: DataFrame
     workspace: str = ""
     export_date: str = ""
@@ -37,21 +39,20 @@ class Export:
     def parents(self) -> DataFrame:
         return threads.parents(self.messages) if self.expand_threads else self.messages.filter(F.lit(False))
 
+    @property
+    def replies(self) -> DataFrame:
+        return threads.thread_replies(self.reply_source, self.parents)
+
     @property
     def standalone(self) -> DataFrame:
         return threads.standalone(self.messages, self.expand_threads)
 
     def nested_threads(self, page_size: int = threads.PAGE_SIZE) -> DataFrame:
-        return threads.nest(self.parents, self.replies, page_size)
+        return threads.nest(self.parents, self.reply_source, page_size)
 
     def without_expanded(self, expanded: DataFrame) -> Export:
         """The rest of a resumed run: threads whose replies are already saved are left out whole."""
-        ids = expanded.select("channel", "parent_ts")
-        return replace(
-            self,
-            messages=progress_ops.skip_expanded(self.messages, ids),
-            replies=self.replies.join(ids, ["channel", "parent_ts"], "left_anti"),
-        )
+        return replace(self, messages=progress_ops.skip_expanded(self.messages, expanded))
 
     def dated(self, workspace: str, export_date: str) -> Export:
         return replace(self, workspace=workspace, export_date=export_date)
@@ -127,12 +128,12 @@ def channel_export(
     kept = clean_messages(source, channels, oldest, newest, exclude_bots, captured_at)
     if store:
         kept = stored(kept, "messages")
-    if expand_threads:
-        found = threads.thread_replies(replies, threads.parents(kept), exclude_bots)
-        if store:
-            found = stored(found, "replies")
-    else:
+    if not expand_threads:
         found = replies.filter(F.lit(False))
+    elif store:
+        found = stored(threads.thread_replies(replies, threads.parents(kept), exclude_bots), "replies")
+    else:
+        found = clean.exclude_bots(replies) if exclude_bots else replies
     meta = channel_table(messages.sparkSession, channels) if channels else channels_found(kept)
     return Export(kept, found, meta, expand_threads=expand_threads, store=store)
 

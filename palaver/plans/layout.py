@@ -48,7 +48,7 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
         tie = F.concat_ws("/", "source_channel", F.lpad(F.col("seq").cast("string"), 20, "0"))
     top = top.withColumn("tie", tie)
 
-    found = threads.reply_totals(export.replies)
+    found = threads.reply_totals(export.reply_source)
     placed = (
         top.withColumn("parent_ts", F.col("timestamp"))
         .join(found, ["channel", "parent_ts"], "left")
@@ -67,7 +67,7 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
         message,
     )
     anchors = placed.filter("is_parent").select("channel", "parent_ts", "month", "last_pos", "n_replies", "reply_count")
-    reply_rows = export.replies.join(anchors, ["channel", "parent_ts"]).select(
+    reply_rows = export.reply_source.join(anchors, ["channel", "parent_ts"]).select(
         *_BUCKET,
         F.lit(_THREADS).alias("section"),
         F.col("parent_ts").alias("thread_ts"),

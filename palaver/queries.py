@@ -351,7 +351,7 @@ def standalone_difference(spark, folder):
 @register(
     "unexpanded",
     f"""WITH {ORDERS}
-SELECT channel, count(*) AS total_messages, count(*) AS n_standalone, 0 AS n_threads FROM p GROUP BY channel""",
+SELECT channel, count(*) AS total_messages, count(*) AS n_standalone, CAST(0 AS BIGINT) AS n_threads FROM p GROUP BY channel""",
 )
 def unexpanded(spark, folder):
     export = _order_export(spark, folder, expand_threads=False)
@@ -754,7 +754,7 @@ records AS (SELECT * FROM t UNION ALL
 @register(
     "export_json_rows",
     f"""WITH {ORDERS}, {RECORDS}
-SELECT "month", channel, "timestamp", record FROM records""",
+SELECT "month", channel, "timestamp", CAST(record AS VARCHAR) AS record FROM records""",
 )
 def export_json_rows(spark, folder):
     export = _order_export(spark, folder, store=True)
@@ -766,7 +766,7 @@ def export_json_rows(spark, folder):
     "json_lines_sink",
     f"""WITH {ORDERS}
 SELECT "month", count(*) FILTER (reply_count > 0) AS n_threads, count(*) FILTER (reply_count = 0) AS n_standalone,
-       sum(reply_count) AS n_replies FROM p GROUP BY "month" """,
+       CAST(sum(reply_count) AS BIGINT) AS n_replies FROM p GROUP BY "month" """,
 )
 def json_lines_sink(spark, folder):
     """Records written to the shared folder and read back as JSON with a schema."""
@@ -783,9 +783,9 @@ def json_lines_sink(spark, folder):
 @register(
     "export_channel_records",
     f"""WITH {ORDERS}
-SELECT channel, to_json({{'channel': channel, 'status': 'completed', 'export_started': '', 'export_finished': '',
+SELECT channel, CAST(to_json({{'channel': channel, 'status': 'completed', 'export_started': '', 'export_finished': '',
   'total_messages': count(*), 'workspace': 'https://example.org', 'export_date': '2024-07-01T10:00:00',
-  'format_version': '1.0'}}) AS record FROM p GROUP BY channel""",
+  'format_version': '1.0'}}) AS VARCHAR) AS record FROM p GROUP BY channel""",
 )
 def export_channel_records(spark, folder):
     """Channel records next to the run's manifest."""
@@ -842,7 +842,7 @@ def html_pages(spark, folder):
     f"""WITH {TALKS}, n AS (SELECT count(*) AS n FROM c WHERE turn = 0)
 SELECT '' AS thread_ts, -1 AS pos, 'Talks - https://example.org - 2024-07-01' AS text
 UNION ALL SELECT '', -1, '#conversations ('||n||' messages)' FROM n
-UNION ALL SELECT parent_ts, CASE WHEN turn = 0 THEN -1 ELSE turn END,
+UNION ALL SELECT parent_ts, CAST(CASE WHEN turn = 0 THEN -1 ELSE turn END AS INTEGER),
   CASE WHEN turn = 0 THEN '' ELSE '    ' END||"user"||CASE WHEN is_bot THEN ' (bot)' ELSE '' END||': '
   ||replace(text, chr(10), chr(10)||CASE WHEN turn = 0 THEN '  ' ELSE '      ' END) FROM c""",
 )
@@ -1016,7 +1016,7 @@ idx AS (SELECT term, channel, "timestamp", length, count(*) AS tf FROM (
 @register(
     "inverted_index",
     f"""WITH {INDEX}
-SELECT term, channel, "timestamp", length, tf FROM idx""",
+SELECT term, channel, "timestamp", CAST(length AS INTEGER) AS length, tf FROM idx""",
 )
 def inverted_index(spark, folder):
     return search_index.postings(_documents(spark, folder))
@@ -1072,7 +1072,7 @@ def top_terms(spark, folder):
 @register(
     "importance",
     f"""WITH {ORDERS}
-SELECT p.channel, p.ts AS "timestamp", 0 AS n_reactions, count(r.pos) AS n_replies, count(DISTINCT r."user") AS n_people,
+SELECT p.channel, p.ts AS "timestamp", CAST(0 AS BIGINT) AS n_reactions, count(r.pos) AS n_replies, count(DISTINCT r."user") AS n_people,
        2*count(r.pos) + count(DISTINCT r."user") AS importance
 FROM p LEFT JOIN r ON p.channel = r.channel AND p.ts = r.parent_ts GROUP BY p.channel, p.ts""",
 )
