@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The characters a Unicode-aware strip removes.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0       "
     "         　"
 )
 

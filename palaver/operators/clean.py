@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import times
+from palaver.schema import UNKNOWN_MONTH
 
 
 def select_channels(
@@ -58,22 +59,39 @@ def exclude_bots(messages: DataFrame) -> DataFrame:
     return messages.filter(~F.col("is_bot"))
 
 
+def _bounds(oldest: str | None, newest: str | None) -> tuple[datetime | None, datetime | None]:
+    low, high = times.parse_bound(oldest), times.parse_bound(newest)
+    if low and high and low > high:
+        raise ValueError("oldest bound lies after newest bound")
+    return low, high
+
+
+def stored_months(messages: DataFrame, column: str, oldest: str | None = None, newest: str | None = None) -> DataFrame:
+    """Partition filter implied by the bounds, for tables stored by the month of the id.
+
+    All copies of a message share that month, so this may come before :func:`first_seen`.
+    """
+    low, high = _bounds(oldest, newest)
+    month = F.col(column)
+    if low:
+        messages = messages.filter((month >= low.strftime("%Y-%m")) | (month == UNKNOWN_MONTH))
+    if high:
+        messages = messages.filter((month <= high.strftime("%Y-%m")) | (month == UNKNOWN_MONTH))
+    return messages
+
+
 def date_bounds(
     messages: DataFrame,
     oldest: str | None = None,
     newest: str | None = None,
     captured_at: str | None = None,
-    month: str | None = None,
 ) -> DataFrame:
     """Keep ``moment >= oldest`` and ``date(moment) <= date(newest)``; undated rows pass.
 
     The part that depends on the id alone is a filter of its own: it commutes with
-    :func:`first_seen` and Catalyst moves it below that exchange. For tables stored by
-    month, naming the ``month`` column adds the implied partition filter.
+    :func:`first_seen` and Catalyst moves it below that exchange.
     """
-    low, high = times.parse_bound(oldest), times.parse_bound(newest)
-    if low and high and low > high:
-        raise ValueError("oldest bound lies after newest bound")
+    low, high = _bounds(oldest, newest)
 
     def keep(moment: Column) -> Column:
         inside = F.lit(True)
@@ -86,12 +104,6 @@ def date_bounds(
 
     if not (low or high):
         return messages
-    if month:
-        key = F.col(month)
-        if low:
-            messages = messages.filter((key >= low.strftime("%Y-%m")) | (key == times.UNKNOWN_MONTH))
-        if high:
-            messages = messages.filter((key <= high.strftime("%Y-%m")) | (key == times.UNKNOWN_MONTH))
     from_id = times.id_datetime(F.col("timestamp"))
     from_label = times.label_datetime(F.col("datetime"), F.col(captured_at) if captured_at else None)
     return messages.filter(keep(from_id)).filter(from_id.isNotNull() | keep(from_label))

@@ -82,12 +82,16 @@ def clean_messages(
     newest: str | None = None,
     exclude_bots: bool = False,
     captured_at: str | None = None,
+    stored_month: str | None = None,
 ) -> DataFrame:
     """Selected channels, first-seen distinct, then the filters.
 
     The distinct comes first by rule: when the first copy of a message is filtered
-    out, later copies do not take its place.
+    out, later copies do not take its place. ``stored_month`` names the partition
+    column of a table stored by the month of the id, whose other months are not read.
     """
+    if stored_month:
+        messages = clean.stored_months(messages, stored_month, oldest, newest)
     selected = clean.with_ids(clean.select_channels(messages, channels))
     kept = clean.date_bounds(clean.first_seen(selected), oldest, newest, captured_at)
     return clean.exclude_bots(kept) if exclude_bots else kept
@@ -105,6 +109,7 @@ def channel_export(
     exported: DataFrame | None = None,
     mode: str = "anti_join",
     captured_at: str | None = None,
+    stored_month: str | None = None,
     store: bool = False,
 ) -> Export:
     """Export of the requested channels (all when none are named).
@@ -125,7 +130,7 @@ def channel_export(
             source = progress_ops.after_high_water(source, progress)
     if exported is not None and mode == "anti_join":
         source = progress_ops.not_exported(source, exported)
-    kept = clean_messages(source, channels, oldest, newest, exclude_bots, captured_at)
+    kept = clean_messages(source, channels, oldest, newest, exclude_bots, captured_at, stored_month)
     if store:
         kept = stored(kept, "messages")
     if not expand_threads:

@@ -58,12 +58,16 @@ def test_bounds_are_asymmetric_and_pass_undated(message_table):
     assert ids(kept) == sorted([stamps["at"], stamps["last"], "undated", "y"])
 
 
-def test_month_partition_filter_changes_nothing(message_table):
-    rows = message_table({"timestamp": micros("2024-01-31 10:00:00")}, {"timestamp": micros("2024-02-01 10:00:00")}, {"timestamp": "u"})
+def test_other_months_are_not_read(spark, message_table, tmp_path):
+    rows = message_table(*[{"timestamp": t} for t in (micros("2024-01-31 10:00:00"), micros("2024-02-01 10:00:00"), micros("2024-03-01 10:00:00"), "u")])
     from palaver.operators import summary
 
-    monthly = summary.with_month(rows)
-    assert ids(clean.date_bounds(monthly, "2024-02-01", None, month="month")) == ids(clean.date_bounds(rows, "2024-02-01"))
+    summary.with_month(rows).write.partitionBy("month").parquet(str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    kept = plans.clean_messages(stored, None, "2024-02-01", "2024-02-28", stored_month="month")
+    assert ids(kept) == ids(plans.clean_messages(rows, None, "2024-02-01", "2024-02-28")) == [micros("2024-02-01 10:00:00"), "u"]
+    scan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((month" in scan
 
 
 def test_bounds_are_validated(message_table):
