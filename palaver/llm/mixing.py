@@ -6,7 +6,8 @@ two documents until one of them is whole, the direction drawn so that every docu
 its expectation. The moves keep the words of the pair, so they keep the words of the source.
 
 Documents are dealt to blocks of about ``fan_in`` by hash; a block is folded as one array and
-leaves one unsettled document, which goes into a block of the next level. A hot source is
+leaves one unsettled document, which goes into a block of the next level. Large documents
+come first in a block, so that what is left over tends to be small. A hot source is
 thus many blocks, and the tree has ``log(n, fan_in)`` levels.
 """
 
@@ -62,7 +63,7 @@ def _uniform(seed: int, *keys: Column) -> Column:
 
 def _fold(items: Column, seed: int, level: int) -> Column:
     """Settle the items of one block pair by pair; ``left`` holds at most one unsettled item."""
-    item = "struct<tie:bigint,doc_id:bigint,size:bigint,p:double>"
+    item = "struct<size:bigint,tie:bigint,doc_id:bigint,p:double>"
     settled = "struct<tie:bigint,doc_id:bigint,size:bigint,up:int>"
     start = F.struct(F.lit(None).cast(item).alias("left"), F.array().cast(f"array<{settled}>").alias("done"))
 
@@ -71,7 +72,7 @@ def _fold(items: Column, seed: int, level: int) -> Column:
 
     def moved(x: Column, words: Column) -> Column:
         p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.p + words / x["size"]))
-        return F.struct(x.tie.alias("tie"), x.doc_id.alias("doc_id"), x["size"].alias("size"), p.alias("p"))
+        return F.struct(x["size"].alias("size"), x.tie.alias("tie"), x.doc_id.alias("doc_id"), p.alias("p"))
 
     def step(acc: Column, x: Column) -> Column:
         r = acc.left
@@ -103,7 +104,7 @@ def round_copies(items: DataFrame, seed: int, fan_in: int) -> DataFrame:
         dealt = current.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "tie"), blocks))
         folded = (
             dealt.groupBy("source", "block")
-            .agg(F.first("n_docs").alias("n_docs"), F.sort_array(F.collect_list(F.struct("tie", "doc_id", "size", "p"))).alias("items"))
+            .agg(F.first("n_docs").alias("n_docs"), F.sort_array(F.collect_list(F.struct("size", "tie", "doc_id", "p")), asc=False).alias("items"))
             .select("source", F.ceil(F.col("n_docs") / F.lit(fan_in)).alias("n_docs"), _fold(F.col("items"), seed, level).alias("fold"))
         )
         folded = stored(folded, "mix-level")
