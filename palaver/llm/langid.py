@@ -1,9 +1,9 @@
 """Language identification by compression.
 
 Each language has a raw-content dictionary of sample texts; a text belongs to the language
-whose dictionary compresses it best. Texts are compressed in blocks, so the dictionary and
-not the text's own beginning decides throughout. A text is rejected when the second-best
-language comes within a margin.
+whose dictionary compresses it best. Case, digits and signs are taken off first, and texts
+are compressed in blocks, so the dictionary and not the text's own beginning decides
+throughout. A text is rejected when the second-best language comes within a margin.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ ship(__name__)
 
 UNDETERMINED = "und"
 BLOCK = 4096
+LEVEL = 6
+# ASCII letters and the bytes of all other characters stay, the rest is a space
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 GUESS = "lang string, score double, margin double"
 
 
 def sample_dictionaries(docs: DataFrame, texts_per_language: int = 64, text_chars: int = 4000) -> dict[str, bytes]:
-    """A dictionary per language from a bounded sample of the documents that may be learned from.
+    """A dictionary per language, the most frequent first, from a bounded sample of the documents to learn from.
 
     The bound: ``texts_per_language`` different texts, each of ``text_chars`` characters at
     most (longer texts are cut, and used only where there are not enough others). Which texts
@@ -50,7 +53,13 @@ def sample_dictionaries(docs: DataFrame, texts_per_language: int = 64, text_char
     languages: dict[str, list[str]] = {}
     for row in found:
         languages.setdefault(row.lang, []).append(row.text or "")
-    return {lang: "\n".join(sorted(texts)).encode() for lang, texts in sorted(languages.items())}
+    rows = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(languages, key=lambda lang: (-rows[lang], lang))
+    return {lang: b" ".join(letters(t) for t in sorted(languages[lang])) for lang in order}
+
+
+def letters(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
 @functools.lru_cache(maxsize=4)
@@ -67,9 +76,10 @@ def guess(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompresso
     """Language, score and margin of one text."""
     if not text or not compressors or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = letters(text)
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)
+    sizes = [(sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors]
+    sizes.sort(key=lambda x: x[0])  # stable: the most frequent language wins a tie
     best, lang = sizes[0]
     margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
     # each byte saved per compressed hundred counts a factor of e
@@ -77,7 +87,7 @@ def guess(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompresso
     return lang, 1.0 / (1.0 + rest), margin
 
 
-def classifier(dictionaries: dict[str, bytes], level: int = 1):
+def classifier(dictionaries: dict[str, bytes], level: int = LEVEL):
     """A vectorised function of a text column; its struct has ``lang, score, margin``."""
     fixed = tuple(dictionaries.items())
 
@@ -93,8 +103,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     """``docs`` with the struct ``language``: ``lang, score, margin, accepted``.
 
     Only the text decides. A null text or one without a letter is ``und`` with score 0 and not
-    accepted, as is every text when nothing was learned; ties go to the smaller language
-    name and are not accepted. Texts are taken whole. A column ``language`` is replaced.
+    accepted, as is every text when nothing was learned; ties go to the more frequent
+    language and are not accepted. Texts are taken whole. A column ``language`` is replaced.
     """
     named = docs.withColumn("language", classifier(dictionaries)(F.col(text)))
     accepted: Column = (F.col("language.lang") != UNDETERMINED) & (F.col("language.margin") >= min_margin)

@@ -9,7 +9,7 @@ the earliest of each coordinate is kept (and the rank doubled where one was empt
 ``k (log k + 4)`` darts a document, however long it is. Two sets agree in a coordinate with
 the probability of their similarity.
 
-Bands of four coordinates are joined. Exact copies are one node from the start. In a band
+Bands of six coordinates are joined. Exact copies are one node from the start. In a band
 bucket every node is first compared with the smallest one; what is then still in different
 components is compared with further pivots, round by round, until each bucket is one
 component or all of its cross pairs have been compared: no pair that shares a band is
@@ -35,9 +35,9 @@ from palaver.llm.wordhash import Words, mixed
 
 ship(__name__)
 
-SHINGLE, COORDINATES, ROWS = 5, 96, 4
+SHINGLE, COORDINATES, ROWS = 5, 240, 6
 SIMILAR = (4, 5)  # 0.8 as a fraction: counts are compared as integers
-PIVOTS = 8
+PIVOTS = 64
 _SLICE = 1 << 20
 
 SIGNATURE = T.StructType(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, langid, minhash, mixing, substrings, toxicity
+from palaver.llm import chat, forest, html, langid, minhash, mips, mixing, pieces, substrings, toxicity
 from palaver.llm.common import held_out, table
 from palaver.session import configure
 
@@ -63,6 +64,18 @@ def op3_mix_sources(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
+# --- op4: merging has no SQL; tests/llm compare it with the library and round trips ---
+
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@register("op4_sentencepiece")
+def op4_sentencepiece(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, PIECE_MODEL, check=True)
+    return encoded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces", "lossless")
+
+
 # --- op5: trees have no SQL; tests/llm measure held-out accuracy ---
 
 
@@ -75,6 +88,33 @@ def op5_toxicity(spark, folder):
     )
 
 
+# --- op6: parsing has no SQL; tests/llm state the text of whole pages ---
+
+
+@register("op6_html_main_text")
+def op6_html_main_text(spark, folder):
+    return html.main_text(table(spark, folder, "pages"))
+
+
+# --- op7 ---
+
+
+@register(
+    "op7_exact_topk",
+    """WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def op7_exact_topk(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return mips.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 # --- op8: an iterative join; tests/llm compare it with all pairs ---
 
 
@@ -106,3 +146,12 @@ def op9_chat_format(spark, folder):
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(chat.render(rows))
+
+
+# --- op10: approximate by design, so it has no SQL; tests/llm measure recall against all cosines ---
+
+
+@register("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
