@@ -14,18 +14,21 @@ bucket every node is first compared with the smallest one; what is then still in
 components is compared with further pivots, round by round, until each bucket is one
 component or all of its cross pairs have been compared: no pair that shares a band is
 skipped, and a bucket of copies costs a number of comparisons in proportion to its size.
-Comparisons are exact, on the sets themselves.
+Cross pairs are first compared inside the join by two bits of each of 1,024 coordinates, which
+passes a pair of the similarity asked for but for one in 10^6 and few pairs below 0.7. The
+comparison that counts is exact, on the sets themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +39,9 @@ from palaver.llm.wordhash import Words, mixed
 ship(__name__)
 
 SHINGLE, COORDINATES, ROWS = 5, 240, 6
+SKETCH = 1024
 SIMILAR = (4, 5)  # 0.8 as a fraction: counts are compared as integers
-PIVOTS = 64
+PIVOTS = (4, 16, 64, 256)  # a bucket's new pivots in each round; the last number goes on
 _SLICE = 1 << 20
 
 SIGNATURE = T.StructType(
@@ -47,7 +51,13 @@ SIGNATURE = T.StructType(
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
-ELEMENTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
+ELEMENTS = T.StructType(
+    [
+        T.StructField("node", T.LongType()),
+        T.StructField("elements", T.ArrayType(T.LongType())),
+        T.StructField("sketch", T.ArrayType(T.LongType())),
+    ]
+)
 
 
 def elements(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +123,23 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mixed(part.sum(axis=2, dtype=np.uint64) + np.arange(k // rows, dtype=np.uint64)).astype(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, as two bit planes of 64-bit numbers."""
+    planes = []
+    for bit in (20, 40):
+        bits = (signature >> np.uint64(bit) & np.uint64(1)).astype(np.uint8)
+        planes.append(np.ascontiguousarray(np.packbits(bits, axis=1)).view("<i8"))
+    return np.hstack(planes)
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two sketches leave it open that the similarity is reached: five deviations below what it makes expected."""
+    half = SKETCH // 64
+    unlike = sum(F.bit_count((x[i].bitwiseXOR(y[i])).bitwiseOR(x[half + i].bitwiseXOR(y[half + i]))) for i in range(half))
+    agreed = SIMILAR[0] / SIMILAR[1] + (1 - SIMILAR[0] / SIMILAR[1]) / 4
+    return unlike <= F.lit(math.ceil(SKETCH * (1 - agreed) + 5 * math.sqrt(SKETCH * agreed * (1 - agreed))))
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about a megabyte of text, one row at least."""
     texts = batch.column("text").cast(pa.large_string())
@@ -124,6 +151,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def _lists(values: np.ndarray, present: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(np.where(present, values.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[present].ravel()))
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """``doc_id, copy_of, bands``: a digest of the text and its band hashes (none without words)."""
     schema = arrow_schema(SIGNATURE)
@@ -137,15 +169,14 @@ def sign(docs: DataFrame) -> DataFrame:
                 copies = [
                     hashlib.blake2b(words.bytes[a:b], digest_size=16).digest() for a, b in zip(words.offsets[:-1], words.offsets[1:])
                 ]
-                offsets = np.concatenate([[0], np.cumsum(np.where(np.diff(first) > 0, keys.shape[1], 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.diff(first) > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(copies, pa.binary()), lists.cast(schema.field("bands").type)], schema=schema)
+                lists = _lists(keys, np.diff(first) > 0).cast(schema.field("bands").type)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(copies, pa.binary()), lists], schema=schema)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
 
 def element_sets(docs: DataFrame) -> DataFrame:
-    """``node, elements`` of documents ``node, text``: the cells of the weighted set, for exact comparison."""
+    """``node, elements, sketch`` of documents ``node, text``: the cells of the weighted set for exact comparison, and a sketch."""
     schema = arrow_schema(ELEMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +184,9 @@ def element_sets(docs: DataFrame) -> DataFrame:
             for part in _slices(batch):
                 cells, first = elements(Words(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(cells.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), lists.cast(schema.field("elements").type)], schema=schema)
+                short = _lists(sketch(signatures(cells, first, SKETCH)), np.diff(first) > 0)
+                columns = [part.column("node"), lists.cast(schema.field("elements").type), short.cast(schema.field("sketch").type)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.mapInArrow(run, ELEMENTS)
 
@@ -191,20 +224,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.join(least, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     edges = stored(similar(pairs, sets), "minhash-edges")
     left = members.join(least, "band").filter("node <> b").select("band", "node")
-    while True:
+    for turn in itertools.count():
         roots = components(edges)
-        named = left.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        named = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = stored(named, "minhash-left")
         split = named.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("band")
-        open_ = stored(named.join(split, "band"), "minhash-open")
+        open_ = named.join(split, "band")
+        open_ = stored(open_ if turn else open_.join(sets.select("node", "sketch"), "node"), "minhash-open")
         if open_.isEmpty():
             break
-        lane = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-        pivots = open_.groupBy("band", lane.alias("lane")).agg(F.min(F.struct("node", "root")).alias("p"))
-        pivots = stored(pivots.select("band", F.col("p.node").alias("b"), F.col("p.root").alias("b_root")), "minhash-pivots")
-        pairs = open_.join(pivots, "band").filter("root <> b_root").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+        lane = F.pmod(F.xxhash64("node"), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
+        pivots = open_.groupBy("band", lane.alias("lane")).agg(F.min(F.struct("node", "root", "sketch")).alias("p"))
+        pivots = stored(pivots.select(F.col("band").alias("p_band"), "p"), "minhash-pivots")
+        across = (F.col("band") == F.col("p_band")) & (F.col("root") != F.col("p.root")) & _alike(F.col("sketch"), F.col("p.sketch"))
+        pairs = open_.join(pivots, across).select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
         edges = stored(edges.unionByName(similar(pairs.distinct(), sets)), "minhash-edges")
-        left = open_.join(pivots.select("band", F.col("b").alias("node")), ["band", "node"], "left_anti").select("band", "node")
+        done = pivots.select(F.col("p_band").alias("band"), "p.node")
+        left = open_.join(done, ["band", "node"], "left_anti").select("band", "node", "sketch")
     named_nodes = nodes.select("copy_of", "node").join(roots, "node", "left").select("copy_of", F.coalesce("root", "node").alias("class_id"))
     per_row = signed.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.size("bands") > 0), F.col("copy_of")).alias("copy_of"))
     return per_row.join(named_nodes, "copy_of", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
