@@ -1,3 +1,72 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: name the language, drop near copies, cut repeats, mix sources, encode.
 
-STAGES = []
+Each stage takes the documents its predecessor kept and returns documents, the last one
+encoded documents. Between the stages the documents are written and read again.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palaver.llm import langid, minhash, mixing, pieces, substrings
+from palaver.llm.common import stored, table
+from palaver.session import configure
+
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+# Every stage but the first depends on hashes or models SQL does not have.
+ORACLE_SQL = None
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is named with a margin; without letters or a clear language they go."""
+    configure(spark)
+    named = langid.identify(docs, langid.sample_dictionaries(docs), into="_language")
+    return named.filter("_language.accepted").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each class of near duplicates."""
+    configure(spark)
+    return minhash.keep_one(docs, minhash.near_duplicates(docs))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that a smaller document has; ``n_chars`` follows the text."""
+    configure(spark)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = substrings.remove_repeats(docs, carry=others)
+    cut = cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return cut.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    configure(spark)
+    return mixing.repeat_rows(docs, mixing.mix(docs))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their pieces, and whether these decode to the text."""
+    configure(spark)
+    return pieces.encode(docs, PIECE_MODEL, check=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("mix_sources", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

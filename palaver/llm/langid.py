@@ -99,13 +99,13 @@ def classifier(dictionaries: dict[str, bytes], level: int = LEVEL):
     return classify
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.002, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``language``: ``lang, score, margin, accepted``.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.002, text: str = "text", into: str = "language") -> DataFrame:
+    """``docs`` with the struct ``into``: ``lang, score, margin, accepted``.
 
     Only the text decides. A null text or one without a letter is ``und`` with score 0 and not
     accepted, as is every text when nothing was learned; ties go to the more frequent
-    language and are not accepted. Texts are taken whole. A column ``language`` is replaced.
+    language and are not accepted. Texts are taken whole. A column of that name is replaced.
     """
-    named = docs.withColumn("language", classifier(dictionaries)(F.col(text)))
-    accepted: Column = (F.col("language.lang") != UNDETERMINED) & (F.col("language.margin") >= min_margin)
-    return named.withColumn("language", F.col("language").withField("accepted", accepted))
+    named = docs.withColumn(into, classifier(dictionaries)(F.col(text)))
+    accepted: Column = (F.col(f"{into}.lang") != UNDETERMINED) & (F.col(f"{into}.margin") >= min_margin)
+    return named.withColumn(into, F.col(into).withField("accepted", accepted))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palaver.llm import chat, forest, html, langid, minhash, mips, mixing, pieces, substrings, toxicity
 from palaver.llm.common import held_out, table
 from palaver.session import configure
@@ -66,13 +66,11 @@ def op3_mix_sources(spark, folder):
 
 # --- op4: merging has no SQL; tests/llm compare it with the library and round trips ---
 
-PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-
 
 @register("op4_sentencepiece")
 def op4_sentencepiece(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = pieces.encode(docs, PIECE_MODEL, check=True)
+    encoded = pieces.encode(docs, corpus_pipeline.PIECE_MODEL, check=True)
     return encoded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "pieces", "lossless")
 
 
@@ -155,3 +153,8 @@ def op9_chat_format(spark, folder):
 def op10_nearest_neighbours(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+# --- the pipeline ---
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
