@@ -10,6 +10,7 @@ from palaver.functions.text import html_escape
 # The layout of the Markdown export.
 DASH = " — "
 BOT = " (bot)"
+UNKNOWN_USER = "Unknown"
 REACTIONS = "Reactions: "
 ATTACHMENT = "> [Attachment] "
 ATTACHMENT_CUT = 100
@@ -18,18 +19,26 @@ RULE = "---"
 OTHER_HEADING = "### Other Messages"
 
 
+def _user(m: Column) -> Column:
+    return F.coalesce(m["user"], F.lit(UNKNOWN_USER))
+
+
+def _text(m: Column) -> Column:
+    return F.coalesce(m["text"], F.lit(""))
+
+
 def message(m: Column, indent: str = "") -> Column:
     """Text block of a message struct: header, text lines, reactions, attachments, each closed by a blank line."""
     pad = F.lit(indent)
     header = F.concat(
         pad,
         F.lit("**"),
-        m["user"],
+        _user(m),
         F.lit("**"),
         F.when(m["datetime"] != "", F.concat(F.lit(DASH), m["datetime"])).otherwise(""),
         F.when(m["is_bot"], F.lit(BOT)).otherwise(""),
     )
-    body = F.replace(m["text"], F.lit("\n"), F.lit(f"\n{indent}")) if indent else m["text"]
+    body = F.replace(_text(m), F.lit("\n"), F.lit(f"\n{indent}")) if indent else _text(m)
     emojis = F.transform(
         m["reactions"], lambda r: F.concat(F.lit(":"), r["emoji"], F.lit(": ("), r["count"].cast("string"), F.lit(")"))
     )
@@ -72,12 +81,12 @@ def html_message(m: Column) -> Column:
     files = F.transform(m["attachments"], lambda a: F.concat(F.lit("<li>"), html_escape(a), F.lit("</li>")))
     return F.concat(
         F.lit("<p><b>"),
-        html_escape(m["user"]),
+        html_escape(_user(m)),
         F.lit("</b>"),
         F.when(m["datetime"] != "", F.concat(F.lit(DASH), html_escape(m["datetime"]))).otherwise(""),
         F.when(m["is_bot"], F.lit(BOT)).otherwise(""),
         F.lit("</p><p>"),
-        F.replace(html_escape(m["text"]), F.lit("\n"), F.lit("<br>")),
+        F.replace(html_escape(_text(m)), F.lit("\n"), F.lit("<br>")),
         F.lit("</p>"),
         F.when(
             F.size(m["reactions"]) > 0,
@@ -93,9 +102,9 @@ def plain_message(m: Column, indent: str = "") -> Column:
     """A message as ``user [time] (bot): text``, further lines indented."""
     return F.concat(
         F.lit(indent),
-        m["user"],
+        _user(m),
         F.when(m["datetime"] != "", F.concat(F.lit(" ["), m["datetime"], F.lit("]"))).otherwise(""),
         F.when(m["is_bot"], F.lit(BOT)).otherwise(""),
         F.lit(": "),
-        F.replace(m["text"], F.lit("\n"), F.lit(f"\n{indent}  ")),
+        F.replace(_text(m), F.lit("\n"), F.lit(f"\n{indent}  ")),
     )

@@ -30,8 +30,9 @@ def html_escape(text: Column) -> Column:
 
 
 def first_number(text: Column) -> Column:
-    """First run of digits as int, else 0. ``1,234 replies`` gives 1."""
-    return F.coalesce(F.regexp_extract(text, r"([0-9]+)", 1).try_cast("int"), F.lit(0))
+    """First run of digits as int, else 0. ``1,234 replies`` gives 1; what an int cannot hold is its largest value."""
+    digits = F.regexp_extract(text, r"([0-9]+)", 1)
+    return F.when(digits == "", F.lit(0)).otherwise(F.coalesce(digits.try_cast("int"), F.lit(2**31 - 1)))
 
 
 def json_quote(text: Column) -> Column:

@@ -19,6 +19,8 @@ _MONTH_DAY = rf"(?i)\b{_MONTH},? +{_NUMBER}\b(?!:)"
 _DAY_MONTH = rf"(?i)\b{_NUMBER} +{_MONTH}"
 _ISO = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _SLASH = r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b"
+_RELATIVE = r"(?i)\b(today|yesterday)\b"
+_BARE_CLOCK = r"(?i)^\W*(?:at +)?[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[ap]m)?\W*$"
 _CLOCK = r"(?i)(?<![0-9:])[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[ap]m\b)?"
 
 
@@ -35,7 +37,8 @@ def label_datetime(label: Column, captured_at: Column | None = None) -> Column:
 
     A missing clock means midnight. A missing date or year is taken from
     ``captured_at`` ("Yesterday" counting one day back); without it such labels
-    have no time, since the moment of the query must not decide the result.
+    have no time, since the moment of the query must not decide the result. Of labels
+    without a date only "Today", "Yesterday" and a bare clock name a day, not weekdays.
     """
 
     def reordered(pattern: str, order: str, *tail: Column) -> Column:
@@ -57,7 +60,7 @@ def label_datetime(label: Column, captured_at: Column | None = None) -> Column:
         day = (
             day.when(label.rlike(_MONTH_DAY), reordered(_MONTH_DAY, "$2 $1 ", year))
             .when(label.rlike(_DAY_MONTH), reordered(_DAY_MONTH, "$1 $2 ", year))
-            .when(label.rlike(_CLOCK), F.date_sub(captured, back).cast("string"))
+            .when(label.rlike(_RELATIVE) | label.rlike(_BARE_CLOCK), F.date_sub(captured, back).cast("string"))
         )
     clock = F.regexp_extract(label, _CLOCK, 0)
     return F.when(

@@ -56,7 +56,8 @@ def with_ids(messages: DataFrame) -> DataFrame:
 
 
 def exclude_bots(messages: DataFrame) -> DataFrame:
-    return messages.filter(~F.col("is_bot"))
+    """Rows not known to be a bot's stay."""
+    return messages.filter(~F.coalesce("is_bot", F.lit(False)))
 
 
 def _bounds(oldest: str | None, newest: str | None) -> tuple[datetime | None, datetime | None]:

@@ -58,6 +58,12 @@ def latest(progress: DataFrame) -> DataFrame:
     )
 
 
+def newest(progress: DataFrame, export_id: str | None = None) -> DataFrame:
+    """The newest row per run and channel, of one run if it is named."""
+    rows = progress if export_id is None else for_run(progress, export_id)
+    return latest(rows) if "updated_at" in rows.columns else rows
+
+
 def for_run(progress: DataFrame, export_id: str) -> DataFrame:
     """One run's progress; raises ``LookupError`` when there is none."""
     rows = progress.filter(F.col("export_id") == export_id)
@@ -68,7 +74,7 @@ def for_run(progress: DataFrame, export_id: str) -> DataFrame:
 
 def after_high_water(messages: DataFrame, progress: DataFrame) -> DataFrame:
     """Keep ids above the saved mark, in string order. Older unseen history is lost: see :func:`not_exported`."""
-    marks = progress.select("channel", F.col("last_message_ts").alias("_mark"))
+    marks = progress.groupBy("channel").agg(F.max("last_message_ts").alias("_mark"))
     joined = messages.join(marks, "channel", "left")
     keep = F.col("_mark").isNull() | (F.col("_mark") == "") | (F.col("timestamp") > F.col("_mark"))
     return joined.filter(keep).drop("_mark")
@@ -97,20 +103,24 @@ def add_expanded(expanded: DataFrame, parents: DataFrame, export_id: str) -> Dat
     return expanded.select("export_id", *_THREAD).unionByName(new).distinct()
 
 
-def status(progress: DataFrame) -> DataFrame:
-    """One row per run, newest first: ``completed/total completed``. Finished runs are listed too."""
-    per_run = progress.groupBy("export_id").agg(
-        F.first("workspace_url").alias("workspace"),
+def status(progress: DataFrame, updated_chars: int | None = None) -> DataFrame:
+    """One row per run, newest first: ``completed/total completed``. Finished runs are listed too.
+
+    Repeated saves of a channel count once. ``updated_chars`` shortens the time for a listing.
+    """
+    updated = F.col("updated_at") if updated_chars is None else F.substring("updated_at", 1, updated_chars)
+    per_run = latest(progress).groupBy("export_id").agg(
+        F.max_by("workspace_url", F.struct("updated_at", "workspace_url")).alias("workspace"),
         F.count_if(F.col("status") == COMPLETED).alias("_done"),
         F.count("channel").alias("_total"),
         F.max("updated_at").alias("updated_at"),
-        F.first("search_query").alias("search_query"),
+        F.max_by("search_query", F.struct("updated_at", "search_query")).alias("search_query"),
     )
     return per_run.orderBy(F.desc("updated_at"), "export_id").select(
         "export_id",
         "workspace",
         F.format_string("%d/%d completed", "_done", "_total").alias("channels"),
         (F.col("_done") == F.col("_total")).alias("is_complete"),
-        F.substring("updated_at", 1, 19).alias("updated"),
+        updated.alias("updated"),
         "search_query",
     )

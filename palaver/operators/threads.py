@@ -69,6 +69,13 @@ def reply_totals(replies: DataFrame) -> DataFrame:
     )
 
 
+def reply_key() -> Column:
+    """What tells replies of a thread apart: the id, without one the label and text."""
+    return F.when(F.coalesce("timestamp", F.lit("")) != "", F.concat(F.lit("id "), F.col("timestamp"))).otherwise(
+        F.concat_ws("\n", F.lit("text"), "datetime", "user", "text")
+    )
+
+
 def nest(parents: DataFrame, replies: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Rows ``(channel, parent, page, replies, reply_count, n_replies)``.
 

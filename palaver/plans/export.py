@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.operators import clean, progress as progress_ops, threads
+from palaver.operators import clean, progress as progress_ops, summary, threads
 from palaver.session import shared_folder
 from palaver.schema import CHANNELS, FORMAT_VERSION, REPLIES
 
@@ -34,6 +34,17 @@ class Export:
     format_version: str = FORMAT_VERSION
     expand_threads: bool = True
     store: bool = False
+    all_messages: DataFrame | None = None
+    captured_at: str | None = None
+
+    @property
+    def counted(self) -> DataFrame:
+        """The messages that totals count: all of them, also where threads already saved are left out."""
+        return self.messages if self.all_messages is None else self.all_messages
+
+    def with_month(self, rows: DataFrame) -> DataFrame:
+        """Month of each row, labels without a date read with the capture time where rows carry it."""
+        return summary.with_month(rows, self.captured_at if self.captured_at in rows.columns else None)
 
     @property
     def parents(self) -> DataFrame:
@@ -51,8 +62,14 @@ class Export:
         return threads.nest(self.parents, self.reply_source, page_size)
 
     def without_expanded(self, expanded: DataFrame) -> Export:
-        """The rest of a resumed run: threads whose replies are already saved are left out whole."""
-        return replace(self, messages=progress_ops.skip_expanded(self.messages, expanded))
+        """The rest of a resumed run: threads whose replies are already saved are left out whole.
+
+        Only parents are: a message once expanded that is standalone now stays, and totals count everything.
+        """
+        if not self.expand_threads:
+            return self
+        rest = self.standalone.unionByName(progress_ops.skip_expanded(self.parents, expanded))
+        return replace(self, messages=rest, all_messages=self.counted)
 
     def dated(self, workspace: str, export_date: str) -> Export:
         return replace(self, workspace=workspace, export_date=export_date)
@@ -108,6 +125,7 @@ def channel_export(
     progress: DataFrame | None = None,
     exported: DataFrame | None = None,
     mode: str = "anti_join",
+    export_id: str | None = None,
     captured_at: str | None = None,
     stored_month: str | None = None,
     store: bool = False,
@@ -117,7 +135,8 @@ def channel_export(
     ``store`` writes the cleaned messages and their replies once to the shared folder.
     Sinks that render documents read them several times, each time other columns.
 
-    With ``progress`` completed channels are left out and the rest is resumed:
+    ``export_id`` names the run that ``progress`` is read for (all its runs when not given);
+    of repeated saves the newest counts. With ``progress`` completed channels are left out and the rest is resumed:
     ``mode="anti_join"`` keeps everything not in ``exported``, ``mode="high_water"``
     keeps ids above the saved mark and so loses older history not yet read.
     """
@@ -125,6 +144,7 @@ def channel_export(
         raise ValueError(f"unknown resume mode {mode!r}")
     source = messages
     if progress is not None:
+        progress = progress_ops.newest(progress, export_id)
         source = progress_ops.skip_completed(source, progress)
         if mode == "high_water":
             source = progress_ops.after_high_water(source, progress)
@@ -140,7 +160,7 @@ def channel_export(
     else:
         found = clean.exclude_bots(replies) if exclude_bots else replies
     meta = channel_table(messages.sparkSession, channels) if channels else channels_found(kept)
-    return Export(kept, found, meta, expand_threads=expand_threads, store=store)
+    return Export(kept, found, meta, expand_threads=expand_threads, store=store, captured_at=captured_at)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

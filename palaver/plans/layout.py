@@ -39,7 +39,7 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
     if split_by not in (None, "month"):
         raise ValueError(f"unknown split {split_by!r}")
     top = export.messages
-    top = summary.with_month(top) if split_by else top.withColumn("month", F.lit(""))
+    top = export.with_month(top) if split_by else top.withColumn("month", F.lit(""))
     top = top.withColumn("is_parent", F.coalesce("reply_count", F.lit(0)) > 0 if export.expand_threads else F.lit(False))
 
     # Ids are unique per channel; search hits of several channels need a further key.
@@ -85,6 +85,10 @@ def lay_out(export: Export, split_by: str | None = None) -> Layout:
         F.max(F.when(F.col("is_parent"), F.col("timestamp"))).alias("last_thread"),
         F.max(F.when(~F.col("is_parent"), F.struct("timestamp", "tie"))).alias("last_standalone"),
     )
+    if export.all_messages is not None:  # totals count threads that are left out, too
+        everything = export.with_month(export.counted) if split_by else export.counted.withColumn("month", F.lit(""))
+        counts = everything.groupBy("month", "channel").agg(F.count(F.lit(1)).alias("total_messages"))
+        totals = counts.join(totals.drop("total_messages"), ["month", "channel"], "left").fillna(0, ["n_threads", "n_standalone"])
     heads = summary.attach_channels(totals, export.channels, keep_empty=not split_by)
     heads = heads.withColumn("month", F.coalesce("month", F.lit(""))).withColumn(
         "channel_pos", F.coalesce("channel_pos", F.lit(0))

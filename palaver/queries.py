@@ -471,7 +471,7 @@ SELECT export_id, 'https://example.org' AS workspace,
 FROM g GROUP BY export_id""",
 )
 def progress_status(spark, folder):
-    return progress.status(_run_progress(_events(spark, folder)))
+    return progress.status(_run_progress(_events(spark, folder)), updated_chars=19)
 
 
 @register(
@@ -558,7 +558,7 @@ def saved_progress(spark, folder):
     parents = threads.parents(messages).select(run.alias("export_id"), "channel", F.col("timestamp").alias("parent_ts"))
     path = shared_folder(spark, "progress")
     progress_files.write_documents(_run_progress(messages), parents, path, page_size=50)
-    documents = progress_files.read_documents(spark, path, "*.txt", lines=True)
+    documents = progress_files.read_documents(spark, path)
     keys = ["export_id", "channel"]
     ids = progress_files.expanded(documents).groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_list("parent_ts")), ",").alias("expanded")
@@ -932,7 +932,7 @@ def stream_lossless(spark, folder):
     base = shared_folder(spark, "stream")
     source = _event_stream(spark, folder, overlap=True)
     for run in ("first", "again"):
-        stream.ingest_lossless(source, f"{base}/messages", f"{base}/{run}").awaitTermination()
+        stream.ingest(source, f"{base}/messages", f"{base}/{run}").awaitTermination()
     return spark.read.parquet(f"{base}/messages").select("channel", "timestamp", "user", "text")
 
 

@@ -13,20 +13,20 @@ from palaver.plans.export import Export
 def thread_records(export: Export, page_size: int = threads.PAGE_SIZE) -> DataFrame:
     """``month, channel, page, record`` with the serialised thread as JSON text."""
     nested = export.nested_threads(page_size)
-    months = summary.with_month(nested.select("*", F.col("parent.timestamp"), F.col("parent.datetime")))
+    months = export.with_month(nested.select("*", F.col("parent.timestamp"), F.col("parent.datetime")))
     record = F.struct("parent", "replies", "reply_count")
     return months.select("month", "channel", "timestamp", "page", _json(record).alias("record"))
 
 
 def message_records(export: Export) -> DataFrame:
     """``month, channel, record`` with each standalone message as JSON text."""
-    months = summary.with_month(export.standalone)
+    months = export.with_month(export.standalone)
     return months.select("month", "channel", "timestamp", _json(threads.message_struct()).alias("record"))
 
 
 def channel_records(export: Export) -> DataFrame:
     """One record per channel: its metadata and totals, without content."""
-    totals = summary.channel_totals(export.messages, export.expand_threads)
+    totals = summary.channel_totals(export.counted, export.expand_threads)
     joined = summary.attach_channels(totals, export.channels, keep_empty=True)
     record = F.struct("channel", "status", "export_started", "export_finished", "total_messages")
     return joined.select("channel", "channel_pos", _json(record).alias("record"))
@@ -54,6 +54,7 @@ def write_json_lines(export: Export, path: str, mode: str = "overwrite") -> None
             .sortWithinPartitions(*order)
             .select("year", "month", F.col("record").alias("value"))
             .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic")  # months not in this export stay
             .partitionBy("year", "month")
             .text(f"{path}/{name}")
         )

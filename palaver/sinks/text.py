@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palaver.functions.times import year_of
@@ -21,7 +21,10 @@ def write_markdown(
     title: str = "Export",
     mode: str = "overwrite",
 ) -> bool:
-    """Markdown below ``path``; returns whether ``path`` now holds a document."""
+    """Markdown below ``path``; returns whether a document was written.
+
+    Documents of the same name are replaced, others below ``path`` stay. The other writers do the same.
+    """
     laid = lay.lay_out(export, split_by)
     return write_blocks(lay.markdown_blocks(export, laid, title), laid, path, template, date, ".md", mode)
 
@@ -86,12 +89,15 @@ def write_blocks(
         folders = ["stem"]
         named = named.drop("year")
     order = [*folders, *lay.SORT_KEY]
+    written = Observation()
     (
         named.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(*folders, "text")
+        .observe(written, F.count(F.lit(1)).alias("blocks"))
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")  # of this write alone: other documents stay
         .partitionBy(*folders)
         .text(path)
     )
-    return not blocks.sparkSession.read.text(path).isEmpty()
+    return written.get["blocks"] > 0

@@ -131,7 +131,7 @@ def messages_from_documents(documents: DataFrame) -> DataFrame:
 
 def snapshots_from_conversations(conversations: DataFrame) -> DataFrame:
     """Saved pages of some turns each, all read twice; the second read has other text."""
-    page_number = F.shiftleft(F.col("conv_id"), 24).bitwiseOR(F.col("page"))
+    page_number = F.shiftleft(F.col("conv_id"), 12).bitwiseOR(F.col("page"))
 
     def page(seq: Column, text: Column) -> DataFrame:
         item = item_html(

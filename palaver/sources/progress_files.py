@@ -21,10 +21,11 @@ PAGE_SIZE = 1000
 CHANNELS_PER_DOCUMENT = 100
 
 
-def read_documents(spark: SparkSession, path: str, files: str = "*.json", lines: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, files: str = "*", lines: bool = True) -> DataFrame:
     """One row per readable document, with the defaults of missing members.
 
-    ``lines`` reads one document per line, as :func:`write_documents` saves them.
+    The defaults read what :func:`write_documents` saves, a document per line; documents of
+    several lines each are read with ``files="*.json", lines=False``.
     """
     raw = (
         spark.read.schema(DOCUMENT)
@@ -79,12 +80,19 @@ def write_documents(progress: DataFrame, expanded: DataFrame, path: str, page_si
     The expanded ids of a channel are spread by hash over enough documents to keep
     each array near ``page_size``, and so are the channels of a run; reading merges
     them again. A run with few channels and expanded threads is a single document.
+    Earlier documents of the same runs are replaced, those of other runs stay.
     """
-    documents(progress, expanded, page_size).write.mode("overwrite").text(path)
+    saved = documents(progress, expanded, page_size, run_column="run")
+    saved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path)
     return path
 
 
-def documents(progress: DataFrame, expanded: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+def append_progress(progress: DataFrame, path: str) -> None:
+    """Add a save to the progress table; :func:`palaver.operators.progress.latest` finds the newest."""
+    progress.write.mode("append").parquet(path)
+
+
+def documents(progress: DataFrame, expanded: DataFrame, page_size: int = PAGE_SIZE, run_column: str | None = None) -> DataFrame:
     keys = ["export_id", "channel"]
     pages = expanded.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / page_size).alias("_pages"))
     sliced = (
@@ -120,7 +128,8 @@ def documents(progress: DataFrame, expanded: DataFrame, page_size: int = PAGE_SI
     document = F.struct(
         "export_id", "workspace_url", "channels", "search_query", "created_at", "updated_at", "format"
     )
-    return runs.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
+    run = [F.col("export_id").alias(run_column)] if run_column else []
+    return runs.select(*run, F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

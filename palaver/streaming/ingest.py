@@ -1,58 +1,24 @@
 """Incremental ingest of overlapping reads with Structured Streaming.
 
 The stream checkpoint is the progress: a restart with the same checkpoint goes on
-where the last run stopped. Two ways treat rows that arrive again or late:
-
-* :func:`ingest` keeps keys in state for the watermark delay and drops what is older;
-* :func:`ingest_lossless` compares each micro-batch with the stored table, so nothing
-  is dropped for being late.
+where the last run stopped. Each micro-batch is compared with the stored table, so a
+row is never dropped for being late: history of one channel read after another's, and
+rows without a date, are kept like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palaver.functions import times
-from palaver.operators import clean, summary
+from palaver.operators import clean, threads
 
 KEY = ["channel", "timestamp"]
 
 
-def event_time(df: DataFrame, captured_at: Column | None = None) -> DataFrame:
-    """Column ``event_time``; undated messages count as seen when captured, else with the batch."""
-    moment = times.message_datetime(F.col("timestamp"), F.col("datetime"), captured_at)
-    fallback = captured_at if captured_at is not None else F.current_timestamp()
-    return df.withColumn("event_time", F.coalesce(moment, fallback))
-
-
-def distinct_messages(stream: DataFrame, delay: str) -> DataFrame:
-    """Distinct by ``(channel, timestamp)`` within the watermark delay; later rows are dropped as late.
-
-    All copies of a key in a micro-batch meet in one task. For feeds that repeat single
-    messages very often :func:`ingest_lossless` drops copies before its exchange.
-    """
-    timed = event_time(clean.with_ids(stream))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(KEY)
-
-
-def ingest(stream: DataFrame, path: str, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
-    """Append distinct messages to the table at ``path``, by month, for all data available now."""
-    return (
-        summary.with_month(distinct_messages(stream, delay))
-        .drop("event_time")
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("month")
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def ingest_lossless(stream: DataFrame, path: str, checkpoint: str, order: str = "seq") -> StreamingQuery:
+def ingest(stream: DataFrame, path: str, checkpoint: str, order: str = "seq") -> StreamingQuery:
     """Append messages not yet stored; a replayed micro-batch adds nothing twice.
 
     The month is that of the id, so copies of a message share it whatever their
@@ -67,13 +33,18 @@ def ingest_lossless(stream: DataFrame, path: str, checkpoint: str, order: str =
     return _for_each_batch(stream, save, checkpoint)
 
 
-def ingest_replies(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append thread replies not yet stored; threads are nested when read."""
+def ingest_replies(stream: DataFrame, path: str, checkpoint: str, order: tuple[str, ...] = ("pos",)) -> StreamingQuery:
+    """Append thread replies not yet stored; threads are nested when read.
+
+    A reply is known by its id, without one by label and text: its place in the panel
+    changes when others are deleted. Of copies in a micro-batch the first in ``order`` is kept.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        key = ["channel", "parent_ts", "pos"]
+        keyed = batch.withColumn("reply_key", threads.reply_key())
+        key = ["channel", "parent_ts", "reply_key"]
         parent_month = times.month_key(times.id_datetime(F.col("parent_ts")))
-        merge(batch.dropDuplicates(key).withColumn("month", parent_month), path, key, "month")
+        merge(clean.first_seen(keyed, key, order).withColumn("month", parent_month), path, key, "month")
 
     return _for_each_batch(stream, save, checkpoint)
 
@@ -87,8 +58,8 @@ def merge(batch: DataFrame, path: str, key: list[str], partition: str) -> None:
     batch = batch.persist()
     try:
         batch.limit(0).write.mode("append").partitionBy(partition).parquet(path)  # makes the folder
-        touched = [row[0] for row in batch.select(partition).distinct().collect()]  # months
-        stored = spark.read.schema(batch.schema).parquet(path).filter(F.col(partition).isin(touched))
+        touched = batch.select(partition).distinct()  # prunes the partitions read, at run time
+        stored = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
         new = batch.join(stored.select(*key), key, "left_anti").select(*batch.columns)
         new.write.mode("append").partitionBy(partition).parquet(path)
     finally:

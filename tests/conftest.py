@@ -42,7 +42,7 @@ def reply_table(spark):
 
 
 def _table(spark, ddl, extra, rows, numbered=False):
-    base = {"user": "alice", "text": "hi", "timestamp": "", "datetime": "", "reactions": [], "is_bot": False, "attachments": []}
+    base = {"user": "mara", "text": "hi", "timestamp": "", "datetime": "", "reactions": [], "is_bot": False, "attachments": []}
     fields = spark.createDataFrame([], ddl).columns
     filled = []
     for number, row in enumerate(rows):
@@ -54,19 +54,19 @@ def _table(spark, ddl, extra, rows, numbered=False):
 @pytest.fixture
 def general(spark, message_table, reply_table):
     """A thread of two replies and a standalone message in one channel."""
-    parent = "1234567890123456"
+    parent = "1235000000123456"
     messages = message_table(
         {
-            "text": "Hello world",
+            "text": "Boiler fixed",
             "timestamp": parent,
             "datetime": "Jan 15, 2025 10:30 AM",
             "reactions": [("thumbsup", 3)],
             "reply_count": 2,
         },
-        {"user": "dave", "text": "Standalone msg", "timestamp": "1234567890123460", "attachments": ["a" * 150, "b"]},
+        {"user": "quinn", "text": "Lost a glove", "timestamp": "1235000000123460", "attachments": ["a" * 150, "b"]},
     )
     replies = reply_table(
-        {"parent_ts": parent, "pos": 1, "user": "bob", "text": "Hey!\nYou", "timestamp": "1234567890123457"},
-        {"parent_ts": parent, "pos": 2, "user": "charlie", "text": 'Hi "there" \\ ü', "timestamp": "1234567890123458", "is_bot": True},
+        {"parent_ts": parent, "pos": 1, "user": "ilse", "text": "Nice!\nYou", "timestamp": "1235000000123457"},
+        {"parent_ts": parent, "pos": 2, "user": "tomek", "text": 'So "warm" \\ ü', "timestamp": "1235000000123458", "is_bot": True},
     )
     return messages, replies

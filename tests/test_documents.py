@@ -12,10 +12,10 @@ from palaver.plans import layout as lay
 from palaver.sinks import rows as row_sink
 from palaver.sinks import text as text_sink
 
-PARENT_MD = "**alice** — Jan 15, 2025 10:30 AM\n\nHello world\n\nReactions: :thumbsup: (3)\n"
-REPLIES_MD = "> **bob**\n\n> Hey!\n> You\n\n> **charlie** (bot)\n\n> Hi \"there\" \\ ü\n"
+PARENT_MD = "**mara** — Jan 15, 2025 10:30 AM\n\nBoiler fixed\n\nReactions: :thumbsup: (3)\n"
+REPLIES_MD = "> **ilse**\n\n> Nice!\n> You\n\n> **tomek** (bot)\n\n> So \"warm\" \\ ü\n"
 THREAD_MD = PARENT_MD + "\n  *2 replies:*\n\n" + REPLIES_MD + "\n---\n"
-SINGLE_MD = "**dave**\n\nStandalone msg\n\n> [Attachment] " + "a" * 100 + "\n> [Attachment] b\n"
+SINGLE_MD = "**quinn**\n\nLost a glove\n\n> [Attachment] " + "a" * 100 + "\n> [Attachment] b\n"
 
 
 @pytest.fixture
@@ -28,16 +28,16 @@ def message(user, text, timestamp, datetime="", reactions=(), is_bot=False, atta
 
 
 def expected_json():
-    alice = message("alice", "Hello world", "1234567890123456", "Jan 15, 2025 10:30 AM", [{"emoji": "thumbsup", "count": 3}])
-    replies = [message("bob", "Hey!\nYou", "1234567890123457"), message("charlie", 'Hi "there" \\ ü', "1234567890123458", is_bot=True)]
-    dave = message("dave", "Standalone msg", "1234567890123460", attachments=["a" * 150, "b"])
+    mara = message("mara", "Boiler fixed", "1235000000123456", "Jan 15, 2025 10:30 AM", [{"emoji": "thumbsup", "count": 3}])
+    replies = [message("ilse", "Nice!\nYou", "1235000000123457"), message("tomek", 'So "warm" \\ ü', "1235000000123458", is_bot=True)]
+    quinn = message("quinn", "Lost a glove", "1235000000123460", attachments=["a" * 150, "b"])
     return {
         "workspace": "https://test",
         "export_date": "2025-01-15T10:05:00",
         "format_version": "1.0",
         "channels": [
             {"channel": "general", "status": "completed", "export_started": "", "export_finished": "", "total_messages": 2,
-             "threads": [{"parent": alice, "replies": replies, "reply_count": 2}], "standalone_messages": [dave]},
+             "threads": [{"parent": mara, "replies": replies, "reply_count": 2}], "standalone_messages": [quinn]},
             {"channel": "empty", "status": "completed", "export_started": "", "export_finished": "", "total_messages": 0,
              "threads": [], "standalone_messages": []},
         ],
@@ -50,7 +50,7 @@ def ordered(blocks):
 
 def test_message_text(general):
     rows = {r["user"]: r["t"] for r in general[0].select("user", render.message(threads.message_struct()).alias("t")).collect()}
-    assert rows == {"alice": PARENT_MD, "dave": SINGLE_MD}
+    assert rows == {"mara": PARENT_MD, "quinn": SINGLE_MD}
 
 
 def test_thread_text(export):
@@ -60,7 +60,7 @@ def test_thread_text(export):
 
 def test_thread_without_replies(message_table, reply_table):
     export = plans.channel_export(message_table({"timestamp": "1", "reply_count": 3}), reply_table())
-    assert export.nested_threads().select(render.thread(F.col("parent"), F.col("replies"))).first()[0] == "**alice**\n\nhi\n\n---\n"
+    assert export.nested_threads().select(render.thread(F.col("parent"), F.col("replies"))).first()[0] == "**mara**\n\nhi\n\n---\n"
 
 
 def test_markdown_document(export):
@@ -108,15 +108,15 @@ def test_written_documents(export, tmp_path):
 def test_html_and_plain_documents(export):
     page = ordered(lay.html_blocks(export, lay.lay_out(export), "Chat & more"))
     assert page.startswith('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>Chat &amp; more</title>')
-    assert '<article id="1234567890123456"><p><b>alice</b> — Jan 15, 2025 10:30 AM</p><p>Hello world</p><p>Reactions: :thumbsup: (3)</p>\n<blockquote>' in page
-    assert "<p>Hey!<br>You</p></blockquote>" in page and "Hi &quot;there&quot;" in page
+    assert '<article id="1235000000123456"><p><b>mara</b> — Jan 15, 2025 10:30 AM</p><p>Boiler fixed</p><p>Reactions: :thumbsup: (3)</p>\n<blockquote>' in page
+    assert "<p>Nice!<br>You</p></blockquote>" in page and "So &quot;warm&quot;" in page
     assert page.count("<article") == page.count("</article>") == 2
     assert page.count("<section>") == page.count("</section>") == 2 and page.endswith("</body></html>")
     text = ordered(lay.plain_blocks(export, lay.lay_out(export), "Chat"))
     assert text.split("\n") == [
         "Chat - https://test - 2025-01-15T10:05:00", "#general (2 messages)",
-        "alice [Jan 15, 2025 10:30 AM]: Hello world", "    bob: Hey!", "      You", '    charlie (bot): Hi "there" \\ ü',
-        "dave: Standalone msg", "#empty (0 messages)",
+        "mara [Jan 15, 2025 10:30 AM]: Boiler fixed", "    ilse: Nice!", "      You", '    tomek (bot): So "warm" \\ ü',
+        "quinn: Lost a glove", "#empty (0 messages)",
     ]
 
 
@@ -131,7 +131,7 @@ def test_other_sinks_and_default_date(export, tmp_path):
 
 def test_large_document_is_cut_and_stays_in_order(spark, message_table, reply_table, tmp_path):
     """One thread holds most rows: its replies land in several part files, in order."""
-    parent = "1234567890123456"
+    parent = "1235000000123456"
     replies = reply_table(*[{"parent_ts": parent, "pos": p, "text": f"reply {p}"} for p in range(1, 3001)])
     export = plans.channel_export(message_table({"timestamp": parent, "reply_count": 3000}), replies)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -154,7 +154,7 @@ def test_empty_split_writes_nothing(message_table, reply_table, tmp_path):
 
 
 def test_names_of_many_channels(message_table, reply_table):
-    rows = message_table(*[{"channel": c, "timestamp": "1234567890123456"} for c in ("b", "a/x", "d", "c")])
+    rows = message_table(*[{"channel": c, "timestamp": "1235000000123456"} for c in ("b", "a/x", "d", "c")])
     wanted = plans.channel_export(rows, reply_table(), ["d", "c", "b", "a/x"])
     names = lay.stems(lay.lay_out(wanted).documents, "{channel}-{date}", "20250115", ".md")
     assert names.first()["stem"] == "d_c_b_+1-20250115.md"
@@ -178,4 +178,35 @@ def test_json_lines(export, spark, tmp_path):
 def test_xml_rows(export, spark, tmp_path):
     row_sink.write_xml(export, str(tmp_path))
     back = spark.read.format("xml").option("rowTag", "thread").load(f"{tmp_path}/threads")
-    assert back.first()["parent"]["user"] == "alice" and back.first()["reply_count"] == 2
+    assert back.first()["parent"]["user"] == "mara" and back.first()["reply_count"] == 2
+
+
+def test_a_second_export_keeps_the_first(spark, message_table, reply_table, tmp_path):
+    def write(month, *rows):
+        monthly = plans.channel_export(message_table(*rows), reply_table(), channels=["general"]).dated("w", "d")
+        row_sink.write_json_lines(monthly, f"{tmp_path}/rows")
+        return text_sink.write_markdown(monthly, f"{tmp_path}/md", split_by="month")
+
+    assert write("01", {"timestamp": "1704067200000000", "text": "in January"})
+    assert write("02", {"timestamp": "1706745600000000", "text": "in February"})
+    assert write("02", {"timestamp": "1706745600000000", "text": "in February again"})
+    assert not write("03")
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/md").collect())
+    assert "in January" in text and "in February again" in text and "in February\n" not in text
+    assert spark.read.text(f"{tmp_path}/rows/standalone").count() == 2
+
+
+def test_null_user_text_and_bot_flag(spark, message_table, reply_table):
+    rows = message_table({"timestamp": "1", "user": None, "text": "precious", "is_bot": None}, {"timestamp": "2", "text": None})
+    kept = plans.channel_export(rows, reply_table(), exclude_bots=True).messages
+    assert kept.count() == 2
+    shown = kept.orderBy("timestamp").select(render.message(threads.message_struct()), render.html_message(threads.message_struct()), render.plain_message(threads.message_struct()))
+    first, second = shown.collect()
+    assert all("Unknown" in x and "precious" in x for x in first) and all(x and "mara" in x for x in second)
+
+
+def test_month_of_labels_read_with_the_capture_time(spark, message_table, reply_table):
+    rows = message_table({"timestamp": "x", "datetime": "Today at 9:15 AM"}).withColumn("captured_at", F.lit("2024-03-05 12:00:00").cast("timestamp"))
+    export = plans.channel_export(rows, reply_table(), captured_at="captured_at", oldest="2024-03-01")
+    assert [r["month"] for r in lay.lay_out(export, "month").heads.collect()] == ["2024-03"]
+    assert [r["month"] for r in row_sink.message_records(export).collect()] == ["2024-03"]

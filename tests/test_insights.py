@@ -84,6 +84,6 @@ def test_privacy(message_table):
 
 def test_importance_and_metadata(general):
     rows = {r["timestamp"]: r["importance"] for r in importance.score(*general).collect()}
-    assert rows == {"1234567890123456": 3 + 4 + 2, "1234567890123460": 0}
+    assert rows == {"1235000000123456": 3 + 4 + 2, "1235000000123460": 0}
     export = plans.channel_export(*general)
     assert summary.run_metadata(export.parents, export.replies, export.standalone).first() == (1, 1, 2, 1)

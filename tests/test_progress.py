@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from palaver import schema
 from palaver.operators import progress
 from palaver.plans import export as plans
+from palaver.plans import layout
+from palaver.sinks import rows as row_sink
 from palaver.sources import progress_files
 
 
@@ -20,7 +22,7 @@ def saved(spark):
 
 
 def test_status_lists_finished_runs_too(saved):
-    rows = progress.status(saved).collect()
+    rows = progress.status(saved, updated_chars=19).collect()
     assert [(r["export_id"], r["channels"], r["is_complete"], r["updated"]) for r in rows] == [
         ("cp2", "1/1 completed", True, "2024-01-03T00:00:00"),
         ("cp1", "1/2 completed", False, "2024-01-02T00:00:00"),
@@ -66,11 +68,44 @@ def test_expanded_threads_are_a_set(spark, message_table):
 
 def test_rest_of_a_resumed_run(spark, general):
     export = plans.channel_export(*general)
-    done = spark.createDataFrame([("run", "general", "1234567890123456")], schema.EXPANDED)
+    done = spark.createDataFrame([("run", "general", "1235000000123456")], schema.EXPANDED)
     rest = export.without_expanded(done)
     assert rest.parents.count() == 0 and rest.replies.count() == 0 and rest.standalone.count() == 1
 
 
+def test_rest_keeps_standalone_messages_and_totals(message_table, reply_table, spark):
+    rows = message_table({"timestamp": "1", "reply_count": 1}, {"timestamp": "2"}, {"timestamp": "3"})
+    export = plans.channel_export(rows, reply_table())
+    done = spark.createDataFrame([("run", "general", "1"), ("run", "general", "2")], schema.EXPANDED)
+    rest = export.without_expanded(done)
+    assert rest.parents.count() == 0 and rest.standalone.count() == 2
+    totals = row_sink.channel_records(rest).first()["record"]
+    assert json.loads(totals)["total_messages"] == 3
+    heads = layout.lay_out(rest).heads.collect()
+    assert [(r["total_messages"], r["n_threads"], r["n_standalone"]) for r in heads] == [(3, 0, 2)]
+
+
+def test_runs_do_not_mix(message_table, reply_table, spark):
+    row = lambda run, status, mark, at: (run, "w", "general", status, mark, 1, None, at, at, "json")
+    saves = spark.createDataFrame([row("r1", "completed", "8", "a"), row("r2", "pending", "3", "a"), row("r2", "pending", "5", "b")], schema.PROGRESS)
+    rows = message_table(*[{"timestamp": str(i)} for i in range(1, 10)])
+    left = plans.channel_export(rows, reply_table(), progress=saves, export_id="r2", mode="high_water").messages
+    assert sorted(r["timestamp"] for r in left.collect()) == ["6", "7", "8", "9"]
+    assert plans.channel_export(rows, reply_table(), progress=saves).messages.count() == 0
+    with pytest.raises(LookupError):
+        plans.channel_export(rows, reply_table(), progress=saves, export_id="r3")
+    twice = saves.filter("export_id = 'r1'")
+    assert progress.status(twice.unionByName(twice.withColumn("updated_at", F.lit("b")))).first()["channels"] == "1/1 completed"
+
+
+def test_saving_another_run_keeps_the_first(spark, saved, tmp_path):
+    _, nothing = progress_files.empty(spark)
+    for run in ("cp1", "cp2"):
+        progress_files.write_documents(saved.withColumn("export_id", F.lit(run)).dropDuplicates(["channel"]), nothing, str(tmp_path / "p"))
+    found = progress_files.progress(progress_files.read_documents(spark, str(tmp_path / "p")))
+    assert {r["export_id"] for r in found.collect()} == {"cp1", "cp2"}
+
+
 def test_newest_save_counts(saved, spark):
     later = saved.filter("channel = 'random' and export_id = 'cp1'").withColumn("updated_at", F.lit("2024-02-01")).withColumn("status", F.lit("completed"))
     rows = progress.latest(saved.unionByName(later)).filter("export_id = 'cp1'").collect()
@@ -95,7 +130,7 @@ def test_saved_documents(spark, tmp_path):
     (tmp_path / "ser1.json").write_text(json.dumps(full, indent=2))
     (tmp_path / "bare.json").write_text("{}")
     (tmp_path / "broken.json").write_text('{"export_id": "x", ')
-    documents = progress_files.read_documents(spark, str(tmp_path))
+    documents = progress_files.read_documents(spark, str(tmp_path), "*.json", lines=False)
     rows = {(r["export_id"], r["channel"]): r for r in progress_files.progress(documents).collect()}
     assert set(rows) == {("ser1", "general"), ("ser1", "new"), ("bare", None)}
     assert rows["ser1", "general"]["message_count"] == 100
@@ -110,7 +145,7 @@ def test_saved_documents(spark, tmp_path):
 def test_documents_round_trip(spark, saved, tmp_path, page_size):
     expanded = spark.createDataFrame([("cp1", "general", f"t{i}") for i in range(40)], schema.EXPANDED)
     path = progress_files.write_documents(saved, expanded, str(tmp_path / "out"), page_size)
-    documents = progress_files.read_documents(spark, path, "*.txt", lines=True)
+    documents = progress_files.read_documents(spark, path)
     assert (documents.count() > 2) == (page_size == 3)
     order = ["export_id", "channel"]
     assert progress_files.progress(documents).orderBy(order).collect() == saved.orderBy(order).collect()

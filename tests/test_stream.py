@@ -34,22 +34,21 @@ def texts(df):
 
 def test_overlap_restart_and_late_rows(feed):
     def run():
-        stream.ingest(feed.read(), f"{feed.base}/messages", f"{feed.base}/state", delay="2 days").awaitTermination()
+        stream.ingest(feed.read(), f"{feed.base}/messages", f"{feed.base}/state").awaitTermination()
         return texts(feed.stored())
 
     feed.add({"timestamp": micros(10), "text": "a"}, {"timestamp": micros(11), "text": "b"}, {"timestamp": "", "text": "no id"})
     assert run() == ["a", "b"]
     assert run() == ["a", "b"]
-    feed.add({"timestamp": micros(11), "text": "b again"}, {"timestamp": micros(20), "text": "c"})
-    assert run() == ["a", "b", "c"]
-    feed.add({"timestamp": micros(12), "text": "late"}, {"timestamp": micros(19), "text": "in time"})
-    assert run() == ["a", "b", "c", "in time"]
-    assert {r["month"] for r in feed.stored().collect()} == {"2024-01"}
+    feed.add({"timestamp": micros(11), "text": "b again"}, {"timestamp": micros(20), "text": "c"}, {"timestamp": "undated", "text": "u"})
+    assert run() == ["a", "b", "c", "u"]
+    feed.add({"timestamp": micros(2), "text": "late"}, {"timestamp": micros(1), "text": "other channel", "channel": "b"})
+    assert run() == ["a", "b", "c", "late", "other channel", "u"]
 
 
 def test_lossless_keeps_late_rows_and_survives_replay(feed):
     def run(state):
-        stream.ingest_lossless(feed.read(), f"{feed.base}/messages", f"{feed.base}/{state}").awaitTermination()
+        stream.ingest(feed.read(), f"{feed.base}/messages", f"{feed.base}/{state}").awaitTermination()
         return texts(feed.stored())
 
     feed.add({"timestamp": micros(20), "text": "c"}, {"timestamp": "undated", "text": "u"})
@@ -66,7 +65,7 @@ def test_replies_are_added_once(spark, reply_table, tmp_path):
         return sorted(r["pos"] for r in spark.read.parquet(f"{tmp_path}/replies").collect())
 
     def add(*positions):
-        reply_table(*[{"parent_ts": micros(3), "pos": p} for p in positions]).write.mode("append").parquet(f"{tmp_path}/in")
+        reply_table(*[{"parent_ts": micros(3), "pos": p, "timestamp": micros(4, p)} for p in positions]).write.mode("append").parquet(f"{tmp_path}/in")
 
     add(1, 2, 2)
     assert run("s") == [1, 2]
@@ -75,6 +74,15 @@ def test_replies_are_added_once(spark, reply_table, tmp_path):
     assert run("again") == [1, 2, 3]
 
 
+def test_replies_that_move_up_are_kept(spark, reply_table, tmp_path):
+    for names in (["r1", "r2", "r3"], ["r1", "r3", "r4"]):
+        rows = [{"parent_ts": micros(3), "pos": i + 1, "text": n, "timestamp": "" if n == "r1" else n} for i, n in enumerate(names)]
+        reply_table(*rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(reply_table().schema).parquet(f"{tmp_path}/in")
+        stream.ingest_replies(source, f"{tmp_path}/replies", f"{tmp_path}/state").awaitTermination()
+    assert texts(spark.read.parquet(f"{tmp_path}/replies")) == ["r1", "r2", "r3", "r4"]
+
+
 def test_counters_go_on_after_restart(spark, feed):
     def run():
         source = spark.readStream.schema(feed.stored("in").schema).parquet(f"{feed.base}/in")

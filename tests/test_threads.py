@@ -11,14 +11,14 @@ def users(replies):
 
 def test_nesting_keeps_panel_order(general):
     row = plans.channel_export(*general).nested_threads().first()
-    assert row["parent"]["user"] == "alice"
-    assert users(row["replies"]) == ["bob", "charlie"]
+    assert row["parent"]["user"] == "mara"
+    assert users(row["replies"]) == ["ilse", "tomek"]
     assert (row["reply_count"], row["n_replies"], row["page"]) == (2, 2, 0)
 
 
 def test_declared_count_survives_bot_filter(general):
     row = plans.channel_export(*general, exclude_bots=True).nested_threads().first()
-    assert users(row["replies"]) == ["bob"] and row["reply_count"] == 2 and row["n_replies"] == 1
+    assert users(row["replies"]) == ["ilse"] and row["reply_count"] == 2 and row["n_replies"] == 1
 
 
 def test_thread_of_bots_only_stays_a_thread(message_table, reply_table):
@@ -72,12 +72,12 @@ def test_messages_are_threads_or_standalone(general):
     export = plans.channel_export(*general)
     assert export.parents.count() + export.standalone.count() == export.messages.count()
     difference = threads.standalone_without(general[0], general[1])
-    assert [r["user"] for r in difference.collect()] == ["dave"]
+    assert [r["user"] for r in difference.collect()] == ["quinn"]
 
 
 def test_reply_counts_from_replies(general):
     counted = threads.with_reply_counts(*general)
-    assert {r["user"]: r["reply_count"] for r in counted.collect()} == {"alice": 2, "dave": 0}
+    assert {r["user"]: r["reply_count"] for r in counted.collect()} == {"mara": 2, "quinn": 0}
 
 
 def test_depth_limit(reply_table):
