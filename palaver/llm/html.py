@@ -29,7 +29,8 @@ MAIN_TEXT = T.StructType(
 _TOKEN = re.compile(
     r"<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|select|object|canvas|math|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<[a-zA-Z/][^<>]*\Z",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -179,7 +180,7 @@ def rows_of(found: list[list]) -> list[tuple[float, ...]]:
 # --- the tree ---
 
 
-def grow(rows: list[tuple[float, ...]], labels: list[int], depth: int = 6):
+def grow(rows: list[tuple[float, ...]], labels: list[int], depth: int = 9):
     """A binary decision tree by Gini impurity: a class, or (feature, threshold, at most, above)."""
     positive = sum(labels)
     if depth == 0 or positive in (0, len(labels)):
@@ -248,6 +249,18 @@ LABELLED: list[tuple[str, list[int]]] = [
     ("<table><tr><td><a href=a>Rain</a></td><td>12 Jan</td></tr><tr><td><a href=b>Sun</a></td><td>13 Jan</td></tr></table>", [0, 0, 0, 0]),
     ("<article><ul><li>One</li><li>Two and three</li></ul><p>" + _L + "</p></article>", [1, 1, 1]),
     ("<article><p><a href=a>" + _S + "</a></p></article>", [1]),
+    ("<h1>Rain and sun</h1><p>" + _S + "</p><p>" + _S + "</p>", [1, 1, 1]),
+    ("<div><a href=a>Home</a> | <a href=b>News</a> | <a href=c>All</a></div><h1>Rain</h1><p>" + _S + "</p>", [0, 1, 1]),
+    ("<h2>Harbour</h2><p>" + _S + "</p><h2>Old town</h2><p>" + _S + "</p>", [1, 1, 1, 1]),
+    ("<p>By a reader</p><p>" + _S + "</p>", [0, 1]),
+    ("<article><p>Short start.</p><p>" + _L + "</p></article>", [1, 1]),
+    ("<main><p>By the river</p><p>" + _S + "</p></main>", [1, 1]),
+    ("<article><p>Rain, they said, for days and days</p><p>" + _S + "</p></article>", [1, 1]),
+    ("<nav><a href=a>Home</a></nav><article><p>So it rained.</p><p>" + _S + "</p><p>So it did</p></article>", [0, 1, 1, 1]),
+    ("<div><a href=a>Home</a></div><article><p>So it rained for a week</p><p>" + _L + "</p></article><div>Views</div>", [0, 1, 1, 0]),
+    ("<article><p><a href=a>Rain</a> in June</p><p>" + _S + "</p></article>", [1, 1]),
+    ("<article><p>" + _S + "</p><p><a href=a>Rain</a></p><p><a href=b>Sun and rain</a></p></article>", [1, 1, 1]),
+    ("<article><h1><a href=a>Rain</a></h1><p>" + _S + "</p></article>", [1, 1]),
 ]
 
 
