@@ -14,7 +14,7 @@ bucket every node is first compared with the smallest one; what is then still in
 components is compared with further pivots, round by round, until each bucket is one
 component or all of its cross pairs have been compared: no pair that shares a band is
 skipped, and a bucket of copies costs a number of comparisons in proportion to its size.
-Cross pairs are first compared inside the join by two bits of each of 1,024 coordinates, which
+Cross pairs are first compared inside the join by two bits of each of 2,048 coordinates, which
 passes a pair of the similarity asked for but for one in 10^6 and few pairs below 0.7. The
 comparison that counts is exact, on the sets themselves.
 """
@@ -39,7 +39,7 @@ from palaver.llm.wordhash import Words, mixed
 ship(__name__)
 
 SHINGLE, COORDINATES, ROWS = 5, 240, 6
-SKETCH = 1024
+SKETCH = 2048
 SIMILAR = (4, 5)  # 0.8 as a fraction: counts are compared as integers
 PIVOTS = (4, 16, 64, 256)  # a bucket's new pivots in each round; the last number goes on
 _SLICE = 1 << 20
