@@ -36,7 +36,7 @@ STEMS = (4, 5, 6)
 SECOND_PERSON = frozenset(
     "you your yours yourself youre u ur du dich dir dein deine deiner ihr euch euer sie tu te toi ton ta tes vous votre vos ti usted ustedes tus vosotros os".split()
 )
-LETTER_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"})
+LETTERS_FOR = [str.maketrans({"0": "o", "1": one, "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"}) for one in "il"]
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SIGNS = re.compile(r"[\W_]+")
 _PUNCTUATION = np.isin(np.arange(256), [ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"])
@@ -67,9 +67,8 @@ class Kinds(dict):
         word = _EDGES.sub("", token.lower())
         kind = self._in_lexicon(word) if word else 0
         if not kind:
-            plain = token.lower().strip(".,;:?\"'()").translate(LETTER_FOR)
-            plain = _SIGNS.sub("", plain)
-            if plain and plain != word and self._in_lexicon(plain) == _KNOWN:
+            base = token.lower().strip(".,;:?!\"'()")
+            if any(p and p != word and self._in_lexicon(p) == _KNOWN for p in (_SIGNS.sub("", base.translate(t)) for t in LETTERS_FOR)):
                 kind = _DISGUISED
         if word in SECOND_PERSON:
             kind |= _SECOND
