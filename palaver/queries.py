@@ -7,6 +7,8 @@ to strings and numbers so both sides compare.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import UTC
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -965,6 +967,89 @@ def stream_counters(spark, folder):
     return stream.latest_counters(spark.read.parquet(f"{base}/counters"))
 
 
+def _batches(spark: SparkSession, *parts: DataFrame) -> DataFrame:
+    """The parts as a stream, one micro-batch each, in this order."""
+    base = shared_folder(spark, "feed")
+    for number, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{base}/part={number}")
+    files = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("latestFirst", False)
+    return files.option("recursiveFileLookup", True).parquet(base)
+
+
+@register(
+    "stream_channel_backfill",
+    f"""WITH {EVENTS}
+SELECT channel, "timestamp", "user" FROM e""",
+)
+def stream_channel_backfill(spark, folder):
+    """Newest rows first, then the history before them, of every channel: nothing is late."""
+    events = _events(spark, folder)
+    new = F.col("timestamp") >= str(times.parse_bound(CUT).replace(tzinfo=UTC).timestamp())[:10] + "000000"
+    base = shared_folder(spark, "stream")
+    stream.ingest(_batches(spark, events.filter(new), events.filter(~new)), f"{base}/messages", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/messages").select("channel", "timestamp", "user")
+
+
+@register(
+    "stream_undated_history",
+    f"""WITH {EVENTS}
+SELECT channel, CASE WHEN seq % 14 = 0 THEN 'undated '||seq ELSE "timestamp" END AS "timestamp",
+       CASE WHEN seq % 14 = 0 THEN 'unknown' ELSE strftime(ts, '%Y-%m') END AS "month" FROM e""",
+)
+def stream_undated_history(spark, folder):
+    """A seventh of the rows has no date; they come first and hold back none of the dated history."""
+    events, undated = _events(spark, folder), F.col("seq") % 14 == 0
+    named = events.filter(undated).withColumn("timestamp", F.concat(F.lit("undated "), F.col("seq").cast("string")))
+    base = shared_folder(spark, "stream")
+    stream.ingest(_batches(spark, named, events.filter(~undated)), f"{base}/messages", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/messages").select("channel", "timestamp", "month")
+
+
+@register(
+    "stream_reply_shift",
+    f"""WITH {TALKS}
+SELECT parent_ts, ts AS "timestamp", "user" FROM c WHERE turn > 0""",
+)
+def stream_reply_shift(spark, folder):
+    """Threads read again after their first reply is gone: places move up, ids tell what is new."""
+    _, replies = _talks(spark, folder)
+    before = replies.filter("pos <= 3")
+    after = replies.filter("pos > 1").withColumn("pos", F.col("pos") - 1)
+    base = shared_folder(spark, "stream")
+    stream.ingest_replies(_batches(spark, before, after), f"{base}/replies", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/replies").select("parent_ts", "timestamp", "user")
+
+
+@register(
+    "sink_two_months",
+    f"""WITH {ORDERS}
+SELECT "year", "month", count(*) AS n FROM (
+  SELECT split_part("month", '-', 1) AS "year", "month" FROM p) GROUP BY ALL""",
+)
+def sink_two_months(spark, folder):
+    """Every second month exported, then the others into the same folder; all are read back."""
+    path = shared_folder(spark, "months")
+    export = _order_export(spark, folder, expand_threads=False)
+    month = F.month(times.id_datetime(F.col("timestamp")))
+    for rest in (0, 1):
+        row_sink.write_json_lines(replace(export, messages=export.messages.filter(month % 2 == rest)), path)
+    back = spark.read.option("basePath", f"{path}/standalone").schema("value string, year string, month string").text(f"{path}/standalone")
+    return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "resume_rest_totals",
+    f"""WITH {ORDERS}
+SELECT channel, count(*) AS total_messages, count(*) FILTER (reply_count > 0 AND text <> 'F') AS n_threads,
+       count(*) FILTER (reply_count = 0) AS n_standalone FROM p GROUP BY channel""",
+)
+def resume_rest_totals(spark, folder):
+    """What is left of a run whose threads with status F are saved: totals still count everything."""
+    export = _order_export(spark, folder)
+    saved = export.messages.filter("text = 'F'").select(F.lit("run").alias("export_id"), "channel", F.col("timestamp").alias("parent_ts"))
+    return lay.lay_out(export.without_expanded(saved)).heads.select("channel", "total_messages", "n_threads", "n_standalone")
+
+
 # --- documented features --------------------------------------------------------------------
 
 
