@@ -23,7 +23,7 @@ def duck():
 
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return Counter(tuple(row[i] for i in order) for row in rows)
+    return Counter(tuple(tuple(row[i]) if isinstance(row[i], list) else row[i] for i in order) for row in rows)
 
 
 @pytest.mark.parametrize("name", list(entry.queries()))
