@@ -39,8 +39,11 @@ def sample_dictionaries(docs: DataFrame, texts_per_language: int = 64, text_char
     texts = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(
         F.min("doc_id").alias("doc_id"), F.min(F.length("text") > text_chars).alias("is_long")
     )
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("is_long", "h"))
-    chosen = texts.withColumn("n", order).filter(F.col("n") <= texts_per_language).select("doc_id", "lang").collect()
+    # first within lanes of a language, so that what meets in one task does not grow with the number of tasks
+    for group in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        order = F.row_number().over(Window.partitionBy(*group).orderBy("is_long", "h"))
+        texts = texts.withColumn("n", order).filter(F.col("n") <= texts_per_language).drop("n")
+    chosen = texts.select("doc_id", "lang").collect()
     ids = sorted({r.doc_id for r in chosen})
     found = (
         docs.filter(F.col("doc_id").isin(ids) & F.col("lang").isNotNull())
