@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +32,9 @@ ship(__name__)
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
-_MEMO, _MEMO_LENGTH = 120_000, 40
-_MASK = (1 << 64) - 1
+VARIANTS = 4
+_MEMO, _MEMO_LENGTH = 250_000, 40
+_MASK = (1 << 32) - 1
 
 
 class Model:
@@ -67,6 +71,7 @@ class Encoder:
         self.variants = variants if self.below else 1
         self.find = re.compile(model.parts).findall
         self.memo = [_Memo(self, v) for v in range(self.variants)]
+        self.keys = [zlib.crc32(b"%d %d" % (seed, v)) for v in range(self.variants)]
         self.literal = np.array([model.bytes[b] for b in _SPACE_BYTES], "<i4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -92,40 +97,40 @@ class Encoder:
         ranks, n = self.model.ranks, len(part)
         symbols: list[str | None] = list(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(*ranks[pair], i, pair) for i in range(n - 1) if (pair := part[i : i + 2]) in ranks]
-        agenda = [(rank, i, pair, piece) for rank, piece, i, pair in agenda]
+        known, below, key, push = ranks.get, self.below, self.keys[variant], heapq.heappush
+        agenda = [(found[0], i, part[i : i + 2], found[1]) for i in range(n - 1) if (found := known(part[i : i + 2]))]
         heapq.heapify(agenda)
         while agenda:
             _, i, pair, piece = heapq.heappop(agenda)
             j = after[i] if symbols[i] is not None else n
             if j >= n or symbols[i] + symbols[j] != pair:
                 continue  # one of the two was merged meanwhile
-            if self.below and self._skips(variant, piece, i):
-                continue
+            if below and _keyed(key, piece, i) < below:
+                continue  # skipped; a changed neighbour may propose another
             symbols[i], symbols[j] = pair, None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                self._propose(agenda, ranks, pair + symbols[k], i)
-            if before[i] >= 0:
-                self._propose(agenda, ranks, symbols[before[i]] + pair, before[i])
+                if found := known(pair + symbols[k]):
+                    push(agenda, (found[0], i, pair + symbols[k], found[1]))
+            h = before[i]
+            if h >= 0 and (found := known(symbols[h] + pair)):
+                push(agenda, (found[0], h, symbols[h] + pair, found[1]))
         ids: list[int] = []
         for s in symbols:
             if s is not None:
-                found = ranks.get(s)
-                ids += [found[1]] if found else [self.model.bytes[b] for b in s.encode()]
-        return np.array(ids, "<i4").tobytes()
+                if found := known(s):
+                    ids.append(found[1])
+                else:
+                    ids += [self.model.bytes[b] for b in s.encode()]
+        return struct.pack(f"<{len(ids)}i", *ids)
 
-    @staticmethod
-    def _propose(agenda, ranks, pair: str, i: int) -> None:
-        found = ranks.get(pair)
-        if found:
-            heapq.heappush(agenda, (found[0], i, pair, found[1]))
 
-    def _skips(self, variant: int, piece: int, i: int) -> bool:
-        h = (self.seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03 + piece * 0xA24BAED4963EE407 + i * 0x8CB92BA72F3D8DD7) & _MASK
-        h = ((h ^ h >> 31) * 0xFF51AFD7ED558CCD) & _MASK
-        return (h ^ h >> 29) >> 7 & 0xFFFFFFFF < self.below
+def _keyed(key: int, piece: int, i: int) -> int:
+    """A 32-bit hash of a candidate's piece and place under the key of seed and variant."""
+    h = (key ^ piece * 0x9E3779B1 ^ i * 0x85EBCA77) & _MASK
+    h = (h ^ h >> 16) * 0x21F0AAAD & _MASK
+    return h ^ h >> 15
 
 
 class _Memo(dict):
@@ -135,19 +140,26 @@ class _Memo(dict):
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encoder.merge(part, self.variant)
-        if len(part) <= _MEMO_LENGTH:
-            if len(self) >= _MEMO:
-                self.clear()
+        if len(part) <= _MEMO_LENGTH and len(self) < _MEMO:  # the frequent parts come early
             self[part] = ids
         return ids
 
 
+def _encoder(model: Model, dropout: float, seed: int, variants: int) -> Encoder:
+    """The worker's encoder, kept from task to task: merging a part anew costs a hundred times a look-up."""
+    kept = sys.modules.setdefault("_palaver_encoder", types.ModuleType("_palaver_encoder"))
+    key = (dropout, seed, variants, zlib.crc32("".join(model.ranks).encode()))
+    if getattr(kept, "key", None) != key:
+        kept.encoder, kept.key = Encoder(model, dropout, seed, variants), key
+    return kept.encoder
+
+
 def decode_ids(ids, spelled: list[bytes]) -> str:
     text = b"".join(map(spelled.__getitem__, ids)).decode()
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 11, variants: int = 4, text: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 11, variants: int = VARIANTS, text: str = "text", check: bool = False) -> DataFrame:
     """``docs`` with ``pieces``, the ids of each text.
 
     ``check`` adds ``lossless``: whether the ids decode to the text. A null text has null
@@ -163,7 +175,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(model, dropout, seed, variants)
+        own = _encoder(model, dropout, seed, variants)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

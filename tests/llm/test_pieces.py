@@ -50,7 +50,7 @@ def test_round_trip_and_variety(spark, model):
 def test_share_of_skipped_merges(model):
     own = pieces.Encoder(model, 0.1, 5, 4)
     rng = random.Random(1)
-    skipped = [own._skips(rng.randrange(4), rng.randrange(32000), rng.randrange(20)) for _ in range(20000)]
+    skipped = [pieces._keyed(own.keys[rng.randrange(4)], rng.randrange(32000), rng.randrange(20)) < own.below for _ in range(20000)]
     assert abs(sum(skipped) / len(skipped) - 0.1) < 0.01
 
 
