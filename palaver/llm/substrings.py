@@ -12,7 +12,8 @@ document with a smaller id. Any window holds one whole block of half its length,
 Documents are dealt to chunks by hash. A chunk sends each distinct hash once, packed and
 sorted, and gets back which of them repeat: copies within a chunk never travel, a run
 that every document has costs one entry per chunk, and nothing is kept per pair of documents.
-The chunks are shuffled once and read three times.
+The chunks are shuffled once and read three times, each time put in order first, since
+repeats within a chunk are sent as positions of its words.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,11 +119,16 @@ class _Plan:
     def __init__(self, window: int, bits: int):
         self.window, self.block, self.bits = window, (window + 1) // 2, bits
 
-    def _words(self, table: pa.Table) -> tuple[Words, np.ndarray]:
-        """The words, and of each document the rank of its id among the chunk's ids (null: none)."""
+    def _words(self, table: pa.Table) -> tuple[pa.Table, Words, np.ndarray]:
+        """The chunk by id and text, its words, and of each document the rank of its id among the chunk's ids (null: none).
+
+        Rows arrive in any order, another one in each pass; rows equal in both have the same words.
+        """
+        keys = pa.table({"doc_id": table["doc_id"], "text": table["text"].cast(pa.large_string())})
+        table = table.take(pc.sort_indices(keys, [("doc_id", "ascending"), ("text", "ascending")]))
         ids = table["doc_id"].fill_null(_NO_ID).to_numpy()
         self.ids, ranks = np.unique(ids, return_inverse=True)
-        return Words(table["text"]), np.where(ids == _NO_ID, -1, ranks)
+        return table, Words(table["text"]), np.where(ids == _NO_ID, -1, ranks)
 
     def _anchor_codes(self, words: Words, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where a block-long run may start, and its shortened hash; the leading bits are its part."""
@@ -130,7 +137,7 @@ class _Plan:
 
     def index(self, table: pa.Table) -> pa.Table:
         """Every distinct run of a chunk; the last two bits tell of a whole block and of several places."""
-        words, ranks = self._words(table)
+        table, words, ranks = self._words(table)
         at, codes = self._anchor_codes(words, ranks)
         if not len(at):
             return _packed([])
@@ -165,7 +172,7 @@ class _Plan:
         """Every distinct window around an anchor with the smallest document of the chunk that holds it."""
         if not table.num_rows or not anchors.num_rows:
             return _packed([])
-        words, ranks = self._words(table)
+        table, words, ranks = self._words(table)
         at, codes = self._anchor_codes(words, ranks)
         hits = np.sort(np.concatenate([
             _unpack_sorted(p) | np.uint64(part << _KEY_BITS) for part, p in zip(anchors["part"].to_pylist(), anchors["payload"].to_pylist())
@@ -233,7 +240,7 @@ class _Plan:
 
     def cutter(self, own: pa.Schema, carried: int, texts: bool):
         def cut(table: pa.Table, repeats: pa.Table) -> pa.Table:
-            words, ranks = self._words(table)
+            table, words, ranks = self._words(table)
             n = len(words.starts)
             begins = np.zeros(n, bool)
             highs, lows = [np.zeros(0, "<u8")], [np.zeros(0, "<u2")]

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from palaver.llm import substrings
@@ -79,3 +81,22 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, long), (2, "start " + long)], "doc_id bigint, text string")
     found = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(docs, texts=False).collect()}
     assert found == {1: (200_001, 0), 2: (200_002, 200_001)}
+
+
+def grouped(table, key):
+    return [table.filter(pa.compute.equal(table[key], k)) for k in sorted(set(table[key].to_pylist()))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_row_order_differs_between_passes(seed):
+    rows, rng = corpus(seed, window=7), random.Random(seed)
+    plan = substrings._Plan(7, 3)
+
+    def chunk():
+        rng.shuffle(rows)
+        return pa.table({"chunk": pa.array([0] * len(rows), pa.int32()), "doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+
+    anchors = pa.concat_tables([plan.match_anchors(t) for t in grouped(plan.index(chunk()), "part")])
+    repeats = pa.concat_tables([plan.match_windows(t) for t in grouped(plan.extend(chunk(), anchors), "part")])
+    cut = plan.cutter(substrings.arrow_schema(substrings.T.StructType(substrings.OWN)), 0, True)(chunk(), repeats).to_pylist()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in cut], key=str) == brute(rows, 7)
