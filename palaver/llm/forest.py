@@ -3,16 +3,19 @@
 A tree hashes a vector to a long string: after a random rotation, each group of sixteen
 coordinates gives a symbol, the place and sign of its largest one. A lane holds a sorted
 array of strings per tree. A query goes down to its longest matching prefix in every tree,
-then up in all trees at once, one symbol at a time, until enough different candidates share a
-prefix with it; their cosines are computed on the original vectors.
+then up in all trees at once, one symbol at a time, until enough different rows share a
+prefix with it, and one symbol further. The rows that share most symbols with it, over all
+trees, are the candidates; their cosines are computed on the original vectors.
 
-Every vector is in one lane, and every lane answers every query, so the share of the vectors
-compared (about a tenth) does not depend on the size of the table.
+Every vector is in one lane, and every lane answers every query. A level of the trees has
+too few rows or nearly all, so it is the count of shared symbols that sets the number of
+candidates: the wanted one exactly, whatever the size of the table.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,8 +34,8 @@ SHARE, LEAST = 0.08, 256
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """``query_id, rank, vec_id, score`` for each vector of ``queries`` among all other ``vectors``.
 
-    Scores are cosines in double precision; ties go to the smaller id. Each lane gives at
-    least ``share`` of its rows (``least`` in number, all if it has fewer) as candidates.
+    Scores are cosines in double precision; ties go to the smaller id. Each lane gives
+    ``share`` of its rows (``least`` in number, all if it has fewer) as candidates.
     Vectors that are null, empty, zero or hold null or non-finite components take no part,
     nor do null ids; vectors of another width than the query's are no candidates. A row is
     no candidate of a query with its own id. An empty table gives no rows.
@@ -73,11 +76,28 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return tame / np.sqrt((tame * tame).sum(axis=1))[:, None]
 
 
+def _shared(n: int, orders: list[np.ndarray], low: np.ndarray, high: np.ndarray, wanted: int) -> np.ndarray:
+    """Of each row the symbols it shares with the query, up to the level above the one that meets ``wanted`` rows."""
+    shared, met, enough = np.zeros(n, np.int64), [], False
+    for level in range(DEPTH):
+        trees = np.flatnonzero(high[:, level] > low[:, level])
+        met += [orders[t][a:b] for t, a, b in zip(trees.tolist(), low[trees, level].tolist(), high[trees, level].tolist())]
+        if enough or level == DEPTH - 1 or sum(map(len, met)) + np.count_nonzero(shared) >= wanted:
+            if met:
+                shared += np.bincount(np.concatenate(met), minlength=n)
+            met = []
+            if enough:
+                break
+            enough = np.count_nonzero(shared) >= wanted
+    return shared
+
+
 def _finder(k: int, trees: int, share: float, least: int):
     def find(lane, block):
         ids, _, rows = lane
         queries, _, asked = block
-        n, wanted = len(ids), max(least, int(share * len(ids)))
+        n = len(ids)
+        wanted = max(least, k, math.ceil(share * n))
         unit, unit_asked = _unit(rows), _unit(asked)
         orders, ranges = [], []
         if n > wanted:
@@ -95,18 +115,12 @@ def _finder(k: int, trees: int, share: float, least: int):
         low = np.array([[r[0] for r in tree] for tree in ranges]) if ranges else None
         high = np.array([[r[1] for r in tree] for tree in ranges]) if ranges else None
         for i, query in enumerate(queries):
-            places = None
+            places = np.arange(n)
             if n > wanted:
-                seen = np.zeros(n, bool)
-                for level in range(DEPTH):
-                    for t in np.flatnonzero(high[:, level, i] > low[:, level, i]):
-                        seen[orders[t][low[t, level, i] : high[t, level, i]]] = True
-                    places = np.flatnonzero(seen)
-                    if len(places) >= wanted:
-                        break
-                else:
-                    places = None  # above the first symbol is everything
-            places = np.arange(n) if places is None else places
+                shared = _shared(n, orders, low[:, :, i], high[:, :, i], wanted)
+                shared[ids == query] = -1
+                # of equal counts the smaller ids, so that the choice is fixed
+                places = np.sort(np.argpartition(shared * n - places, n - wanted)[n - wanted :])
             places = places[ids[places] != query]
             rough = unit[places] @ unit_asked[i]
             if len(places) > k:  # exact scores for all that rounding could bring among the first k

@@ -88,3 +88,26 @@ def test_small_tables_are_exact(spark):
     assert all(found[key][0] == expected[key][0] or abs(found[key][1] - expected[key][1]) < 1e-12 for key in found)
     assert found[0, 1][0] in (100, 200) and abs(found[0, 1][1] - 1) < 1e-12
     assert forest.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n, least", [(400, 256), (2_000, 0), (3_000, 256), (8_000, 256), (20_000, 256)])
+def test_recall_on_random_vectors_of_any_number(monkeypatch, n, least):
+    """The lanes of a table as the search meets them; the share compared is counted."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    queries, compared = np.arange(0, n, n // 100), []
+    top = forest.V.top
+    hits = {q: [] for q in queries.tolist()}
+    shared = forest._shared
+    monkeypatch.setattr(forest, "_shared", lambda *args: compared.append(args[-1]) or shared(*args))
+    for lane in np.array_split(np.random.default_rng(1).permutation(n), -(-n // forest.LANE)):
+        lane = np.sort(lane)
+        for q, ids, scores in forest._finder(5, forest.TREES, forest.SHARE, least)((lane, None, x[lane]), (queries, None, x[queries])):
+            hits[q] += zip((-scores).tolist(), ids.tolist())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = 0
+    for q in queries.tolist():
+        scores = unit @ unit[q]
+        scores[q] = -9
+        found += len({i for _, i in sorted(hits[q])[:5]} & set(top(np.arange(n), scores, 5).tolist()))
+    assert found / (5 * len(queries)) >= 0.9
+    assert sum(compared) <= len(queries) * max(256 * (least > 0), forest.SHARE * n + 2)
