@@ -52,7 +52,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces, and whether these decode to the text."""
     configure(spark)
-    return pieces.encode(docs, PIECE_MODEL, check=True)
+    # equal rows are interchangeable; numbered, each copy the mix takes has skips of its own
+    numbered = docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = numbered.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    return pieces.encode(numbered, PIECE_MODEL, check=True, by=["doc_id", "_copy"]).drop("_copy")
 
 
 STAGES = [

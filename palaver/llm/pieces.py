@@ -1,24 +1,29 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A text is cut where no piece can cross, and each part is merged bottom up from an agenda,
-best merge first, as the model's merge order says. With dropout, a candidate taken from the
-agenda is skipped when a keyed hash of seed, variant, piece and position falls below the
-rate; it can come back only when a neighbour changes. Each seed gives another segmentation, each one
-decodes to the same text. Without dropout the result is the model's own.
-
-A part's variant follows from the text and the part's place in it, among a fixed number, so
-that parts met before need not be merged again.
+best merge first, as the model's merge order says. With dropout, each candidate taken from the
+agenda is skipped at the rate, drawn by a hash keyed by seed, document and the part's place in
+the text; it can come back only when a neighbour changes. Each seed gives another segmentation,
+each one decodes to the same text. Without dropout the result is the model's own.
+
+A hash draws how many candidates pass before one is skipped. Where that is more than the part
+has, it is merged as without dropout; otherwise its merging depends on the numbers of those
+skipped alone. So parts met before need not be merged again, and what is remembered changes
+no result.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import heapq
+import itertools
 import re
 import struct
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +31,16 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from palaver.llm.common import arrow_schema, ship
+from palaver.llm.common import arrow_schema, ship, taken_names
 
 ship(__name__)
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
-VARIANTS = 4
+KEYS = 4
 _MEMO, _MEMO_LENGTH = 250_000, 40
 _MASK = (1 << 32) - 1
+_LONGEST_GAP = 4096
 
 
 class Model:
@@ -63,50 +69,94 @@ class Model:
 
 
 class Encoder:
-    """Encodes on one worker; remembers a bounded number of parts per variant."""
+    """Encodes on one worker; remembers a bounded number of parts, and of ways to merge them."""
 
-    def __init__(self, model: Model, dropout: float, seed: int, variants: int):
+    def __init__(self, model: Model, dropout: float, seed: int, keys: int = KEYS):
         self.model, self.seed = model, seed
         self.below = int(dropout * (1 << 32))
-        self.variants = variants if self.below else 1
         self.find = re.compile(model.parts).findall
-        self.memo = [_Memo(self, v) for v in range(self.variants)]
-        self.keys = [zlib.crc32(b"%d %d" % (seed, v)) for v in range(self.variants)]
+        self.memo: dict[str, list] = {}  # of a part: its ids, the candidates taken, the same with a first one skipped
+        self.varied = 0
+        self.keys = [zlib.crc32(b"%d %d" % (seed, v)) for v in range(keys)]
+        self.gaps = _gaps(dropout) if self.below else []
+        self.ladder = np.array(self.gaps, np.uint64)
         self.literal = np.array([model.bytes[b] for b in _SPACE_BYTES], "<i4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as packed 32-bit numbers."""
+    def encode(self, text: str, row: str = "") -> bytes:
+        """Ids as packed 32-bit numbers; ``row`` tells documents of one text apart."""
         if not text:
             return b""
-        first = (zlib.crc32(text.encode()) ^ self.seed) if self.variants > 1 else 0
-        out, prefix = [], SPACE
+        out, known, prefix, place = [], self.memo.get, SPACE, 0
+        own = hashlib.blake2b(f"{self.seed} {row}\0{text}".encode(), digest_size=8).digest() if self.below else b""
         for k, stretch in enumerate(text.split(SPACE)):
             if k:  # the sign that stands for a space, as a character of the text
                 out.append(self.literal)
             parts = self.find(prefix + stretch.replace(" ", SPACE))
-            found = [b""] * len(parts)
-            for v in range(self.variants):
-                start = (v - first) % self.variants
-                found[start :: self.variants] = map(self.memo[v].__getitem__, parts[start :: self.variants])
-            out += found
+            if self.below:
+                draws = _draws(int.from_bytes(own, "little"), place, len(parts))
+                firsts = np.searchsorted(self.ladder, draws >> np.uint64(32), "right").tolist()
+                rests = (draws & np.uint64(_MASK)).tolist()
+            else:
+                firsts = rests = [_MASK] * len(parts)
+            for part, first, rest in zip(parts, firsts, rests):
+                node = known(part)
+                out.append(node[0] if node is not None and first >= node[1] else self._merged(part, first, rest))
+            place += len(parts)
             prefix = ""
         return b"".join(out)
 
-    def merge(self, part: str, variant: int) -> bytes:
-        """Agenda processing of one part."""
+    def _skips(self, gap: int, rest: int) -> Iterator[int]:
+        """Numbers of the candidates to skip: the first after ``gap``, the others drawn from ``rest``."""
+        at = turn = 0
+        if not self.below:
+            return
+        while True:
+            at += gap
+            if gap < len(self.gaps):
+                yield at
+                at += 1
+            turn += 1
+            gap = bisect.bisect_right(self.gaps, _keyed(self.keys[turn % len(self.keys)], rest, turn))
+
+    def _merged(self, part: str, first: int, rest: int) -> bytes:
+        skips = self._skips(first, rest)
+        if len(part) > _MEMO_LENGTH:
+            return self.merge(part, skips)[0]
+        taken, parent, node = [], None, self.memo.get(part)
+        while node is not None:
+            if (at := next(skips, _MASK)) >= node[1]:
+                return node[0]
+            taken.append(at)
+            parent, node = node, node[2].get(at) if node[2] else None
+        ids, candidates, skipped = self.merge(part, itertools.chain(taken, skips))
+        if skipped == len(taken):  # the frequent ones come early
+            node = [ids, candidates, None]
+            if parent is None and len(self.memo) < _MEMO:
+                self.memo[part] = node
+            elif parent is not None and self.varied < 3 * _MEMO:
+                parent[2] = parent[2] or {}
+                parent[2][taken[-1]] = node
+                self.varied += 1
+        return ids
+
+    def merge(self, part: str, skips: Iterator[int]) -> tuple[bytes, int, int]:
+        """Agenda processing of one part, but for candidates of the rising numbers ``skips``; also how many were taken and skipped."""
         ranks, n = self.model.ranks, len(part)
         symbols: list[str | None] = list(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        known, below, key, push = ranks.get, self.below, self.keys[variant], heapq.heappush
+        known, push = ranks.get, heapq.heappush
+        taken, skipped, skip = 0, 0, next(skips, -1)
         agenda = [(found[0], i, part[i : i + 2], found[1]) for i in range(n - 1) if (found := known(part[i : i + 2]))]
         heapq.heapify(agenda)
         while agenda:
-            _, i, pair, piece = heapq.heappop(agenda)
+            _, i, pair, _ = heapq.heappop(agenda)
             j = after[i] if symbols[i] is not None else n
             if j >= n or symbols[i] + symbols[j] != pair:
                 continue  # one of the two was merged meanwhile
-            if below and _keyed(key, piece, i) < below:
-                continue  # skipped; a changed neighbour may propose another
+            taken += 1
+            if taken > skip >= 0:
+                skipped, skip = skipped + 1, next(skips, -1)
+                continue  # a changed neighbour may propose another
             symbols[i], symbols[j] = pair, None
             after[i] = k = after[j]
             if k < n:
@@ -123,34 +173,38 @@ class Encoder:
                     ids.append(found[1])
                 else:
                     ids += [self.model.bytes[b] for b in s.encode()]
-        return struct.pack(f"<{len(ids)}i", *ids)
+        return struct.pack(f"<{len(ids)}i", *ids), taken, skipped
 
 
-def _keyed(key: int, piece: int, i: int) -> int:
-    """A 32-bit hash of a candidate's piece and place under the key of seed and variant."""
-    h = (key ^ piece * 0x9E3779B1 ^ i * 0x85EBCA77) & _MASK
+def _keyed(key: int, rest: int, turn: int) -> int:
+    """A 32-bit hash of a part's draw and the turn of the skip under a key."""
+    h = (key ^ rest * 0x9E3779B1 ^ turn * 0x85EBCA77) & _MASK
     h = (h ^ h >> 16) * 0x21F0AAAD & _MASK
     return h ^ h >> 15
 
 
-class _Memo(dict):
-    def __init__(self, encoder: Encoder, variant: int):
-        super().__init__()
-        self.encoder, self.variant = encoder, variant
+def _draws(own: int, place: int, n: int) -> np.ndarray:
+    """64 bits for each of ``n`` places of a text (splitmix)."""
+    h = np.arange(place + 1, place + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(own)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.merge(part, self.variant)
-        if len(part) <= _MEMO_LENGTH and len(self) < _MEMO:  # the frequent parts come early
-            self[part] = ids
-        return ids
+
+def _gaps(dropout: float) -> list[int]:
+    """32-bit numbers below which a draw skips the candidate of each place; beyond the last none of them is skipped."""
+    out: list[int] = []
+    while len(out) < _LONGEST_GAP and (not out or out[-1] < 1 << 32):
+        out.append((1 << 32) - int((1 - dropout) ** (len(out) + 1) * (1 << 32)))
+    return out
 
 
-def _encoder(model: Model, dropout: float, seed: int, variants: int) -> Encoder:
+def _encoder(model: Model, dropout: float, seed: int) -> Encoder:
     """The worker's encoder, kept from task to task: merging a part anew costs a hundred times a look-up."""
     kept = sys.modules.setdefault("_palaver_encoder", types.ModuleType("_palaver_encoder"))
-    key = (dropout, seed, variants, zlib.crc32("".join(model.ranks).encode()))
+    key = (dropout, seed, zlib.crc32("".join(model.ranks).encode()))
     if getattr(kept, "key", None) != key:
-        kept.encoder, kept.key = Encoder(model, dropout, seed, variants), key
+        kept.encoder, kept.key = Encoder(model, dropout, seed), key
     return kept.encoder
 
 
@@ -159,12 +213,14 @@ def decode_ids(ids, spelled: list[bytes]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 11, variants: int = VARIANTS, text: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 11, text: str = "text", check: bool = False, by: Sequence[str] = ("doc_id", "copy")) -> DataFrame:
     """``docs`` with ``pieces``, the ids of each text.
 
     ``check`` adds ``lossless``: whether the ids decode to the text. A null text has null
     pieces (and is lossless), an empty one none. Control pieces written out in a text are
     ordinary text. Texts of any length are taken whole; columns of these names are replaced.
+    Rows that differ in text or in a column of ``by`` (those the table has) have skips of
+    their own; rows equal in all of them have the same pieces.
     """
     if not 0 <= dropout < 1:
         raise ValueError("dropout is a rate below 1")
@@ -173,14 +229,16 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     fields = [docs.schema[c] for c in kept] + [T.StructField("pieces", T.ArrayType(T.IntegerType()))]
     schema = T.StructType(fields + [T.StructField("lossless", T.BooleanType())] * check)
     arrow = arrow_schema(schema)
+    named = taken_names(docs.select(*kept), by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(model, dropout, seed, variants)
+        own = _encoder(model, dropout, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(text).to_pylist()
-                packed = [own.encode(t) if t else b"" for t in texts]
+                rows = map(repr, zip(*[part.column(c).to_pylist() for c in named])) if named else itertools.repeat("")
+                packed = [own.encode(t, row) if t else b"" for t, row in zip(texts, rows)]
                 ids = np.frombuffer(b"".join(packed), "<i4")
                 offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])
                 nulls = pa.array([t is None for t in texts])

@@ -2,10 +2,12 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 import sentencepiece
 
+import corpus_pipeline
 from palaver.llm import pieces
 
 PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -65,3 +67,38 @@ def test_table(spark):
     assert pieces.encode(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         pieces.encode(docs, PATH, dropout=1.0)
+
+
+def test_each_occurrence_has_skips_of_its_own(model):
+    own, rng = pieces.Encoder(model, 0.1, 5), random.Random(4)
+    for word, least in (("the", 2), ("because", 8), ("international", 12)):
+        ways = {n: Counter(own.encode(word, str(i)) for i in range(n)) for n in (100, 10_000)}
+        drawn = Counter(own.merge(pieces.SPACE + word, iter([i for i in range(50) if rng.random() < 0.1]))[0] for _ in range(10_000))
+        assert all(abs(ways[10_000][way] - drawn[way]) < 250 for way in ways[10_000] | drawn)
+        assert len(ways[10_000]) > max(least, len(ways[100]) - 1)
+        text = " ".join([word] * 2_000)
+        assert own.encode(text, "1") != own.encode(text, "2")
+        assert len({own.encode(text, str(i)) for i in range(20)}) == 20
+
+
+def test_memo_changes_no_result(model, monkeypatch):
+    rng = random.Random(2)
+    words = ["international", "because", "understanding", "a", "x" * 60]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    for rate in (0.1, 0.6):
+        own = pieces.Encoder(model, rate, 3)
+        found = [own.encode(t) for t in texts]
+        assert found == [pieces.Encoder(model, rate, 3).encode(t) for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "_MEMO", 0)
+            assert found == [pieces.Encoder(model, rate, 3).encode(t) for t in texts]
+
+
+def test_ids_and_copies_vary(spark):
+    text = "international understanding because of many words " * 5
+    docs = spark.createDataFrame([(i // 2, i % 2, text) for i in range(20)], "doc_id bigint, copy int, text string")
+    found = {tuple(r.pieces) for r in pieces.encode(docs, PATH).collect()}
+    assert len(found) == 20
+    table = docs.drop("copy")
+    rows = corpus_pipeline.encode_pieces(spark, table, "").collect()
+    assert len({tuple(r.pieces) for r in rows}) == 20 and all(r.lossless for r in rows)
