@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,3 +49,14 @@ def arrow_schema(spark_schema) -> pa.Schema:
 def taken_names(docs: DataFrame, columns: Sequence[str]) -> list[str]:
     """Names among ``columns`` that the table has; operators select what they use and drop the rest."""
     return [c for c in columns if c in docs.columns]
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes in a text column, one row at least."""
+    texts = batch.column(column).cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palaver.llm import chat, forest, html, langid, minhash, mips, mixing, pieces, substrings, toxicity
-from palaver.llm.common import held_out, table
+from palaver.llm import alignment, chat, forest, html, langid, minhash, mips, mixing, periods, pieces, quality, substrings, toxicity
+from palaver.llm.common import WORD, held_out, table
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +156,63 @@ def op10_nearest_neighbours(spark, folder):
     return forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+# --- op11: a fitted model has no SQL; tests/llm compare the fit with its optimum and measure held-out accuracy ---
+
+
+@register("op11_quality")
+def op11_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.train(docs, table(spark, folder, "labels")).score(docs)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+# --- op12: tokenizers have no SQL; tests/llm compare the alignment with all pairs of tokens ---
+
+BYTE_MODEL = os.environ.get("BYTE_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark, folder):
+    return alignment.aligned(table(spark, folder, "documents"), alignment.Pair(BYTE_MODEL, corpus_pipeline.PIECE_MODEL))
+
+
+# --- op13: runs are found by Lyndon words, which SQL has not; tests/llm compare them with all stretches ---
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, by their id's checksum, go on with a stretch of their words again and again."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    placed = words.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    period = (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    placed = placed.withColumn("p", period)
+    again = F.transform(F.sequence(F.lit(0), n - F.col("a") - 1), lambda i: F.get("w", F.col("a") + i % F.col("p")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return placed.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark, folder):
+    found = periods.find_runs(with_repeats(table(spark, folder, "documents")))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    longest = found.withColumn("top", F.get(F.sort_array(order), F.lit(0)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("top.s").alias("start"),
+        (-F.col("top.l")).alias("length"),
+        F.col("top.p").alias("period"),
+        F.expr("(-1000 * top.l) div top.p").alias("exponent_milli"),
+        F.sha2(every, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 # --- the pipeline ---
 
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
