@@ -57,7 +57,6 @@ def lyndon_lengths(symbols: list[int]) -> list[int]:
             group[i] = g
     before, taken, out = [-1] * n, bytearray(n), [0] * n
     current = len(members) - 1
-    above[current] = -1
     while current >= 0:
         places = [i for i in members[current] if group[i] == current]
         size = context[current]
