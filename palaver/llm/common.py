@@ -51,6 +51,14 @@ def taken_names(docs: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c in docs.columns]
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes in a text column, one row at least."""
     texts = batch.column(column).cast(pa.large_string())

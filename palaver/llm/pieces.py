@@ -7,14 +7,14 @@ the text; it can come back only when a neighbour changes. Each seed gives anothe
 each one decodes to the same text. Without dropout the result is the model's own.
 
 A hash draws how many candidates pass before one is skipped. Where that is more than the part
-has, it is merged as without dropout; otherwise its merging depends on the numbers of those
-skipped alone. So parts met before need not be merged again, and what is remembered changes
-no result.
+has, it is merged as without dropout, which is remembered and changes no result. The other parts of a slice
+of texts are merged in step: a row of symbols for each part, all rows taking their best candidate at once.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import heapq
 import itertools
@@ -31,14 +31,17 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from palaver.llm.common import arrow_schema, ship, taken_names
+from palaver.llm.common import arrow_schema, byte_slices, ship, taken_names
 
 ship(__name__)
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 KEYS = 4
-_MEMO, _MEMO_LENGTH = 250_000, 40
+_MEMO, _SHORT = 250_000, 40
+_WIDTHS = (6, 10, 16, _SHORT)
+_SLICE = 1 << 20
+_NONE = np.int64((1 << 62) - 1)
 _MASK = (1 << 32) - 1
 _LONGEST_GAP = 4096
 
@@ -68,84 +71,230 @@ class Model:
         self.parts = f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 
 
+class Pairs:
+    """Which two pieces merge, with what priority and into what: a table of slots found by a multiplicative hash."""
+
+    def __init__(self, model: Model):
+        order = {rank: k for k, rank in enumerate(sorted({rank for rank, _ in model.ranks.values()}))}
+        keys, values = [], []
+        for piece, (rank, i) in model.ranks.items():
+            for k in range(1, len(piece)):
+                if (left := model.ranks.get(piece[:k])) and (right := model.ranks.get(piece[k:])):
+                    keys.append(left[1] << 32 | right[1])
+                    values.append(order[rank] << 32 | i)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE)
+        left, found = np.array(keys, np.int64), np.array(values, np.int64)
+        at = self._slot(left)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = left[free]
+            own = self.keys[at] == left
+            self.values[at[own]] = found[own]
+            left, found, at = left[~own], found[~own], at[~own] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Priority and merged piece of each two neighbours as one number, the best the smallest; without a merge ``_NONE``."""
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        out = np.full(len(keys), _NONE)
+        open_ = np.flatnonzero((left >= 0) & (right >= 0))
+        at = self._slot(keys[open_])
+        while len(open_):
+            held = self.keys[at]
+            same = held == keys[open_]
+            out[open_[same]] = self.values[at[same]]
+            on = ~same & (held >= 0)
+            open_, at = open_[on], at[on] + 1 & (1 << self.bits) - 1
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def _pairs(model: Model) -> Pairs:
+    return Pairs(model)
+
+
 class Encoder:
-    """Encodes on one worker; remembers a bounded number of parts, and of ways to merge them."""
+    """Encodes on one worker; remembers how a bounded number of parts is merged without skips."""
 
     def __init__(self, model: Model, dropout: float, seed: int, keys: int = KEYS):
-        self.model, self.seed = model, seed
-        self.below = int(dropout * (1 << 32))
+        self.model, self.seed, self.pairs = model, seed, _pairs(model)
+        self.symbol = np.full(sys.maxunicode + 1, -1, np.int32)  # of each code point, where it is a piece
+        for piece, (_, i) in model.ranks.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
         self.find = re.compile(model.parts).findall
-        self.memo: dict[str, list] = {}  # of a part: its ids, the candidates taken, the same with a first one skipped
-        self.varied = 0
+        # of a part: its ids, and the candidates its merging takes; the empty part is the sign for a space, written out in a text
+        self.memo: dict[str, tuple[bytes, int]] = {}
+        self.literal = np.array([model.bytes[b] for b in _SPACE_BYTES], "<i4").tobytes()
         self.keys = [zlib.crc32(b"%d %d" % (seed, v)) for v in range(keys)]
-        self.gaps = _gaps(dropout) if self.below else []
+        self.gaps = _gaps(dropout) if int(dropout * (1 << 32)) else []
         self.ladder = np.array(self.gaps, np.uint64)
-        self.literal = np.array([model.bytes[b] for b in _SPACE_BYTES], "<i4").tobytes()
 
     def encode(self, text: str, row: str = "") -> bytes:
         """Ids as packed 32-bit numbers; ``row`` tells documents of one text apart."""
-        if not text:
-            return b""
-        out, known, prefix, place = [], self.memo.get, SPACE, 0
-        own = hashlib.blake2b(f"{self.seed} {row}\0{text}".encode(), digest_size=8).digest() if self.below else b""
-        for k, stretch in enumerate(text.split(SPACE)):
-            if k:  # the sign that stands for a space, as a character of the text
-                out.append(self.literal)
-            parts = self.find(prefix + stretch.replace(" ", SPACE))
-            if self.below:
-                draws = _draws(int.from_bytes(own, "little"), place, len(parts))
-                firsts = np.searchsorted(self.ladder, draws >> np.uint64(32), "right").tolist()
-                rests = (draws & np.uint64(_MASK)).tolist()
+        return self.encode_all([text], [row])[0].astype("<i4").tobytes()
+
+    def encode_all(self, texts: Sequence[str | None], rows: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        parts: list[str] = []
+        counts, seeds, literals = [], [], []
+        for text, row in zip(texts, rows):
+            before, prefix = len(parts), SPACE
+            for k, stretch in enumerate(text.split(SPACE) if text else ()):
+                if k:
+                    literals.append(len(parts))
+                    parts.append("")
+                parts += self.find(prefix + stretch.replace(" ", SPACE))
+                prefix = ""
+            counts.append(len(parts) - before)
+            key = f"{self.seed} {row}\0{text}".encode("utf-8", "surrogatepass") if self.gaps else b""
+            seeds.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little"))
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(len(counts), np.int64)
+        different = list(dict.fromkeys(parts))
+        number = dict(zip(different, range(len(different))))
+        which = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        symbols, lengths = self.symbols(different)
+        first = np.cumsum(lengths) - lengths
+        unknown = np.bincount(np.repeat(np.arange(len(lengths)), lengths), symbols < 0, len(lengths))
+        in_step = (lengths > 0) & (lengths <= _SHORT) & (unknown == 0)
+        plain = self._plain(different, symbols, first, lengths, in_step)
+        pool, size = np.frombuffer(b"".join([p[0] for p in plain]), "<i4"), np.array([len(p[0]) // 4 for p in plain])
+        start, length = (np.cumsum(size) - size)[which], size[which]
+        if self.gaps:
+            draws = _draws(np.repeat(np.array(seeds, np.uint64), counts), np.array(counts), np.array(literals, np.int64))
+            gaps = np.searchsorted(self.ladder, draws >> np.uint64(32), "right")
+            gaps[literals] = _LONGEST_GAP
+            varied = np.flatnonzero(gaps < np.array([p[1] for p in plain])[which])
+            if len(varied):
+                rests = draws & np.uint64(_MASK)
+                at = varied[in_step[which[varied]]]
+                pools = [pool]
+                if len(at):
+                    own = which[at]
+                    ids, sizes, _ = self.merge_in_step(_ragged(symbols, first[own], lengths[own]), lengths[own], gaps[at], rests[at])
+                    start[at], length[at] = len(pool) + np.cumsum(sizes) - sizes, sizes
+                    pools.append(ids)
+                total = sum(map(len, pools))
+                for i in varied[~in_step[which[varied]]].tolist():
+                    pools.append(np.frombuffer(self.merge(parts[i], self._skips(int(gaps[i]), int(rests[i])))[0], "<i4"))
+                    start[i], length[i] = total, len(pools[-1])
+                    total += len(pools[-1])
+                pool = np.concatenate(pools)
+        text_ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
+        return _ragged(pool, start, length), np.diff(text_ends, prepend=0)
+
+    def symbols(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The single-character pieces of all parts, one after the other (-1: none), and how many characters each has."""
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.symbol[codes], np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _plain(self, parts: list[str], symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray, in_step: np.ndarray) -> list[tuple[bytes, int]]:
+        """Ids and candidates of parts merged without skips."""
+        out = list(map(self.memo.get, parts))
+        new = np.array([found is None for found in out])
+        if len(self.memo) + int(new.sum()) > _MEMO:
+            self.memo.clear()
+        short = np.flatnonzero(new & in_step)
+        if len(short):
+            ids, sizes, taken = self.merge_in_step(_ragged(symbols, first[short], lengths[short]), lengths[short])
+            packed, edges = ids.astype("<i4").tobytes(), np.concatenate([[0], 4 * np.cumsum(sizes)]).tolist()
+            for i, a, b, t in zip(short.tolist(), edges, edges[1:], taken.tolist()):
+                out[i] = packed[a:b], t
+        for i in np.flatnonzero(new & ~in_step).tolist():
+            out[i] = self.merge(parts[i], iter(())) if parts[i] else (self.literal, 0)
+        room = _MEMO - len(self.memo)
+        kept = np.flatnonzero(new & (lengths <= _SHORT))[: max(0, room)].tolist()
+        self.memo.update(zip(map(parts.__getitem__, kept), map(out.__getitem__, kept)))
+        return out
+
+    def merge_in_step(
+        self, symbols: np.ndarray, lengths: np.ndarray, gaps: np.ndarray | None = None, rests: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`merge` for many short parts of known symbols at once: ids, how many each part has, candidates taken."""
+        first, taken = np.cumsum(lengths) - lengths, np.zeros(len(lengths), np.int64)
+        merged, low = np.full((len(lengths), int(lengths.max())), -1, np.int32), 0
+        for width in _WIDTHS:
+            rows = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            if len(rows):
+                own = _ragged(symbols, first[rows], lengths[rows])
+                found, taken[rows] = self._step(own, lengths[rows], width, None if gaps is None else gaps[rows], None if rests is None else rests[rows])
+                found = found[:, : merged.shape[1]]
+                merged[rows, : found.shape[1]] = found
+        inside = merged >= 0
+        return merged[inside], inside.sum(axis=1), taken
+
+    def _step(self, flat: np.ndarray, lengths: np.ndarray, width: int, gaps: np.ndarray | None, rests: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of one width: their symbols after merging, and the candidates taken."""
+        columns, n = np.arange(width), len(lengths)
+        symbols = np.full((n, width + 1), -1, np.int32)
+        symbols[:, :width][columns < lengths[:, None]] = flat
+        best = np.full((n, width + 1), _NONE)
+        best[:, :width] = self.pairs.of(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width)
+        out, counted = np.empty((n, width), np.int32), np.zeros(n, np.int64)
+        own, taken, turn = np.arange(n), 0, np.zeros(n, np.int64)
+        skip = np.full(n, _NONE) if gaps is None else np.where(gaps < len(self.gaps), gaps, _NONE)
+        while len(own):
+            place = best.argmin(axis=1)
+            found = best[np.arange(len(own)), place]
+            ended = found == _NONE
+            if ended.any():
+                out[own[ended]] = symbols[ended, :width]
+                counted[own[ended]] = taken
+                on = ~ended
+                own, symbols, best, place, found, skip, turn = own[on], symbols[on], best[on], place[on], found[on], skip[on], turn[on]
+                if not len(own):
+                    break
+            skipped = np.flatnonzero(skip == taken)
+            taken += 1
+            if len(skipped):  # a changed neighbour may propose another
+                best[skipped, place[skipped]] = _NONE
+                turn[skipped] += 1
+                gap = np.searchsorted(self.ladder, self._keyed_all(rests[own[skipped]], turn[skipped]), "right")
+                skip[skipped] = np.where(gap < len(self.gaps), taken + gap, _NONE)
+                rows = np.ones(len(own), bool)
+                rows[skipped] = False
+                rows = np.flatnonzero(rows)
             else:
-                firsts = rests = [_MASK] * len(parts)
-            for part, first, rest in zip(parts, firsts, rests):
-                node = known(part)
-                out.append(node[0] if node is not None and first >= node[1] else self._merged(part, first, rest))
-            place += len(parts)
-            prefix = ""
-        return b"".join(out)
+                rows = np.arange(len(own))
+            at = place[rows]
+            # what stands behind the merged two moves up
+            source = columns + (columns > at[:, None])
+            symbols[rows, :width] = symbols[rows[:, None], source]
+            symbols[rows, at] = (found[rows] & np.int64(_MASK)).astype(np.int32)
+            best[rows, :width] = best[rows[:, None], source]
+            best[rows, at] = self.pairs.of(symbols[rows, at], symbols[rows, at + 1])
+            inner = at > 0
+            rows, at = rows[inner], at[inner] - 1
+            best[rows, at] = self.pairs.of(symbols[rows, at], symbols[rows, at + 1])
+        return out, counted
+
+    def _keyed_all(self, rests: np.ndarray, turns: np.ndarray) -> np.ndarray:
+        keys = np.array(self.keys, np.uint64)[turns % len(self.keys)]
+        return _keyed(keys, rests, turns.astype(np.uint64))
 
     def _skips(self, gap: int, rest: int) -> Iterator[int]:
         """Numbers of the candidates to skip: the first after ``gap``, the others drawn from ``rest``."""
         at = turn = 0
-        if not self.below:
-            return
-        while True:
+        while self.gaps:
             at += gap
             if gap < len(self.gaps):
                 yield at
                 at += 1
             turn += 1
-            gap = bisect.bisect_right(self.gaps, _keyed(self.keys[turn % len(self.keys)], rest, turn))
-
-    def _merged(self, part: str, first: int, rest: int) -> bytes:
-        skips = self._skips(first, rest)
-        if len(part) > _MEMO_LENGTH:
-            return self.merge(part, skips)[0]
-        taken, parent, node = [], None, self.memo.get(part)
-        while node is not None:
-            if (at := next(skips, _MASK)) >= node[1]:
-                return node[0]
-            taken.append(at)
-            parent, node = node, node[2].get(at) if node[2] else None
-        ids, candidates, skipped = self.merge(part, itertools.chain(taken, skips))
-        if skipped == len(taken):  # the frequent ones come early
-            node = [ids, candidates, None]
-            if parent is None and len(self.memo) < _MEMO:
-                self.memo[part] = node
-            elif parent is not None and self.varied < 3 * _MEMO:
-                parent[2] = parent[2] or {}
-                parent[2][taken[-1]] = node
-                self.varied += 1
-        return ids
-
-    def merge(self, part: str, skips: Iterator[int]) -> tuple[bytes, int, int]:
-        """Agenda processing of one part, but for candidates of the rising numbers ``skips``; also how many were taken and skipped."""
+            gap = bisect.bisect_right(self.gaps, int(_keyed(np.uint64(self.keys[turn % len(self.keys)]), np.uint64(rest), np.uint64(turn))))
+
+    def merge(self, part: str, skips: Iterator[int]) -> tuple[bytes, int]:
+        """Agenda processing of one part, but for candidates of the rising numbers ``skips``; also how many were taken."""
         ranks, n = self.model.ranks, len(part)
         symbols: list[str | None] = list(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         known, push = ranks.get, heapq.heappush
-        taken, skipped, skip = 0, 0, next(skips, -1)
+        taken, skip = 0, next(skips, -1)
         agenda = [(found[0], i, part[i : i + 2], found[1]) for i in range(n - 1) if (found := known(part[i : i + 2]))]
         heapq.heapify(agenda)
         while agenda:
@@ -155,7 +304,7 @@ class Encoder:
                 continue  # one of the two was merged meanwhile
             taken += 1
             if taken > skip >= 0:
-                skipped, skip = skipped + 1, next(skips, -1)
+                skip = next(skips, -1)
                 continue  # a changed neighbour may propose another
             symbols[i], symbols[j] = pair, None
             after[i] = k = after[j]
@@ -173,19 +322,31 @@ class Encoder:
                     ids.append(found[1])
                 else:
                     ids += [self.model.bytes[b] for b in s.encode()]
-        return struct.pack(f"<{len(ids)}i", *ids), taken, skipped
+        return struct.pack(f"<{len(ids)}i", *ids), taken
+
+
+def _ragged(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    ends = np.cumsum(length)
+    return values[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _keyed(key: int, rest: int, turn: int) -> int:
-    """A 32-bit hash of a part's draw and the turn of the skip under a key."""
-    h = (key ^ rest * 0x9E3779B1 ^ turn * 0x85EBCA77) & _MASK
-    h = (h ^ h >> 16) * 0x21F0AAAD & _MASK
-    return h ^ h >> 15
+def _keyed(key: np.ndarray, rest: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """32-bit hashes of a part's draw and the turn of the skip under a key."""
+    with np.errstate(over="ignore"):
+        h = (key ^ rest * np.uint64(0x9E3779B1) ^ turn * np.uint64(0x85EBCA77)) & np.uint64(_MASK)
+        h = (h ^ h >> np.uint64(16)) * np.uint64(0x21F0AAAD) & np.uint64(_MASK)
+    return h ^ h >> np.uint64(15)
 
 
-def _draws(own: int, place: int, n: int) -> np.ndarray:
-    """64 bits for each of ``n`` places of a text (splitmix)."""
-    h = np.arange(place + 1, place + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(own)
+def _draws(own: np.ndarray, counts: np.ndarray, literals: np.ndarray) -> np.ndarray:
+    """64 bits for each place of each text (splitmix); ``own`` has its text's seed, written-out signs have no place."""
+    place = np.ones(len(own), np.int64)
+    place[literals] = 0
+    place = np.cumsum(place)
+    ends = np.cumsum(counts)
+    place -= np.repeat(np.concatenate([[0], place])[ends - counts], counts)
+    h = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + own
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return h ^ h >> np.uint64(31)
@@ -234,13 +395,11 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(model, dropout, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in byte_slices(batch, text, _SLICE):
                 texts = part.column(text).to_pylist()
                 rows = map(repr, zip(*[part.column(c).to_pylist() for c in named])) if named else itertools.repeat("")
-                packed = [own.encode(t, row) if t else b"" for t, row in zip(texts, rows)]
-                ids = np.frombuffer(b"".join(packed), "<i4")
-                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])
+                ids, counts = own.encode_all(texts, [row for _, row in zip(texts, rows)])
+                offsets = np.concatenate([[0], np.cumsum(counts)])
                 nulls = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids), mask=nulls)
                 columns = [*[part.column(c) for c in kept], lists.cast(arrow.field("pieces").type)]

@@ -1,9 +1,11 @@
 """Encoding against the library without dropout, and exact round trips with it."""
 
+import itertools
 import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -50,10 +52,35 @@ def test_round_trip_and_variety(spark, model):
 
 
 def test_share_of_skipped_merges(model):
-    own = pieces.Encoder(model, 0.1, 5, 4)
-    rng = random.Random(1)
-    skipped = [pieces._keyed(own.keys[rng.randrange(4)], rng.randrange(32000), rng.randrange(20)) < own.below for _ in range(20000)]
-    assert abs(sum(skipped) / len(skipped) - 0.1) < 0.01
+    for rate in (0.1, 0.4):
+        own, rng, skipped = pieces.Encoder(model, rate, 5, 4), random.Random(1), Counter()
+        for _ in range(4000):
+            first = int(np.searchsorted(own.ladder, np.uint64(rng.randrange(1 << 32)), "right"))
+            skipped.update(itertools.takewhile(lambda k: k < 30, own._skips(first, rng.randrange(1 << 32))))
+        assert all(abs(skipped[k] / 4000 - rate) < 0.04 for k in range(30))
+        assert abs(sum(skipped.values()) / 120_000 - rate) < 0.006
+
+
+def test_merging_in_step_equals_merging_alone(spark, model):
+    rng = random.Random(8)
+    words = sorted({w for t in sample_texts(spark)[:30] for w in t.split() if all(map(model.ranks.__contains__, w))})
+    words = [w[: rng.randint(1, 40)] for w in rng.sample(words, 400)] + ["a", "aaaaaaa", "abababababab"]
+    for rate in (0.0, 0.1, 0.7):
+        own = pieces.Encoder(model, rate, 6)
+        gaps, rests = np.array([rng.choice([0, 1, 3, 9, len(own.gaps)]) for _ in words]), np.array([rng.randrange(1 << 32) for _ in words], np.uint64)
+        found, sizes, taken = own.merge_in_step(*own.symbols(words), *([gaps, rests] if rate else []))
+        alone = [own.merge(w, own._skips(int(g), int(r))) for w, g, r in zip(words, gaps, rests)]
+        assert [i for packed, _ in alone for i in ids(packed)] == found.tolist()
+        assert [len(packed) // 4 for packed, _ in alone] == sizes.tolist() and [n for _, n in alone] == taken.tolist()
+
+
+def test_texts_together_equal_texts_alone(spark, model):
+    own = pieces.Encoder(model, 0.3, 2)
+    texts = [*TEXTS, "", None, "literal ▁ sign▁▁", *sample_texts(spark)[:20]]
+    rows = [str(i % 3) for i in range(len(texts))]
+    together, counts = own.encode_all(texts, rows)
+    assert together.tolist() == [i for t, r in zip(texts, rows) for i in ids(pieces.Encoder(model, 0.3, 2).encode(t, r))]
+    assert counts.tolist() == [len(own.encode(t, r)) // 4 for t, r in zip(texts, rows)]
 
 
 def test_table(spark):
@@ -72,8 +99,10 @@ def test_table(spark):
 def test_each_occurrence_has_skips_of_its_own(model):
     own, rng = pieces.Encoder(model, 0.1, 5), random.Random(4)
     for word, least in (("the", 2), ("because", 8), ("international", 12)):
-        ways = {n: Counter(own.encode(word, str(i)) for i in range(n)) for n in (100, 10_000)}
-        drawn = Counter(own.merge(pieces.SPACE + word, iter([i for i in range(50) if rng.random() < 0.1]))[0] for _ in range(10_000))
+        ids_, counts = own.encode_all([word] * 10_000, list(map(str, range(10_000))))
+        each = [tuple(x.tolist()) for x in np.split(ids_, np.cumsum(counts)[:-1])]
+        ways = {n: Counter(each[:n]) for n in (100, 10_000)}
+        drawn = Counter(tuple(ids(own.merge(pieces.SPACE + word, iter([i for i in range(50) if rng.random() < 0.1]))[0])) for _ in range(10_000))
         assert all(abs(ways[10_000][way] - drawn[way]) < 250 for way in ways[10_000] | drawn)
         assert len(ways[10_000]) > max(least, len(ways[100]) - 1)
         text = " ".join([word] * 2_000)
