@@ -10,18 +10,21 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import held_out, ship
+from palaver.llm.common import byte_slices, held_out, ship
 
 ship(__name__)
 
 UNDETERMINED = "und"
 BLOCK = 4096
+_SLICE = 1 << 20
 LEVEL = 6
 # ASCII letters and the bytes of all other characters stay, the rest is a space
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,14 +46,12 @@ def sample_dictionaries(docs: DataFrame, texts_per_language: int = 64, text_char
     for group in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
         order = F.row_number().over(Window.partitionBy(*group).orderBy("is_long", "h"))
         texts = texts.withColumn("n", order).filter(F.col("n") <= texts_per_language).drop("n")
-    chosen = texts.select("doc_id", "lang").collect()
-    ids = sorted({r.doc_id for r in chosen})
+    chosen = texts.select("doc_id", "h").collect()
+    # of an id on very many rows only the texts chosen, each once
+    own = F.col("doc_id").isin(sorted({r.doc_id for r in chosen})) & F.xxhash64("text").isin(sorted({r.h for r in chosen}))
     found = (
-        docs.filter(F.col("doc_id").isin(ids) & F.col("lang").isNotNull())
-        .select("lang", F.substring("text", 1, text_chars).alias("text"))
-        .distinct()
-        .collect()
-        if ids
+        docs.filter(own & F.col("lang").isNotNull()).select("lang", F.substring("text", 1, text_chars).alias("text")).distinct().collect()
+        if chosen
         else []
     )
     languages: dict[str, list[str]] = {}
@@ -112,3 +113,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     named = docs.withColumn(into, classifier(dictionaries)(F.col(text)))
     accepted: Column = (F.col(f"{into}.lang") != UNDETERMINED) & (F.col(f"{into}.margin") >= min_margin)
     return named.withColumn(into, F.col(into).withField("accepted", accepted))
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.002, text: str = "text") -> DataFrame:
+    """The rows :func:`identify` accepts, with the columns of ``docs``; worked out and left out in the same task, a slice at a time."""
+    fixed = tuple(dictionaries.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _compressors(fixed, LEVEL)
+        for batch in batches:
+            for part in byte_slices(batch, text, _SLICE):
+                found = [guess(t, own) for t in part.column(text).to_pylist()]
+                yield part.filter(pa.array([lang != UNDETERMINED and margin >= min_margin for lang, _, margin in found]))
+
+    return docs.mapInArrow(run, docs.schema)
