@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WORD, stored
+from palaver.llm.common import WORD, spare, stored
 
 _UNIT = float(1 << 52)
 
@@ -143,19 +143,25 @@ def mix(
     )
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def repeat_rows(docs: DataFrame, mixed: DataFrame, group: int = 1000) -> DataFrame:
     """The documents of a mix, each as many times as it is taken; columns as in ``docs``.
 
-    Rows that share a ``doc_id`` share its copies evenly.
+    Rows that share ``doc_id`` and ``source`` share their copies evenly. More than ``group`` of them are
+    dealt by the hash of the row to groups, whose copies are rounded up or down by a hash.
     """
-    per_id = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_no") <= F.col("_copies") % F.col("_rows")).cast("bigint")
-    return (
-        docs.withColumn("_no", number)
-        .join(per_id, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_own", own.cast("int"))
-        .filter("_own > 0")
-        .withColumn("_own", F.explode(F.sequence(F.lit(1), F.col("_own"))))
-        .select(*docs.columns)
-    )
+    id_, source, copies, rows, lane, own = (spare(docs, f"mix_{n}") for n in ("id", "source", "copies", "rows", "lane", "own"))
+    key = [F.col("doc_id").alias(id_), F.col("source").alias(source)]
+    shares = mixed.groupBy(*key).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).filter(F.col(copies) > 0)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & F.col("source").cast("string").eqNullSafe(F.col(source))
+    joined = docs.join(shares, same).drop(id_, source)
+    single = joined.filter(F.col(rows) == 1).withColumn(own, F.col(copies))
+    hashed = F.xxhash64(*docs.columns)
+    several = joined.filter(F.col(rows) > 1).withColumn(lane, F.pmod(hashed, F.ceil(F.col(rows) / group)))
+    window = Window.partitionBy("doc_id", "source", lane)
+    number, members = F.row_number().over(window.orderBy(hashed)), F.count(F.lit(1)).over(window)
+    exact = F.col(copies) * members / F.col(rows)
+    coin = F.pmod(F.xxhash64("doc_id", "source", lane), F.lit(1 << 20)) / float(1 << 20) < exact - F.floor(exact)
+    dealt = F.when(F.col(rows) <= group, F.col(copies)).otherwise(F.floor(exact) + coin.cast("bigint"))
+    several = several.withColumn(own, F.floor(dealt / members) + (number <= dealt % members).cast("bigint")).drop(lane)
+    taken = single.unionByName(several).filter(F.col(own) > 0)
+    return taken.withColumn(own, F.explode(F.sequence(F.lit(1), F.col(own).cast("int")))).select(*docs.columns)

@@ -1,7 +1,7 @@
 """Mixing: targets against a loop, conservation, expectations, odd rows."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -85,3 +85,19 @@ def test_repeat_rows(docs):
 
 def test_empty_table(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_rows_without_id_keep_to_their_source(spark):
+    rows = [(None, f"w{i} " * 10, "a" if i < 400 else "b", i) for i in range(500)] + [(1, "x y", "a", 0)] * 40 + [(2, "z", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, mix_copies int")
+    mixed = mixing.mix(docs)
+    for group in (1000, 20):
+        repeated = mixing.repeat_rows(docs, mixed, group)
+        assert repeated.columns == docs.columns
+        taken, wanted = Counter(), Counter()
+        for r in repeated.collect():
+            taken[r.doc_id, r.source] += 1
+        for r in mixed.collect():
+            wanted[r.doc_id, r.source] += r.copies
+        slack = 0 if group > 500 else 25
+        assert all(abs(taken[k] - wanted[k]) <= slack for k in taken | wanted)
