@@ -55,6 +55,12 @@ def with_ids(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("timestamp") != "")
 
 
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """``channel, seq, reason`` of the messages :func:`with_ids` leaves out, so none goes unreported."""
+    reason = F.when(F.coalesce("timestamp", F.lit("")) == "", F.lit("no id"))
+    return messages.select("channel", "seq", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def exclude_bots(messages: DataFrame) -> DataFrame:
     """Rows not known to be a bot's stay."""
     return messages.filter(~F.coalesce("is_bot", F.lit(False)))

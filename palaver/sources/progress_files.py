@@ -1,6 +1,6 @@
 """Saved progress documents: one JSON object per file, channels as a map.
 
-Reading accepts the nested document of one run; corrupt files are skipped. The
+Reading accepts the nested document of one run; corrupt documents are set apart with a reason. The
 rows feed :mod:`palaver.operators.progress`.
 """
 
@@ -27,15 +27,7 @@ def read_documents(spark: SparkSession, path: str, files: str = "*", lines: bool
     The defaults read what :func:`write_documents` saves, a document per line; documents of
     several lines each are read with ``files="*.json", lines=False``.
     """
-    raw = (
-        spark.read.schema(DOCUMENT)
-        .option("multiLine", not lines)
-        .option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", files)
-        .json(path)
-        .select("*", "_metadata.file_name")
-    )
+    raw = _read(spark, path, files, lines).filter("_corrupt IS NULL")
     return raw.select(
         F.coalesce("export_id", F.regexp_replace("file_name", r"\.json$", "")).alias("export_id"),
         F.coalesce("workspace_url", F.lit("")).alias("workspace_url"),
@@ -47,6 +39,24 @@ def read_documents(spark: SparkSession, path: str, files: str = "*", lines: bool
     )
 
 
+def rejected_documents(spark: SparkSession, path: str, files: str = "*", lines: bool = True) -> DataFrame:
+    """``file, content, reason`` of the documents :func:`read_documents` cannot read; together they are all documents."""
+    raw = _read(spark, path, files, lines).filter("_corrupt IS NOT NULL")
+    whole = F.try_parse_json("_corrupt").isNotNull()
+    reason = F.when(whole, F.lit("a member has another type")).otherwise(F.lit("no JSON"))
+    return raw.select(F.col("file_name").alias("file"), F.col("_corrupt").alias("content"), reason.alias("reason"))
+
+
+def _read(spark: SparkSession, path: str, files: str, lines: bool) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path, wholetext=not lines)
+    filled = text.filter(F.trim(F.col("value")) != "").select("_metadata.file_name", "value")
+    parsed = filled.withColumn("d", F.from_json("value", f"{DOCUMENT}, _corrupt string", options))
+    # what is no object at all has neither members nor a corrupt record
+    corrupt = F.when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), F.col("value"))
+    return parsed.select("d.*", "file_name", corrupt.alias("_broken")).drop("_corrupt").withColumnRenamed("_broken", "_corrupt")
+
+
 def progress(documents: DataFrame) -> DataFrame:
     """``PROGRESS`` rows. Runs without channels keep one row with a null channel."""
     rows = documents.select("*", F.explode_outer("channels").alias("channel", "entry")).select(

@@ -10,6 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from palaver import schema  # noqa: E402
 from palaver.session import configure  # noqa: E402
@@ -52,21 +53,18 @@ def _table(spark, ddl, extra, rows, numbered=False):
 
 
 @pytest.fixture
-def general(spark, message_table, reply_table):
-    """A thread of two replies and a standalone message in one channel."""
-    parent = "1235000000123456"
-    messages = message_table(
-        {
-            "text": "Boiler fixed",
-            "timestamp": parent,
-            "datetime": "Jan 15, 2025 10:30 AM",
-            "reactions": [("thumbsup", 3)],
-            "reply_count": 2,
-        },
-        {"user": "quinn", "text": "Lost a glove", "timestamp": "1235000000123460", "attachments": ["a" * 150, "b"]},
-    )
+def market(spark, message_table, reply_table):
+    """Two standalone messages around two threads; one thread has three replies, the other lost its only one."""
+    ladder, empty = "1709373600000001", "1712000000"
+    rows = message_table(
+        {"user": "nadia", "text": "Stall 14 opens late", "timestamp": "1709287200", "attachments": ["x" * 130, "map", ""]},
+        {"user": "ruben", "text": "Who has the ladder?", "timestamp": ladder, "datetime": "2 Mar 2024, 11:00", "reactions": [("eyes", 1), ("heart", 12)], "reply_count": 3},
+        {"user": "tally", "text": "3 < 5 & so on\n\nend", "timestamp": "1709294400000000", "is_bot": True},
+        {"user": "olga", "text": "", "timestamp": empty, "reply_count": 1},
+    ).withColumn("channel", F.lit("market"))
     replies = reply_table(
-        {"parent_ts": parent, "pos": 1, "user": "ilse", "text": "Nice!\nYou", "timestamp": "1235000000123457"},
-        {"parent_ts": parent, "pos": 2, "user": "tomek", "text": 'So "warm" \\ ü', "timestamp": "1235000000123458", "is_bot": True},
-    )
-    return messages, replies
+        {"parent_ts": ladder, "pos": 2, "user": "pim", "text": "Wait\n\nhere", "timestamp": "1709373900000000", "reactions": [("+1", 2)]},
+        {"parent_ts": ladder, "pos": 1, "user": "olga", "text": "Not me", "timestamp": "1709380000", "datetime": "noon"},
+        {"parent_ts": ladder, "pos": 3, "user": "tally", "text": 'back at "5" \\ é', "timestamp": "1709373700000000", "is_bot": True, "attachments": ["rung"]},
+    ).withColumn("channel", F.lit("market"))
+    return rows, replies

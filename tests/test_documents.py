@@ -12,50 +12,59 @@ from palaver.plans import layout as lay
 from palaver.sinks import rows as row_sink
 from palaver.sinks import text as text_sink
 
-PARENT_MD = "**mara** — Jan 15, 2025 10:30 AM\n\nBoiler fixed\n\nReactions: :thumbsup: (3)\n"
-REPLIES_MD = "> **ilse**\n\n> Nice!\n> You\n\n> **tomek** (bot)\n\n> So \"warm\" \\ ü\n"
-THREAD_MD = PARENT_MD + "\n  *2 replies:*\n\n" + REPLIES_MD + "\n---\n"
-SINGLE_MD = "**quinn**\n\nLost a glove\n\n> [Attachment] " + "a" * 100 + "\n> [Attachment] b\n"
+LADDER_MD = "**ruben** — 2 Mar 2024, 11:00\n\nWho has the ladder?\n\nReactions: :eyes: (1) :heart: (12)\n"
+ANSWERS_MD = (
+    "> **olga** — noon\n\n> Not me\n\n> **pim**\n\n> Wait\n> \n> here\n\n> Reactions: :+1: (2)\n"
+    "\n> **tally** (bot)\n\n> back at \"5\" \\ é\n\n> > [Attachment] rung\n"
+)
+THREAD_MD = LADDER_MD + "\n  *3 replies:*\n\n" + ANSWERS_MD + "\n---\n"
+LOST_MD = "**olga**\n\n\n"
+STALL_MD = "**nadia**\n\nStall 14 opens late\n\n> [Attachment] " + "x" * 100 + "\n> [Attachment] map\n> [Attachment] \n"
+TALLY_MD = "**tally** (bot)\n\n3 < 5 & so on\n\nend\n"
 
 
 @pytest.fixture
-def export(general):
-    return plans.channel_export(*general, channels=["general", "empty"]).dated("https://test", "2025-01-15T10:05:00")
+def export(market):
+    return plans.channel_export(*market, channels=["market", "closed"]).dated("https://stalls", "2024-04-02T07:30:00")
 
 
 def message(user, text, timestamp, datetime="", reactions=(), is_bot=False, attachments=()):
-    return {"user": user, "text": text, "timestamp": timestamp, "datetime": datetime, "reactions": list(reactions), "is_bot": is_bot, "attachments": list(attachments)}
+    named = [{"emoji": emoji, "count": count} for emoji, count in reactions]
+    return {"user": user, "text": text, "timestamp": timestamp, "datetime": datetime, "reactions": named, "is_bot": is_bot, "attachments": list(attachments)}
+
+
+def channel(name, threads, standalone, total):
+    return {"channel": name, "status": "completed", "export_started": "", "export_finished": "", "total_messages": total, "threads": threads, "standalone_messages": standalone}
 
 
 def expected_json():
-    mara = message("mara", "Boiler fixed", "1235000000123456", "Jan 15, 2025 10:30 AM", [{"emoji": "thumbsup", "count": 3}])
-    replies = [message("ilse", "Nice!\nYou", "1235000000123457"), message("tomek", 'So "warm" \\ ü', "1235000000123458", is_bot=True)]
-    quinn = message("quinn", "Lost a glove", "1235000000123460", attachments=["a" * 150, "b"])
-    return {
-        "workspace": "https://test",
-        "export_date": "2025-01-15T10:05:00",
-        "format_version": "1.0",
-        "channels": [
-            {"channel": "general", "status": "completed", "export_started": "", "export_finished": "", "total_messages": 2,
-             "threads": [{"parent": mara, "replies": replies, "reply_count": 2}], "standalone_messages": [quinn]},
-            {"channel": "empty", "status": "completed", "export_started": "", "export_finished": "", "total_messages": 0,
-             "threads": [], "standalone_messages": []},
-        ],
-    }
+    ladder = message("ruben", "Who has the ladder?", "1709373600000001", "2 Mar 2024, 11:00", [("eyes", 1), ("heart", 12)])
+    answers = [
+        message("olga", "Not me", "1709380000", "noon"),
+        message("pim", "Wait\n\nhere", "1709373900000000", reactions=[("+1", 2)]),
+        message("tally", 'back at "5" \\ é', "1709373700000000", is_bot=True, attachments=["rung"]),
+    ]
+    threads = [{"parent": ladder, "replies": answers, "reply_count": 3}, {"parent": message("olga", "", "1712000000"), "replies": [], "reply_count": 1}]
+    standalone = [
+        message("nadia", "Stall 14 opens late", "1709287200", attachments=["x" * 130, "map", ""]),
+        message("tally", "3 < 5 & so on\n\nend", "1709294400000000", is_bot=True),
+    ]
+    channels = [channel("market", threads, standalone, 4), channel("closed", [], [], 0)]
+    return {"workspace": "https://stalls", "export_date": "2024-04-02T07:30:00", "format_version": "1.0", "channels": channels}
 
 
 def ordered(blocks):
     return "\n".join(r["text"] for r in blocks.orderBy(*lay.SORT_KEY).collect())
 
 
-def test_message_text(general):
-    rows = {r["user"]: r["t"] for r in general[0].select("user", render.message(threads.message_struct()).alias("t")).collect()}
-    assert rows == {"mara": PARENT_MD, "quinn": SINGLE_MD}
+def test_message_text(market):
+    texts = [r["t"] for r in market[0].orderBy("seq").select(render.message(threads.message_struct()).alias("t")).collect()]
+    assert texts == [STALL_MD, LADDER_MD, TALLY_MD, LOST_MD]
 
 
 def test_thread_text(export):
-    nested = export.nested_threads().select(render.thread(F.col("parent"), F.col("replies")))
-    assert nested.first()[0] == THREAD_MD
+    nested = export.nested_threads().orderBy("parent.timestamp").select(render.thread(F.col("parent"), F.col("replies")))
+    assert [r[0] for r in nested.collect()] == [THREAD_MD, LOST_MD + "\n---\n"]
 
 
 def test_thread_without_replies(message_table, reply_table):
@@ -66,10 +75,10 @@ def test_thread_without_replies(message_table, reply_table):
 def test_markdown_document(export):
     text = ordered(lay.markdown_blocks(export, lay.lay_out(export), "Chat"))
     assert text == "\n".join([
-        "# Chat — https://test", "*Exported: 2025-01-15T10:05:00*", "",
-        "## #general", "*2 messages | Status: completed*", "",
-        THREAD_MD, "### Other Messages", "", SINGLE_MD, "---", "",
-        "## #empty", "*0 messages | Status: completed*", "",
+        "# Chat — https://stalls", "*Exported: 2024-04-02T07:30:00*", "",
+        "## #market", "*4 messages | Status: completed*", "",
+        THREAD_MD, LOST_MD, "---", "", "### Other Messages", "", STALL_MD, "---", "", TALLY_MD, "---", "",
+        "## #closed", "*0 messages | Status: completed*", "",
     ])
 
 
@@ -95,28 +104,32 @@ def read_document(folder):
 
 
 def test_written_documents(export, tmp_path):
-    assert text_sink.write_json(export, str(tmp_path / "j"), date="20250115")
+    assert text_sink.write_json(export, str(tmp_path / "j"), date="20240402")
     (folder,) = glob.glob(f"{tmp_path}/j/stem=*")
-    assert os.path.basename(folder) == "stem=general_empty_20250115.json"
+    assert os.path.basename(folder) == "stem=market_closed_20240402.json"
     assert json.loads(read_document(folder)) == expected_json()
     assert text_sink.write_markdown(export, str(tmp_path / "m"), split_by="month", title="Chat")
-    (folder,) = glob.glob(f"{tmp_path}/m/year=*/stem=*")
-    assert folder.endswith("m/year=2009/stem=general_2009-02.md")
-    assert THREAD_MD in read_document(folder) and "#empty" not in read_document(folder)
+    march, april = sorted(glob.glob(f"{tmp_path}/m/year=2024/stem=*"))
+    assert march.endswith("stem=market_2024-03.md") and april.endswith("stem=market_2024-04.md")
+    assert THREAD_MD in read_document(march) and "#closed" not in read_document(march)
+    assert LOST_MD in read_document(april) and "ladder" not in read_document(april)
 
 
 def test_html_and_plain_documents(export):
     page = ordered(lay.html_blocks(export, lay.lay_out(export), "Chat & more"))
     assert page.startswith('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>Chat &amp; more</title>')
-    assert '<article id="1235000000123456"><p><b>mara</b> — Jan 15, 2025 10:30 AM</p><p>Boiler fixed</p><p>Reactions: :thumbsup: (3)</p>\n<blockquote>' in page
-    assert "<p>Nice!<br>You</p></blockquote>" in page and "So &quot;warm&quot;" in page
-    assert page.count("<article") == page.count("</article>") == 2
+    head = '<article id="1709373600000001"><p><b>ruben</b> — 2 Mar 2024, 11:00</p><p>Who has the ladder?</p><p>Reactions: :eyes: (1) :heart: (12)</p>'
+    assert head + "\n<blockquote>" in page
+    assert "<p>Wait<br><br>here</p>" in page and "back at &quot;5&quot;" in page and "<p>3 &lt; 5 &amp; so on" in page
+    assert "<ul><li>" + "x" * 130 + "</li><li>map</li><li></li></ul>" in page
+    assert page.count("<article") == page.count("</article>") == 4
     assert page.count("<section>") == page.count("</section>") == 2 and page.endswith("</body></html>")
     text = ordered(lay.plain_blocks(export, lay.lay_out(export), "Chat"))
     assert text.split("\n") == [
-        "Chat - https://test - 2025-01-15T10:05:00", "#general (2 messages)",
-        "mara [Jan 15, 2025 10:30 AM]: Boiler fixed", "    ilse: Nice!", "      You", '    tomek (bot): So "warm" \\ ü',
-        "quinn: Lost a glove", "#empty (0 messages)",
+        "Chat - https://stalls - 2024-04-02T07:30:00", "#market (4 messages)",
+        "ruben [2 Mar 2024, 11:00]: Who has the ladder?", "    olga [noon]: Not me", "    pim: Wait", "      ", "      here",
+        '    tally (bot): back at "5" \\ é', "olga: ", "nadia: Stall 14 opens late", "tally (bot): 3 < 5 & so on", "  ", "  end",
+        "#closed (0 messages)",
     ]
 
 
@@ -125,13 +138,13 @@ def test_other_sinks_and_default_date(export, tmp_path):
 
     assert text_sink.write_html(export, str(tmp_path / "h")) and text_sink.write_plain(export, str(tmp_path / "p"))
     today = datetime.now().strftime("%Y%m%d")
-    assert glob.glob(f"{tmp_path}/h/stem=*")[0].endswith(f"stem=general_empty_{today}.html")
-    assert glob.glob(f"{tmp_path}/p/stem=*")[0].endswith(f"stem=general_empty_{today}.txt")
+    assert glob.glob(f"{tmp_path}/h/stem=*")[0].endswith(f"stem=market_closed_{today}.html")
+    assert glob.glob(f"{tmp_path}/p/stem=*")[0].endswith(f"stem=market_closed_{today}.txt")
 
 
 def test_large_document_is_cut_and_stays_in_order(spark, message_table, reply_table, tmp_path):
     """One thread holds most rows: its replies land in several part files, in order."""
-    parent = "1235000000123456"
+    parent = "1709373600000001"
     replies = reply_table(*[{"parent_ts": parent, "pos": p, "text": f"reply {p}"} for p in range(1, 3001)])
     export = plans.channel_export(message_table({"timestamp": parent, "reply_count": 3000}), replies)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -154,31 +167,31 @@ def test_empty_split_writes_nothing(message_table, reply_table, tmp_path):
 
 
 def test_names_of_many_channels(message_table, reply_table):
-    rows = message_table(*[{"channel": c, "timestamp": "1235000000123456"} for c in ("b", "a/x", "d", "c")])
+    rows = message_table(*[{"channel": c, "timestamp": "1717243200000000"} for c in ("b", "a/x", "d", "c")])
     wanted = plans.channel_export(rows, reply_table(), ["d", "c", "b", "a/x"])
-    names = lay.stems(lay.lay_out(wanted).documents, "{channel}-{date}", "20250115", ".md")
-    assert names.first()["stem"] == "d_c_b_+1-20250115.md"
+    names = lay.stems(lay.lay_out(wanted).documents, "{channel}-{date}", "20240601", ".md")
+    assert names.first()["stem"] == "d_c_b_+1-20240601.md"
     monthly = lay.stems(lay.lay_out(plans.channel_export(rows, reply_table()), "month").documents, suffix=".json")
-    assert monthly.first()["stem"] == "a_x_b_c_+1_2009-02.json"
+    assert monthly.first()["stem"] == "a_x_b_c_+1_2024-06.json"
     nothing = lay.stems(lay.lay_out(plans.channel_export(message_table(), reply_table())).documents, date="d", suffix=".md")
     assert nothing.first()["stem"] == "export_d.md"
 
 
 def test_json_lines(export, spark, tmp_path):
     row_sink.write_json_lines(export, str(tmp_path))
-    want = expected_json()["channels"]
-    records = lambda name: [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/{name}").select("value").collect()]
-    assert records("threads") == want[0]["threads"]
-    assert records("standalone") == want[0]["standalone_messages"]
-    assert {r["channel"]: r["total_messages"] for r in records("channels")} == {"general": 2, "empty": 0}
-    assert records("manifest") == [{k: v for k, v in expected_json().items() if k != "channels"}]
-    assert os.path.isdir(f"{tmp_path}/threads/year=2009/month=2009-02")
+    want = expected_json()["channels"][0]
+    records = lambda name, by: sorted((json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/{name}").select("value").collect()), key=by)
+    assert records("threads", lambda r: r["parent"]["timestamp"]) == want["threads"]
+    assert records("standalone", lambda r: r["timestamp"]) == want["standalone_messages"]
+    assert {r["channel"]: r["total_messages"] for r in records("channels", str)} == {"market": 4, "closed": 0}
+    assert records("manifest", str) == [{k: v for k, v in expected_json().items() if k != "channels"}]
+    assert all(os.path.isdir(f"{tmp_path}/threads/year=2024/month=2024-{m}") for m in ("03", "04"))
 
 
 def test_xml_rows(export, spark, tmp_path):
     row_sink.write_xml(export, str(tmp_path))
     back = spark.read.format("xml").option("rowTag", "thread").load(f"{tmp_path}/threads")
-    assert back.first()["parent"]["user"] == "mara" and back.first()["reply_count"] == 2
+    assert sorted((r["parent"]["user"], r["reply_count"]) for r in back.collect()) == [("olga", 1), ("ruben", 3)]
 
 
 def test_a_second_export_keeps_the_first(spark, message_table, reply_table, tmp_path):

@@ -82,8 +82,8 @@ def test_privacy(message_table):
     assert removed == "mail  or , card , not ;  not 10.0.0.256"
 
 
-def test_importance_and_metadata(general):
-    rows = {r["timestamp"]: r["importance"] for r in importance.score(*general).collect()}
-    assert rows == {"1235000000123456": 3 + 4 + 2, "1235000000123460": 0}
-    export = plans.channel_export(*general)
-    assert summary.run_metadata(export.parents, export.replies, export.standalone).first() == (1, 1, 2, 1)
+def test_importance_and_metadata(market):
+    rows = {r["user"]: r["importance"] for r in importance.score(*market).join(market[0].select("timestamp", "user"), "timestamp").collect()}
+    assert rows == {"nadia": 0, "ruben": (1 + 12) + 2 * 3 + 3, "tally": 0, "olga": 0}
+    export = plans.channel_export(*market)
+    assert summary.run_metadata(export.parents, export.replies, export.standalone).first() == (1, 2, 3, 2)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver import schema
-from palaver.operators import progress
+from palaver.operators import clean, progress
 from palaver.plans import export as plans
 from palaver.plans import layout
 from palaver.sinks import rows as row_sink
@@ -66,11 +66,12 @@ def test_expanded_threads_are_a_set(spark, message_table):
     assert [r["timestamp"] for r in progress.skip_expanded(parents, twice).collect()] == ["2"]
 
 
-def test_rest_of_a_resumed_run(spark, general):
-    export = plans.channel_export(*general)
-    done = spark.createDataFrame([("run", "general", "1235000000123456")], schema.EXPANDED)
+def test_rest_of_a_resumed_run(spark, market):
+    export = plans.channel_export(*market)
+    done = spark.createDataFrame([("run", "market", "1709373600000001"), ("run", "market", "1709287200")], schema.EXPANDED)
     rest = export.without_expanded(done)
-    assert rest.parents.count() == 0 and rest.replies.count() == 0 and rest.standalone.count() == 1
+    assert [r["user"] for r in rest.parents.collect()] == ["olga"] and rest.replies.count() == 0
+    assert sorted(r["user"] for r in rest.standalone.collect()) == ["nadia", "tally"]
 
 
 def test_rest_keeps_standalone_messages_and_totals(message_table, reply_table, spark):
@@ -150,3 +151,18 @@ def test_documents_round_trip(spark, saved, tmp_path, page_size):
     order = ["export_id", "channel"]
     assert progress_files.progress(documents).orderBy(order).collect() == saved.orderBy(order).collect()
     assert sorted(progress_files.expanded(documents).collect()) == sorted(expanded.collect())
+
+
+def test_broken_documents_are_listed(spark, tmp_path):
+    good, cut, typed = '{"export_id": "a", "channels": {"x": {"status": "completed"}}}', '{"export_id": "b", "chan', '{"export_id": "c", "channels": [1]}'
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "docs").write_text("\n".join([good, cut, "", typed, "7", good.replace('"a"', '"d"')]) + "\n")
+    read = progress_files.read_documents(spark, str(tmp_path / "p"))
+    assert sorted(r["export_id"] for r in read.collect()) == ["a", "d"] and read.count() == 2
+    found = progress_files.rejected_documents(spark, str(tmp_path / "p"))
+    assert found.count() == 3 and {r["content"]: (r["file"], r["reason"] == "no JSON") for r in found.collect()} == {cut: ("docs", True), typed: ("docs", False), "7": ("docs", False)}
+
+
+def test_messages_without_id_are_listed(message_table):
+    rows = message_table({"timestamp": "1"}, {"timestamp": ""}, {"timestamp": None})
+    assert [r["seq"] for r in clean.rejected_messages(rows).orderBy("seq").collect()] == [1, 2] and clean.with_ids(rows).count() == 1

@@ -9,16 +9,19 @@ def users(replies):
     return [r["user"] for r in replies]
 
 
-def test_nesting_keeps_panel_order(general):
-    row = plans.channel_export(*general).nested_threads().first()
-    assert row["parent"]["user"] == "mara"
-    assert users(row["replies"]) == ["ilse", "tomek"]
-    assert (row["reply_count"], row["n_replies"], row["page"]) == (2, 2, 0)
+def ladder_thread(export):
+    return export.nested_threads().filter("parent.user = 'ruben'").first()
 
 
-def test_declared_count_survives_bot_filter(general):
-    row = plans.channel_export(*general, exclude_bots=True).nested_threads().first()
-    assert users(row["replies"]) == ["ilse"] and row["reply_count"] == 2 and row["n_replies"] == 1
+def test_nesting_keeps_panel_order(market):
+    row = ladder_thread(plans.channel_export(*market))
+    assert users(row["replies"]) == ["olga", "pim", "tally"]  # by place, not by time
+    assert (row["reply_count"], row["n_replies"], row["page"]) == (3, 3, 0)
+
+
+def test_declared_count_survives_bot_filter(market):
+    row = ladder_thread(plans.channel_export(*market, exclude_bots=True))
+    assert users(row["replies"]) == ["olga", "pim"] and row["reply_count"] == 3 and row["n_replies"] == 2
 
 
 def test_thread_of_bots_only_stays_a_thread(message_table, reply_table):
@@ -44,9 +47,9 @@ def test_replies_are_neither_bounded_nor_distinct(message_table, reply_table):
     assert export.nested_threads().first()["n_replies"] == 2
 
 
-def test_unexpanded_threads_are_standalone(general):
-    export = plans.channel_export(*general, expand_threads=False)
-    assert export.standalone.count() == 2 and export.parents.count() == 0 and export.replies.count() == 0
+def test_unexpanded_threads_are_standalone(market):
+    export = plans.channel_export(*market, expand_threads=False)
+    assert export.standalone.count() == 4 and export.parents.count() == 0 and export.replies.count() == 0
 
 
 def test_reply_count_falls_back_to_replies_found(spark):
@@ -68,16 +71,16 @@ def test_long_threads_continue_in_pages(message_table, reply_table, page_size):
         assert {r["n_replies"] for r in pages} == {len(expected)}
 
 
-def test_messages_are_threads_or_standalone(general):
-    export = plans.channel_export(*general)
-    assert export.parents.count() + export.standalone.count() == export.messages.count()
-    difference = threads.standalone_without(general[0], general[1])
-    assert [r["user"] for r in difference.collect()] == ["quinn"]
+def test_messages_are_threads_or_standalone(market):
+    export = plans.channel_export(*market)
+    assert export.parents.count() + export.standalone.count() == export.messages.count() == 4
+    difference = threads.standalone_without(*market)
+    assert sorted(r["user"] for r in difference.collect()) == ["nadia", "olga", "tally"]
 
 
-def test_reply_counts_from_replies(general):
-    counted = threads.with_reply_counts(*general)
-    assert {r["user"]: r["reply_count"] for r in counted.collect()} == {"mara": 2, "quinn": 0}
+def test_reply_counts_from_replies(market):
+    counted = threads.with_reply_counts(*market)
+    assert {r["user"]: r["reply_count"] for r in counted.collect()} == {"nadia": 0, "ruben": 3, "tally": 0, "olga": 0}
 
 
 def test_depth_limit(reply_table):

@@ -11,8 +11,8 @@ from palaver.functions import text, times
     [
         ("1718452800000000", "", datetime(2024, 6, 15, 12)),
         ("1718452800", "", datetime(2024, 6, 15, 12)),
-        ("1718452800", "Jan 15, 2025 10:30 AM", datetime(2024, 6, 15, 12)),
-        ("xyz", "Jan 15, 2025 10:30 AM", datetime(2025, 1, 15, 10, 30)),
+        ("1718452800", "Oct 3, 2023 7:41 PM", datetime(2024, 6, 15, 12)),
+        ("xyz", "Oct 3, 2023 7:41 PM", datetime(2023, 10, 3, 19, 41)),
         ("xyz", "January 5th, 2025 at 12:05:09 PM", datetime(2025, 1, 5, 12, 5, 9)),
         ("xyz", "Monday, 5 Feb 2024", datetime(2024, 2, 5)),
         ("xyz", "12:10 AM, Dec 1, 2024", datetime(2024, 12, 1, 0, 10)),
