@@ -117,7 +117,7 @@ def clean_messages(
 def channel_export(
     messages: DataFrame,
     replies: DataFrame,
-    channels: Sequence[str] | None = None,
+    channels: Sequence[str] | DataFrame | None = None,
     oldest: str | None = None,
     newest: str | None = None,
     exclude_bots: bool = False,
@@ -130,7 +130,7 @@ def channel_export(
     stored_month: str | None = None,
     store: bool = False,
 ) -> Export:
-    """Export of the requested channels (all when none are named).
+    """Export of the requested channels (all when none are named, a table of names in name order).
 
     ``store`` writes the cleaned messages and their replies once to the shared folder.
     Sinks that render documents read them several times, each time other columns.
@@ -159,7 +159,10 @@ def channel_export(
         found = stored(threads.thread_replies(replies, threads.parents(kept), exclude_bots), "replies")
     else:
         found = clean.exclude_bots(replies) if exclude_bots else replies
-    meta = channel_table(messages.sparkSession, channels) if channels else channels_found(kept)
+    if isinstance(channels, DataFrame):
+        meta = channels_found(channels)
+    else:
+        meta = channel_table(messages.sparkSession, channels) if channels else channels_found(kept)
     return Export(kept, found, meta, expand_threads=expand_threads, store=store, captured_at=captured_at)
 
 

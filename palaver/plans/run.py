@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palaver.operators import progress as progress_ops
 from palaver.operators import threads
 from palaver.plans.export import Export, channel_export, require_scope
-from palaver.schema import EXPANDED, PROGRESS
+from palaver.schema import EXPANDED, EXPORTED, PROGRESS
 from palaver.sinks import rows, text
 
 WRITERS = {"markdown": text.write_markdown, "json": text.write_json, "html": text.write_html, "text": text.write_plain}
@@ -31,26 +31,28 @@ def run_export(
     exclude_bots: bool = False,
     expand_threads: bool = True,
     workspace: str = "",
-    mode: str = "high_water",
+    mode: str = "anti_join",
     exported: DataFrame | None = None,
 ) -> Export:
     """Export what run ``export_id`` has not exported yet, then append its progress.
 
-    The progress table lies below ``progress_path`` as ``progress`` and ``expanded``; both are only
+    The progress lies below ``progress_path`` as the tables ``progress``, ``expanded`` and ``exported``, which are only
     appended to. Channels the run has completed are left out, threads it has expanded too, and
-    ``mode`` says how the rest of a channel is told apart (see :func:`channel_export`;
-    ``exported`` is needed for ``anti_join``). A run without channels and without saved progress is refused.
+    ``mode`` says how the rest of a channel is told apart (see :func:`channel_export`): by the ids the run
+    has exported, or those of the table ``exported`` where one is given, or by the high-water mark, which loses
+    older history. A run without channels and without saved progress is refused.
     """
     spark = messages.sparkSession
-    saved, expanded = _saved(spark, progress_path, export_id)
+    saved, expanded, done = _saved(spark, progress_path, export_id)
     known = not saved.isEmpty()
     require_scope(channels, None, export_id if known else None)
     if known and not channels:
-        channels = [r["channel"] for r in progress_ops.newest(saved).filter("channel IS NOT NULL").select("channel").orderBy("channel").collect()]
+        channels = progress_ops.newest(saved).filter("channel IS NOT NULL").select("channel")
     export = channel_export(
         messages, replies, channels, oldest, newest, exclude_bots, expand_threads,
-        progress=saved if known else None, exported=exported, mode=mode if known else "anti_join", store=True,
-    ).without_expanded(expanded.filter(F.col("export_id") == export_id)).dated(workspace, updated_at)
+        progress=saved if known else None, exported=exported if exported is not None else done if known else None,
+        mode=mode if known else "anti_join", store=True,
+    ).without_expanded(expanded).dated(workspace, updated_at)
     if fmt == "json_lines":
         rows.write_json_lines(export, path)
     else:
@@ -59,12 +61,12 @@ def run_export(
     return export
 
 
-def _saved(spark: SparkSession, path: str, export_id: str) -> tuple[DataFrame, DataFrame]:
+def _saved(spark: SparkSession, path: str, export_id: str) -> list[DataFrame]:
     tables = []
-    for name, ddl in (("progress", PROGRESS), ("expanded", EXPANDED)):
+    for name, ddl in (("progress", PROGRESS), ("expanded", EXPANDED), ("exported", EXPORTED)):
         spark.createDataFrame([], ddl).write.mode("append").parquet(f"{path}/{name}")  # makes the folder
-        tables.append(spark.read.schema(ddl).parquet(f"{path}/{name}"))
-    return tables[0].filter(F.col("export_id") == export_id), tables[1]
+        tables.append(spark.read.schema(ddl).parquet(f"{path}/{name}").filter(F.col("export_id") == export_id))
+    return tables
 
 
 def _append(export: Export, saved: DataFrame, path: str, export_id: str, updated_at: str, fmt: str) -> None:
@@ -84,6 +86,8 @@ def _append(export: Export, saved: DataFrame, path: str, export_id: str, updated
         F.lit(updated_at).alias("updated_at"),
         F.lit(fmt).alias("format"),
     )
+    taken = export.messages.select(F.lit(export_id).alias("export_id"), "channel", "timestamp")
+    taken.write.mode("append").parquet(f"{path}/exported")  # before the marks: what is marked is never taken again
     merged.write.mode("append").parquet(f"{path}/progress")
     parents = threads.parent_ids(export.parents).select(F.lit(export_id).alias("export_id"), "channel", "parent_ts")
     parents.write.mode("append").parquet(f"{path}/expanded")

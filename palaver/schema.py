@@ -29,6 +29,7 @@ PROGRESS = (
     "message_count bigint, search_query string, created_at string, updated_at string, format string"
 )
 EXPANDED = "export_id string, channel string, parent_ts string"
+EXPORTED = "export_id string, channel string, timestamp string"
 
 FORMAT_VERSION = "1.0"
 UNKNOWN_MONTH = "unknown"
