@@ -13,16 +13,21 @@ from datetime import UTC
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.functions import html as h
 from palaver.functions import render, times
 from palaver.operators import catalog, clean, importance, privacy, progress, search_index, summary, threads
 from palaver.plans import export as plans
 from palaver.plans import layout as lay
+from palaver.plans import run
+from palaver.schema import MESSAGES, REPLIES
 from palaver.session import configure, shared_folder
 from palaver.sinks import rows as row_sink
 from palaver.sinks import text as text_sink
 from palaver.sources import adapters as a
 from palaver.sources import progress_files, snapshots
+from palaver.streaming import event_time
 from palaver.streaming import ingest as stream
+from palaver.streaming import run as stream_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1020,6 +1025,166 @@ def stream_reply_shift(spark, folder):
     return spark.read.parquet(f"{base}/replies").select("parent_ts", "timestamp", "user")
 
 
+# the priorities of the test tables, in code point order
+RESUMED = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+EVEN = "(seq // 2) % 2 = 0"
+CUT_SQL = f"TIMESTAMP '{CUT}'"
+
+
+@register(
+    "stream_watermark",
+    f"""WITH {EVENTS}, w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 DAY AS w FROM e WHERE ts < {CUT_SQL} OR {EVEN})
+SELECT channel, "timestamp", "user", CASE WHEN ts >= {CUT_SQL} AND NOT {EVEN} AND ts <= w THEN 'late' ELSE 'kept' END AS place FROM e, w""",
+)
+def stream_watermark(spark, folder):
+    """Distinct within a delay of three days: what comes later is filed apart, copies of what was kept are not."""
+    events, base = _events(spark, folder), shared_folder(spark, "stream")
+    old, even = times.id_datetime(F.col("timestamp")) < times.literal(times.parse_bound(CUT)), F.col("seq") / 2 % 2 == 0
+    copies = events.filter(old).withColumn("seq", F.col("seq") + 1).withColumn("text", F.upper("text"))
+    batches = _batches(spark, events.filter(old), events.filter(~old & even), copies, events.filter(~old & ~even))
+    event_time.ingest_within(batches, f"{base}/m", f"{base}/state", "3 days").awaitTermination()
+    tables = [
+        event_time.read_batches(spark, f"{base}/m/{place}", events.schema).select("channel", "timestamp", "user", F.lit(place).alias("place"))
+        for place in ("kept", "late")
+    ]
+    return tables[0].unionByName(tables[1])
+
+
+@register(
+    "stream_progress",
+    f"""WITH {EVENTS}
+SELECT channel, 'completed' AS status, max("timestamp") AS last_message_ts, count(*) AS message_count, count(*) AS n_committed
+FROM e GROUP BY channel""",
+)
+def stream_progress(spark, folder):
+    """Overlapping reads exported micro-batch by micro-batch: the saved progress and the committed messages agree."""
+    events, base = _events(spark, folder, overlap=True), shared_folder(spark, "stream")
+    third = F.floor(F.col("seq") / 2) % 3
+    batches = _batches(spark, *[events.filter((third == k) | (third == (k + 1) % 3)) for k in range(3)])
+    stream_run.start_run(batches, f"{base}/run", f"{base}/state", "run", "2024-07-01T10:00:00").awaitTermination()
+    stream_run.finish_run(spark, f"{base}/run", "run", "2024-07-01T11:00:00")
+    saved = progress.latest(stream_run.saved_progress(spark, f"{base}/run", "run").filter("channel IS NOT NULL"))
+    found = stream_run.committed(spark, f"{base}/run", "run", events.schema).groupBy("channel").agg(F.count(F.lit(1)).alias("n_committed"))
+    return saved.join(found, "channel").select("channel", "status", "last_message_ts", "message_count", "n_committed")
+
+
+@register(
+    "stream_thread_join",
+    f"""WITH {ORDERS}
+SELECT r.channel, r.parent_ts, r.pos, r."user", o_orderkey % 7 <> 0 AS has_parent FROM r JOIN o ON o.channel = r.channel AND o.ts = r.parent_ts""",
+)
+def stream_thread_join(spark, folder):
+    """Replies of every other thread come before their parents; every seventh parent never comes."""
+    messages, replies = _orders(spark, folder)
+    base, far = shared_folder(spark, "stream"), str(4_102_444_800_000_000)
+    even = F.col("seq") % 2 == 0
+    odd_reply = F.right("parent_ts", F.lit(1)).cast("int") % 2 == 1
+    present = messages.filter(F.col("seq") % 7 != 0)
+    beat = event_time.heartbeat(spark, MESSAGES, channel="", timestamp=far), event_time.heartbeat(spark, REPLIES, channel="", parent_ts=far)
+    parents = _batches(spark, present.filter(even), present.filter(~even), beat[0])
+    found = _batches(spark, replies.filter(odd_reply), replies.filter(~odd_reply), beat[1])
+    event_time.join_replies(parents, found, f"{base}/out", f"{base}/state", "3650 days").awaitTermination()
+    tables = [
+        event_time.read_batches(spark, f"{base}/out/{name}", replies.schema).select("channel", "parent_ts", "pos", "user", F.lit(name == "replies").alias("has_parent"))
+        for name in ("replies", "orphans")
+    ]
+    return tables[0].unionByName(tables[1]).filter("channel <> ''").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@register(
+    "stream_day_counters",
+    f"""WITH {EVENTS}, w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY AS w FROM e)
+SELECT channel, max("timestamp") AS last_message_ts, count(*) AS message_count,
+       count(*) FILTER (date_trunc('day', ts) + INTERVAL 1 DAY <= w) AS in_closed_days FROM e, w GROUP BY channel""",
+)
+def stream_day_counters(spark, folder):
+    """An overlapping stream counted without a distinct table: days that are over are written, the others read from the state."""
+    events, base = _events(spark, folder, overlap=True), shared_folder(spark, "stream")
+    old = times.id_datetime(F.col("timestamp")) < times.literal(times.parse_bound(CUT))
+    copies = events.filter(old & (F.col("seq") % 2 == 1))
+    batches = _batches(spark, events.filter(old), events.filter(~old).unionByName(copies))
+    event_time.day_counters(batches, f"{base}/days", f"{base}/state", "2 days").awaitTermination()
+    closed = event_time.read_batches(spark, f"{base}/days", "channel string, day date, last_message_ts string, message_count bigint")
+    over = closed.groupBy("channel").agg(F.sum("message_count").alias("in_closed_days"))
+    return event_time.counted(closed, event_time.open_days(spark, f"{base}/state")).join(over, "channel", "left").fillna(0)
+
+
+@register(
+    "rejected_pages",
+    f"""WITH {TALKS}, g AS (SELECT conv_id, turn // 50 AS page, count(*) AS n FROM conversations GROUP BY ALL)
+SELECT place, reason, CAST(2 * count(*) AS BIGINT) AS n, CAST(sum(items) AS BIGINT) AS items FROM (
+  SELECT 'read' AS place, '' AS reason, 2 * n AS items FROM g WHERE conv_id % 5 <> 0 OR page > 0
+  UNION ALL SELECT 'left out', 'page number out of range', 2 * n FROM g WHERE conv_id % 5 = 0 AND page = 0) GROUP BY ALL""",
+)
+def rejected_pages(spark, folder):
+    """The first pages of every fifth conversation carry numbers that cannot be ordered; all other pages are read."""
+    pages = a.snapshots_from_conversations(a.table(spark, folder, "conversations"))
+    number = F.shiftrightunsigned("snapshot_seq", 1)
+    odd = (F.shiftright(number, 12) % 5 == 0) & (number.bitwiseAND(4095) == 0)
+    pages = pages.withColumn("snapshot_seq", F.when(odd, -1 - F.col("snapshot_seq")).otherwise(F.col("snapshot_seq")))
+    items = pages.select(F.concat_ws("#", "channel", F.col("snapshot_seq").cast("string")).alias("place"), F.size(h.items(F.col("html"))).alias("items"))
+    left_out = snapshots.rejected_pages(pages).join(items, "place").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("items").alias("items"))
+    per_page = snapshots.parse_messages(pages).groupBy(F.shiftright("seq", 20).alias("page")).agg(F.count(F.lit(1)).alias("items"))
+    read = per_page.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"))
+    rows = read.select(F.lit("read").alias("place"), F.lit("").alias("reason"), "n", "items")
+    return rows.unionByName(left_out.select(F.lit("left out").alias("place"), "reason", "n", "items"))
+
+
+@register(
+    "rejected_documents",
+    f"""WITH {ORDERS}, g AS (SELECT right("user", 1) AS run, count(DISTINCT channel) AS n FROM p GROUP BY ALL)
+SELECT 'run'||run AS export_id, CASE WHEN run IN ('1', '4') THEN 0 WHEN run = '7' THEN 0 ELSE n END AS n_channels,
+       CASE WHEN run IN ('1', '4') THEN 'no JSON' WHEN run = '7' THEN 'a member has another type' ELSE '' END AS reason FROM g""",
+)
+def rejected_documents(spark, folder):
+    """Saved progress of which some documents are cut off and one has a number for a map: the others are read, these reported."""
+    messages, _ = _orders(spark, folder)
+    path = shared_folder(spark, "progress")
+    _, nothing = progress_files.empty(spark)
+    saved = progress_files.documents(_run_progress(messages), nothing, run_column="run")
+    broken = F.when(F.col("run").isin("run1", "run4"), F.expr("substr(value, 1, length(value) - 2)")).when(
+        F.col("run") == "run7", F.lit('{"export_id": "run7", "channels": 7}')
+    )
+    saved.select("run", F.coalesce(broken, "value").alias("value")).write.partitionBy("run").text(path)
+    rows = progress_files.progress(progress_files.read_documents(spark, path))
+    read = rows.groupBy("export_id").agg(F.count("channel").alias("n_channels")).withColumn("reason", F.lit(""))
+    odd = progress_files.rejected_documents(spark, path)
+    named = odd.select(F.regexp_extract("content", '"export_id": ?"([^"]*)', 1).alias("export_id"), F.lit(0).cast("bigint").alias("n_channels"), "reason")
+    return read.unionByName(named)
+
+
+@register(
+    "rejected_messages",
+    f"""WITH {EVENTS}
+SELECT channel, count(*) FILTER (seq % 14 <> 0) AS n_kept, count(*) FILTER (seq % 14 = 0) AS n_rejected FROM e GROUP BY channel""",
+)
+def rejected_messages(spark, folder):
+    """A seventh of the messages has no id: they are reported, the others kept."""
+    events = _events(spark, folder)
+    events = events.withColumn("timestamp", F.when(F.col("seq") % 28 == 0, "").when(F.col("seq") % 14 != 0, F.col("timestamp")))
+    kept = clean.with_ids(events).groupBy("channel").agg(F.count(F.lit(1)).alias("n_kept"))
+    rejected = clean.rejected_messages(events).groupBy("channel").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return kept.join(rejected, "channel", "full").fillna(0)
+
+
+@register(
+    "resumed_run",
+    f"""WITH {ORDERS}
+SELECT channel, 'in_progress' AS status, max(ts) AS last_message_ts, count(*) AS message_count, count(*) AS n_exported FROM p GROUP BY channel""",
+)
+def resumed_run(spark, folder):
+    """A run broken off after every second message and resumed: the rest is older as well as newer, and nothing is lost or doubled."""
+    messages, replies = _orders(spark, folder)
+    base = shared_folder(spark, "runs")
+    for part, at in ((messages.filter(F.col("seq") % 2 == 0), "2024-07-01T10"), (messages, "2024-07-01T11")):
+        run.run_export(part, replies, f"{base}/{at}", f"{base}/progress", "run", at, RESUMED, fmt="json_lines", workspace="w")
+        saved = spark.read.parquet(f"{base}/progress/progress").filter(F.col("updated_at") == at)
+        saved.withColumn("status", F.lit("in_progress")).withColumn("updated_at", F.lit(at + "+")).write.mode("append").parquet(f"{base}/progress/progress")
+    done = spark.read.parquet(f"{base}/progress/exported").groupBy("channel").agg(F.count(F.lit(1)).alias("n_exported"))
+    saved = progress.latest(spark.read.parquet(f"{base}/progress/progress"))
+    return saved.join(done, "channel").select("channel", "status", "last_message_ts", "message_count", "n_exported")
+
+
 @register(
     "sink_two_months",
     f"""WITH {ORDERS}

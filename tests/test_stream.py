@@ -1,9 +1,14 @@
+import os
+import time
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
+from palaver.operators import progress
+from palaver.schema import MESSAGES
+from palaver.streaming import event_time
 from palaver.streaming import ingest as stream
+from palaver.streaming import run as stream_run
 
 
 def micros(day, hour=0):
@@ -16,7 +21,11 @@ def feed(spark, message_table, tmp_path):
     class Feed:
         base = str(tmp_path)
 
+        def __init__(self):
+            self.spark = spark
+
         def add(self, *rows):
+            time.sleep(0.05)  # files are taken by age
             message_table(*rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
 
         def read(self):
@@ -94,3 +103,115 @@ def test_counters_go_on_after_restart(spark, feed):
     assert run() == {"general": ("7", 2), "quiet": ("1", 1)}
     feed.add({"timestamp": "6"})
     assert run() == {"general": ("7", 3), "quiet": ("1", 1)}
+
+
+def run_of(feed, step, *names):
+    step().awaitTermination()
+    return [texts(event_time.read_batches(feed.spark, f"{feed.base}/{name}", MESSAGES)) for name in names]
+
+
+def test_late_rows_go_to_a_table_of_their_own(feed):
+    def run():
+        return run_of(feed, lambda: event_time.ingest_within(feed.read(), f"{feed.base}/m", f"{feed.base}/state", "3 days"), "m/kept", "m/late")
+
+    feed.add({"timestamp": micros(10), "text": "a"}, {"timestamp": micros(10), "text": "a again", "seq": 9}, {"timestamp": "odd", "text": "undated"})
+    assert run() == [["a", "undated"], []]
+    feed.add({"timestamp": micros(7), "text": "on the edge"}, {"timestamp": micros(7, 1), "text": "in time"}, {"timestamp": micros(10), "text": "a third time"})
+    assert run() == [["a", "in time", "undated"], ["on the edge"]]
+    feed.add({"timestamp": micros(30), "text": "b"}, {"timestamp": "odd", "text": "undated again"})
+    # the first run's key has left the state, its copy is late and known; another is late and new
+    feed.add({"timestamp": micros(10), "text": "a once more"}, {"timestamp": micros(11), "text": "late"}, {"timestamp": micros(7), "text": "edge again"})
+    assert run() == [["a", "b", "in time", "undated"], ["late", "on the edge"]]
+    assert run() == [["a", "b", "in time", "undated"], ["late", "on the edge"]]
+
+
+def test_late_rows_survive_a_replay(feed):
+    for day in (10, 20):
+        feed.add({"timestamp": micros(day), "text": f"d{day}"}, {"timestamp": micros(day - 9), "text": f"d{day - 9}"})
+        time.sleep(0.05)  # files are taken by age
+    for state in ("state", "again"):
+        found = run_of(feed, lambda: event_time.ingest_within(feed.read(), f"{feed.base}/m", f"{feed.base}/{state}", "2 days"), "m/kept", "m/late")
+        assert found == [["d1", "d10", "d11", "d20"], []]
+    feed.add({"timestamp": micros(2), "text": "d2"})
+    for state in ("state", "again"):
+        found = run_of(feed, lambda: event_time.ingest_within(feed.read(), f"{feed.base}/m", f"{feed.base}/{state}", "2 days"), "m/kept", "m/late")
+        assert found == [["d1", "d10", "d11", "d20"], ["d2"]]
+
+
+def replies_feed(spark, base, message_table, reply_table, parent_batches, reply_batches):
+    for name, table, batches in (("parents", message_table, parent_batches), ("replies", reply_table, reply_batches)):
+        for batch in batches:
+            table(*batch).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+            time.sleep(0.05)  # files are taken by age
+    read = lambda name, table: spark.readStream.schema(table().schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{name}")
+    return read("parents", message_table), read("replies", reply_table)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_replies_meet_their_parents_in_any_order(spark, message_table, reply_table, tmp_path, turned):
+    parents = [[{"timestamp": micros(day), "reply_count": 1}] for day in (3, 5, 4)]
+    replies = [[{"parent_ts": micros(day), "pos": p, "text": f"{day}.{p}"} for p in (1, 2)] for day in (4, 6, 3)]
+    if turned:
+        parents, replies = parents[::-1], replies[::-1]
+    replies.append([{"parent_ts": "undated", "text": "no time"}, {"parent_ts": micros(31), "channel": "", "text": "beat"}])
+    parents.append([{"timestamp": micros(31), "channel": "", "reply_count": 1}])
+    streams = replies_feed(spark, tmp_path, message_table, reply_table, parents, replies)
+    for _ in range(2):
+        event_time.join_replies(*streams, f"{tmp_path}/out", f"{tmp_path}/state", "10 days").awaitTermination()
+        read = lambda name: texts(event_time.read_batches(spark, f"{tmp_path}/out/{name}", reply_table().schema).filter("channel <> ''"))
+        assert read("replies") == ["3.1", "3.2", "4.1", "4.2"]
+        assert read("orphans") == ["6.1", "6.2", "no time"]
+
+
+def test_counters_of_an_overlapping_stream(spark, feed):
+    def run():
+        event_time.day_counters(feed.read(), f"{feed.base}/days", f"{feed.base}/state", "1 day").awaitTermination()
+        closed = event_time.read_batches(spark, f"{feed.base}/days", "channel string, day date, last_message_ts string, message_count bigint")
+        still = event_time.open_days(spark, f"{feed.base}/state")
+        return (closed.count(), {r["channel"]: (r["last_message_ts"], r["message_count"]) for r in event_time.counted(closed, still).collect()})
+
+    feed.add({"timestamp": micros(3)}, {"timestamp": micros(3, 5)}, {"timestamp": micros(3), "seq": 7}, {"timestamp": micros(3), "channel": "quiet"}, {"timestamp": "odd"})
+    assert run() == (0, {"general": (micros(3, 5), 2), "quiet": (micros(3), 1)})
+    feed.add({"timestamp": micros(3, 5), "text": "again"}, {"timestamp": micros(4)})
+    assert run() == (0, {"general": (micros(4), 3), "quiet": (micros(3), 1)})
+    feed.add({"timestamp": micros(9)}, {"timestamp": micros(4), "text": "again"})
+    closed, counts = run()
+    assert closed == 3 and counts == {"general": (micros(9), 4), "quiet": (micros(3), 1)}
+
+
+def test_run_broken_off_between_batches(spark, feed, monkeypatch):
+    path, ddl = f"{feed.base}/run", MESSAGES
+    start = lambda: stream_run.start_run(feed.read(), path, f"{feed.base}/state", "r", "t1")
+
+    def saved():
+        rows = stream_run.saved_progress(spark, path, "r").filter("channel IS NOT NULL")
+        return {r.channel: (r.status, r.last_message_ts, r.message_count) for r in progress.latest(rows).collect()}
+
+    for day in (3, 4, 5):
+        feed.add({"timestamp": micros(day), "text": f"d{day}"}, {"timestamp": micros(day - 1), "text": f"copy {day - 1}", "seq": 9}, {"timestamp": micros(day), "channel": "b", "text": f"b{day}"})
+        time.sleep(0.05)
+    commit, calls = stream_run._commit, []
+
+    def breaks(rows, *where):
+        calls.append(where)
+        if len(calls) == 2:
+            raise OSError("the machine is gone")
+        commit(rows, *where)
+
+    monkeypatch.setattr(stream_run, "_commit", breaks)
+    with pytest.raises(Exception, match="the machine is gone"):
+        start().awaitTermination()
+    # data of the second batch is written, but nothing of it counts yet
+    assert os.path.isdir(f"{path}/messages/run=r/batch=1")
+    assert texts(stream_run.committed(spark, path, "r", ddl)) == ["b3", "copy 2", "d3"]
+    assert saved() == {"general": ("in_progress", micros(3), 2), "b": ("in_progress", micros(3), 1)}
+    start().awaitTermination()
+    assert texts(stream_run.committed(spark, path, "r", ddl)) == ["b3", "b4", "b5", "copy 2", "d3", "d4", "d5"]
+    assert saved() == {"general": ("in_progress", micros(5), 4), "b": ("in_progress", micros(5), 3)}
+    stream_run.finish_run(spark, path, "r", "t2")
+    assert saved() == {"general": ("completed", micros(5), 4), "b": ("completed", micros(5), 3)}
+    start().awaitTermination()
+    assert texts(stream_run.committed(spark, path, "r", ddl)) == ["b3", "b4", "b5", "copy 2", "d3", "d4", "d5"]
+    assert stream_run.committed(spark, path, "other", ddl).count() == 0
+    stream_run.finish_run(spark, path, "other", "t2")
+    assert stream_run.saved_progress(spark, path, "other").count() == 0
