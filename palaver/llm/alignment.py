@@ -16,7 +16,9 @@ summed by pair and sent back to their chunks.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import operator
 import re
 import sys
 import types
@@ -100,8 +102,9 @@ class Tokens:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode())
-        self.sizes_a = np.array([len(x) for x in self.bytes_a])
-        self.sizes_b = np.array([len(x) for x in self.bytes_b])
+        self.sizes_a, self.sizes_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.barred = [name + "|" for name in self.names]
 
     def _same_merges(self, file: dict) -> tiktoken.Encoding | None:
         """The same merges as ranks, where the file has nothing beside them: a quicker way for plain texts."""
@@ -167,37 +170,36 @@ def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int
     return out
 
 
-def links(groups: list[tuple[int, int, int, int]], ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """Indices of the linked tokens: pairs along the runs, stairs within the other groups."""
-    left: list[int] = []
-    right: list[int] = []
+def links(groups: list[tuple[int, int, int, int]], ends_a: list[int], ends_b: list[int], a: Sequence, b: Sequence) -> tuple[list, list]:
+    """The members of ``a`` and ``b`` (one for each token) that are linked: pairs along the runs, stairs within the other groups."""
+    left: list = []
+    right: list = []
     for i, j, m, n in groups:
         if not n:
-            left.extend(range(i, i + m))
-            right.extend(range(j, j + m))
+            left += a[i : i + m]
+            right += b[j : j + m]
             continue
-        last = i + m + j + n - 2
-        left.append(i)
-        right.append(j)
-        while i + j < last:
+        left.append(a[i])
+        right.append(b[j])
+        for _ in range(m + n - 2):
             if ends_a[i] < ends_b[j]:
                 i += 1
             else:
                 j += 1
-            left.append(i)
-            right.append(j)
+            left.append(a[i])
+            right.append(b[j])
     return left, right
 
 
-def spelled(groups: list[tuple[int, int, int, int]], a: list[int], b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    of_a, of_b = list(map(str, a)), list(map(str, b))
-    out = []
+def spelled(groups: list[tuple[int, int, int, int]], a: Sequence[int], b: Sequence[int], names: list[str], barred: list[str]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group; ``names`` has each id as text, ``barred`` with a bar behind it."""
+    of_a, of_b, out = list(map(barred.__getitem__, a)), list(map(names.__getitem__, b)), []
     for i, j, m, n in groups:
         if not n:
-            out.extend(map("|".join, zip(of_a[i : i + m], of_b[j : j + m])))
+            out += map(operator.add, of_a[i : i + m], of_b[j : j + m])
         else:
-            out.append(f"{','.join(of_a[i : i + m])}|{','.join(of_b[j : j + n])}")
+            first = ",".join(map(names.__getitem__, a[i : i + m - 1])) + "," if m > 1 else ""
+            out.append(first + of_a[i + m - 1] + (of_b[j] if n == 1 else ",".join(of_b[j : j + n])))
     return ";".join(out)
 
 
@@ -205,23 +207,29 @@ class _Chunk:
     """Collects documents until there are enough bytes, then packs them as one row."""
 
     def __init__(self, number: int):
-        self.number, self.documents, self.codes, self.size = number, [], [], 0
+        self.number, self.documents, self.size = number, [], 0
+        self.codes: list[np.ndarray] = []  # of each document the different pairs
+        self.often: list[np.ndarray] = []  # and how often it has each
 
     def add(self, doc_id: int | None, a: list[int], b: list[int], tokens: Tokens) -> None:
-        ends_a, ends_b = np.cumsum(tokens.sizes_a[a]).tolist(), np.cumsum(tokens.sizes_b[b]).tolist()
+        ends_a = list(itertools.accumulate(map(tokens.sizes_a.__getitem__, a)))
+        ends_b = list(itertools.accumulate(map(tokens.sizes_b.__getitem__, b)))
         groups = align(ends_a, ends_b)
-        left, right = links(groups, ends_a, ends_b)
-        self.codes.append(np.array(a, np.int64)[left] << _PAIR_BITS | np.array(b, np.int64)[right] if left else np.zeros(0, np.int64))
-        digest = hashlib.sha256(spelled(groups, a, b).encode()).hexdigest() if groups else ""
+        left, right = links(groups, ends_a, ends_b, a, b)
+        codes = np.sort(np.fromiter(left, np.int64, len(left)) << _PAIR_BITS | np.fromiter(right, np.int64, len(right)))
+        heads = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.codes.append(codes[heads])
+        self.often.append(np.diff(heads, append=len(codes)))
+        digest = hashlib.sha256(spelled(groups, a, b, tokens.names, tokens.barred).encode()).hexdigest() if groups else ""
         self.documents.append((doc_id, len(a), len(b), sum(1 if n else m for _, _, m, n in groups), len(left), digest))
         self.size += 64 + (ends_a[-1] if ends_a else 0)
 
     def row(self, schema: pa.Schema) -> pa.RecordBatch:
-        codes = np.concatenate(self.codes)
-        pairs, which, times = np.unique(codes, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(self.codes)), [len(c) for c in self.codes])
-        # of each document the different places in the table of pairs, and how often each
-        cells, often = np.unique(owner * max(1, len(pairs)) + which, return_counts=True)
+        often = np.concatenate(self.often)
+        pairs, which = np.unique(np.concatenate(self.codes), return_inverse=True)
+        times = np.bincount(which, often, len(pairs)).astype(np.int64)
+        # of each document the places in the table of pairs, rising
+        cells = np.repeat(np.arange(len(self.codes)), [len(c) for c in self.codes]) * max(1, len(pairs)) + which
         head = np.array([len(cells)], "<i8").tobytes()
         packed = zstandard.compress(head + np.diff(cells, prepend=0).astype("<i8").tobytes() + often.astype("<u4").tobytes(), 3)
         names = [n for n, _ in DOCUMENT]
