@@ -119,6 +119,7 @@ def test_late_rows_go_to_a_table_of_their_own(feed):
     feed.add({"timestamp": micros(7), "text": "on the edge"}, {"timestamp": micros(7, 1), "text": "in time"}, {"timestamp": micros(10), "text": "a third time"})
     assert run() == [["a", "in time", "undated"], ["on the edge"]]
     feed.add({"timestamp": micros(30), "text": "b"}, {"timestamp": "odd", "text": "undated again"})
+    assert run() == [["a", "b", "in time", "undated"], ["on the edge"]]
     # the first run's key has left the state, its copy is late and known; another is late and new
     feed.add({"timestamp": micros(10), "text": "a once more"}, {"timestamp": micros(11), "text": "late"}, {"timestamp": micros(7), "text": "edge again"})
     assert run() == [["a", "b", "in time", "undated"], ["late", "on the edge"]]
