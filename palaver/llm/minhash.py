@@ -9,9 +9,9 @@ the earliest of each coordinate is kept (and the rank doubled where one was empt
 ``k (log k + 4)`` darts a document, however long it is. Two sets agree in a coordinate with
 the probability of their similarity.
 
-Bands of six coordinates are joined. Exact copies are one node from the start. In a band
-bucket every node is first compared with the smallest one; what is then still in different
-components is compared with further pivots, round by round, until each bucket is one
+Bands of six coordinates are joined. Exact copies are one node from the start. Every node is
+first compared with the smallest one it shares a band with; what of a band is then still in different
+components is compared with pivots, round by round, until each bucket is one
 component or all of its cross pairs have been compared: no pair that shares a band is
 skipped, and a bucket of copies costs a number of comparisons in proportion to its size.
 Cross pairs are first compared inside the join by two bits of each of 2,048 coordinates, which
@@ -24,15 +24,16 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.llm.common import arrow_schema, ship, stored
+from palaver.llm.common import arrow_schema, byte_slices, ship, stored
 from palaver.llm.graph import components
 from palaver.llm.wordhash import Words, mixed
 
@@ -43,6 +44,8 @@ SKETCH = 2048
 SIMILAR = (4, 5)  # 0.8 as a fraction: counts are compared as integers
 PIVOTS = (4, 16, 64, 256)  # a bucket's new pivots in each round; the last number goes on
 _SLICE = 1 << 20
+_EARLIEST = 1 << 21
+_FILTER_BITS = 26
 
 SIGNATURE = T.StructType(
     [
@@ -85,38 +88,44 @@ def elements(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(cells: np.ndarray, first: np.ndarray, k: int = COORDINATES) -> np.ndarray:
-    """The earliest dart of each coordinate, a row per text; texts without cells have zeros."""
+    """The earliest dart of each coordinate, a row per text; texts without cells have zeros.
+
+    Darts are thrown round by round, one of each cell, and only the earliest of each coordinate are kept, for as many
+    texts at a time as have ``_EARLIEST`` coordinates, so memory follows neither the darts nor the texts.
+    """
     weights = np.diff(first)
     out = np.zeros((len(weights), k), np.uint64)
     waiting = np.flatnonzero(weights > 0)
     reach = k * (math.log(k) + 4.0)
     while len(waiting):
-        owner = np.repeat(np.arange(len(waiting)), weights[waiting])
-        own = np.concatenate([cells[first[i] : first[i + 1]] for i in waiting])
-        limit = (reach / weights[waiting])[owner]
-        ranks, ids, keys = [], [], []
-        rank, seed = np.zeros(len(own)), own
-        while len(own):
-            seed = mixed(seed + np.uint64(0x9E3779B97F4A7C15))
-            rank = rank - np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            hit = rank <= limit
-            own, owner, limit, rank, seed = own[hit], owner[hit], limit[hit], rank[hit], seed[hit]
-            dart = mixed(seed ^ np.uint64(0xA24BAED4963EE407))
-            ranks.append(rank)
-            ids.append(dart)
-            keys.append(owner * k + (dart % np.uint64(k)).astype(np.int64))
-        ranks, ids, keys = np.concatenate(ranks), np.concatenate(ids), np.concatenate(keys)
-        earliest = np.full(len(waiting) * k, np.inf)
-        np.minimum.at(earliest, keys, ranks)
-        best = ranks == earliest[keys]
-        found = np.zeros(len(waiting) * k, np.uint64)
-        found[keys[best]] = ids[best]
-        full = ~np.isinf(earliest).reshape(-1, k).any(axis=1)
-        out[waiting[full]] = found.reshape(-1, k)[full]
+        full = np.concatenate([_throw(cells, first, own, out, reach) for own in np.array_split(waiting, -(-len(waiting) * k // _EARLIEST))])
         waiting, reach = waiting[~full], reach * 2
     return out
 
 
+def _throw(cells: np.ndarray, first: np.ndarray, texts: np.ndarray, out: np.ndarray, reach: float) -> np.ndarray:
+    """Fill the rows of ``out`` whose coordinates all have a dart up to ``reach``; says which texts those are."""
+    k, sizes = out.shape[1], first[texts + 1] - first[texts]
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    seed = cells[np.repeat(first[texts] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(owner))]
+    limit = (reach / sizes)[owner]
+    rank = np.zeros(len(seed))
+    earliest, found = np.full(len(texts) * k, np.inf), np.zeros(len(texts) * k, np.uint64)
+    while len(seed):
+        seed = mixed(seed + np.uint64(0x9E3779B97F4A7C15))
+        rank = rank - np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        hit = rank <= limit
+        owner, limit, rank, seed = owner[hit], limit[hit], rank[hit], seed[hit]
+        dart = mixed(seed ^ np.uint64(0xA24BAED4963EE407))
+        at = owner * k + (dart % np.uint64(k)).astype(np.int64)
+        np.minimum.at(earliest, at, rank)
+        best = earliest[at] == rank
+        found[at[best]] = dart[best]
+    full = np.isfinite(earliest).reshape(-1, k).all(axis=1)
+    out[texts[full]] = found.reshape(-1, k)[full]
+    return full
+
+
 def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     n, k = signature.shape
     part = mixed(signature + np.arange(k, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).reshape(n, k // rows, rows)
@@ -140,17 +149,6 @@ def _alike(x: Column, y: Column) -> Column:
     return unlike <= F.lit(math.ceil(SKETCH * (1 - agreed) + 5 * math.sqrt(SKETCH * agreed * (1 - agreed))))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about a megabyte of text, one row at least."""
-    texts = batch.column("text").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _lists(values: np.ndarray, present: np.ndarray) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum(np.where(present, values.shape[1], 0))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[present].ravel()))
@@ -162,7 +160,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in byte_slices(batch, "text", _SLICE):
                 words = Words(part.column("text"))
                 cells, first = elements(words)
                 keys = bands(signatures(cells, first))
@@ -181,7 +179,7 @@ def element_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in byte_slices(batch, "text", _SLICE):
                 cells, first = elements(Words(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(cells.astype(np.int64)))
                 short = _lists(sketch(signatures(cells, first, SKETCH)), np.diff(first) > 0)
@@ -192,7 +190,9 @@ def element_sets(docs: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity, compared exactly."""
+    """The pairs ``a, b`` whose sets reach the similarity, compared exactly; few other sets than theirs are exchanged."""
+    pairs = stored(pairs, "minhash-pairs")
+    sets = sets.filter(_perhaps(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())(F.col("node")))
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -201,13 +201,41 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(close).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _perhaps(nodes: DataFrame) -> Callable[[Column], Column]:
+    """A test that all of the nodes pass, and few others while there are under some millions: a Bloom filter of at most 8 MB.
+
+    Beyond that more and more others pass it, which only means that they are sorted out later.
+    """
+    bits = min(_FILTER_BITS, max(10, (16 * nodes.count()).bit_length()))
+    places = nodes.select(F.explode(F.array(*[_bit(F.col("node"), turn, bits) for turn in range(3)])).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT))) AS set"))
+    filled = np.zeros(1 << (bits - 6), np.uint64)
+    for batch in words.toArrow().to_batches():
+        filled[np.asarray(batch.column("word"))] = np.asarray(batch.column("set")).astype(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def passes(first: pd.Series, second: pd.Series, third: pd.Series) -> pd.Series:
+        found = np.ones(len(first), bool)
+        for at in (first, second, third):
+            at = at.fillna(0).to_numpy(np.int64)
+            found &= (filled[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(found)
+
+    return lambda node: passes(*[_bit(node, turn, bits) for turn in range(3)])
+
+
+def _bit(node: Column, turn: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(turn), node), 64 - bits)
+
+
+def near_duplicates(docs: DataFrame, sketched: bool = True) -> DataFrame:
     """``doc_id, class_id`` of every row; the class is named by its smallest document.
 
     Documents are linked by a weighted Jaccard similarity of 0.8 or more on runs of five
     words; classes are the connected components. Null and empty texts, and texts of white
     space, are classes of their own. Rows with a null id have a null class and join no
     other; rows that share an id are one document. An empty table gives no rows.
+    Without ``sketched`` every cross pair that shares a band is compared exactly.
     """
     signed = stored(sign(docs), "minhash-signatures")
     known = signed.filter("doc_id IS NOT NULL AND size(bands) > 0")
@@ -215,15 +243,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spread = nodes.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).filter("_low < _high").select("band")
     members = stored(spread.join(shared, "band"), "minhash-members")
-    contenders = members.select("node").distinct()
+    contenders = stored(members.select("node").distinct(), "minhash-contenders")
     # copies of a node's text are other documents, so the node's own id finds its text
-    own = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = stored(element_sets(own.join(contenders, "node", "left_semi")), "minhash-sets")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")).filter("node IS NOT NULL")
+    own = own.filter(_perhaps(contenders)(F.col("node"))).join(contenders, "node", "left_semi")
+    sets = stored(element_sets(own), "minhash-sets")
 
+    # first each node with one other only, the smallest it shares a band with
     least = members.groupBy("band").agg(F.min("node").alias("b"))
-    pairs = members.join(least, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = members.join(least, "band").filter("node <> b").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
     edges = stored(similar(pairs, sets), "minhash-edges")
-    left = members.join(least, "band").filter("node <> b").select("band", "node")
+    left = members
     for turn in itertools.count():
         roots = components(edges)
         named = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -236,7 +266,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         lane = F.pmod(F.xxhash64("node"), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
         pivots = open_.groupBy("band", lane.alias("lane")).agg(F.min(F.struct("node", "root", "sketch")).alias("p"))
         pivots = stored(pivots.select(F.col("band").alias("p_band"), "p"), "minhash-pivots")
-        across = (F.col("band") == F.col("p_band")) & (F.col("root") != F.col("p.root")) & _alike(F.col("sketch"), F.col("p.sketch"))
+        across = (F.col("band") == F.col("p_band")) & (F.col("root") != F.col("p.root"))
+        if sketched:
+            across &= _alike(F.col("sketch"), F.col("p.sketch"))
         pairs = open_.join(pivots, across).select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
         edges = stored(edges.unionByName(similar(pairs.distinct(), sets)), "minhash-edges")
         done = pivots.select(F.col("p_band").alias("band"), "p.node")
@@ -247,7 +279,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One document of each class, its smallest; a repeated row once. Rows without an id stay."""
+    """One document of each class, its smallest. Rows without an id stay.
+
+    Of rows that share an id the one of smallest text hash stays, ties by text.
+    """
     kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", F.xxhash64(*[c for c in docs.columns if c != "text"]))
+    first = named.select(F.struct(*docs.columns).alias("row"), "doc_id", F.row_number().over(order).alias("turn")).filter("turn = 1").select("row.*")
+    return first.unionByName(docs.filter("doc_id IS NULL"))

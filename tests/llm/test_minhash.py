@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -99,3 +100,47 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (101, 102), (7, 7)], "a bigint, b bigint")
     roots = {r.node: r.root for r in graph.components(edges).collect()}
     assert roots == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_memory_of_signatures_follows_no_darts():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(3000)]
+    cells, first = minhash.elements(Words(pa.array(texts)))
+    tracemalloc.start()
+    signs = minhash.signatures(cells, first, minhash.SKETCH)
+    peak = tracemalloc.get_traced_memory()[1] - signs.nbytes
+    tracemalloc.stop()
+    assert peak < 120e6
+    few = minhash.signatures(cells[: first[5]], first[:6], minhash.SKETCH)
+    assert (few == signs[:5]).all()
+
+
+def test_bucket_of_texts_alike_but_not_enough(spark):
+    """Texts that are 0.6 to 0.77 alike, with a few near copies among them."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), 4):
+            words[at] = f"v{rng.randrange(100_000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + f" tail{i}") for i in range(0, 40, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = brute(rows)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, sketched=False).collect()} == wanted
+
+
+def test_rows_of_one_id(spark):
+    rows = [(1, "one text of six words here", "a"), (1, "another text of six other words", "b")] * 3 + [(2, "z", None), (None, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, turn string")
+    classes = minhash.near_duplicates(docs)
+    kept = [tuple(r) for r in minhash.keep_one(docs, classes).collect()]
+    again = [tuple(r) for r in minhash.keep_one(docs.repartition(5), classes).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, again)) and len(kept) == 3
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(120_000))
+    docs = spark.createDataFrame([(5, long), (3, long + " end"), (9, long[: len(long) // 2])], "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {5: 3, 3: 3, 9: 9}
