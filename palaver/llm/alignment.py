@@ -2,7 +2,7 @@
 
 Both tokenizations of a text are arrays of token ends in bytes. Where an end is in both, a
 group closes. Over stretches where the tokens are the same, the ends agree at one
-shift between the two indices: blocks of 1, 2, 4, … ends are compared at that shift, and after the
+shift between the two indices: one end, then blocks of 4, 8, … ends are compared at that shift, and after the
 first block that differs the rest is found by halving, so a stretch costs the logarithm of its length
 in comparisons of whole blocks. At an irregular group both indices advance to the next
 common end, which gives the new shift. Tokens that share a byte are linked; a group of
@@ -123,13 +123,14 @@ class Tokens:
         of_b = self.b.encode(list(texts), num_threads=1)
         for text, b in zip(texts, of_b):
             spaced = " " + text
-            if self.fast is not None and _PLAIN(text) is None:
-                a = self.fast.encode_ordinary(spaced)
+            raw = spaced.encode()
+            if not text or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+                yield [], []
+            elif self.fast is not None and _PLAIN(text) is None:  # bytes and merges alone spell every text
+                yield self.fast.encode_ordinary(spaced), b
             else:
                 a = self.a.encode(spaced, add_special_tokens=False).ids
-            raw = spaced.encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            yield (a, b) if same else ([], [])
+                yield (a, b) if b"".join(map(self.bytes_a.__getitem__, a)) == raw else ([], [])
 
 
 def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
@@ -138,26 +139,31 @@ def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int
     A stretch of ``k`` groups of one token each is one row ``i, j, k, 0``.
     """
     out, i, j, n = [], 0, 0, len(ends_a)
+    ends_a, ends_b = [*ends_a, -1], [*ends_b, -2]  # a run ends with the arrays
     while i < n:
-        if ends_a[i] == ends_b[j]:
-            same = step = 1
-            while step:  # doubled while the blocks agree
-                block = ends_a[i + same : i + same + step]
-                if not block or block != ends_b[j + same : j + same + step]:
+        end_a, end_b = ends_a[i], ends_b[j]
+        if end_a == end_b:
+            a, b = i + 1, j + 1
+            for _ in range(3):
+                if ends_a[a] != ends_b[b]:
                     break
-                same += len(block)
-                step *= 2
-            step //= 2
-            while step and i + same < n:  # halved after the block that differs
-                block = ends_a[i + same : i + same + step]
-                if block == ends_b[j + same : j + same + step]:
-                    same += len(block)
-                step //= 2
-            out.append((i, j, same, 0))
-            i, j = i + same, j + same
+                a += 1
+                b += 1
+            else:
+                step = 4
+                while ends_a[a : a + step] == ends_b[b : b + step]:  # doubled while the blocks agree
+                    a += step
+                    b += step
+                    step *= 2
+                while step > 1:  # halved after the block that differs
+                    step //= 2
+                    if ends_a[a : a + step] == ends_b[b : b + step]:
+                        a += step
+                        b += step
+            out.append((i, j, a - i, 0))
+            i, j = a, b
         else:
             a, b = i, j
-            end_a, end_b = ends_a[a], ends_b[b]
             while end_a != end_b:
                 if end_a < end_b:
                     a += 1
@@ -198,8 +204,8 @@ def spelled(groups: list[tuple[int, int, int, int]], a: Sequence[int], b: Sequen
         if not n:
             out += map(operator.add, of_a[i : i + m], of_b[j : j + m])
         else:
-            first = ",".join(map(names.__getitem__, a[i : i + m - 1])) + "," if m > 1 else ""
-            out.append(first + of_a[i + m - 1] + (of_b[j] if n == 1 else ",".join(of_b[j : j + n])))
+            left = of_a[i] if m == 1 else names[a[i]] + "," + of_a[i + 1] if m == 2 else ",".join(map(names.__getitem__, a[i : i + m])) + "|"
+            out.append(left + (of_b[j] if n == 1 else of_b[j] + "," + of_b[j + 1] if n == 2 else ",".join(of_b[j : j + n])))
     return ";".join(out)
 
 
