@@ -76,3 +76,14 @@ def test_stages_one_by_one(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_ids_and_clashing_columns(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else r[0], *r[1:], f"own{i % 2}", i % 2, None) for i, r in enumerate(corpus())]
+    names = ("_language string", "_copy int", "_n bigint")
+    spark.createDataFrame(rows, f"{SCHEMA}, {', '.join(names)}").write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.columns == [*(c.split()[0] for c in SCHEMA.split(", ")), "_language", "_copy", "_n", "pieces", "lossless"]
+    after = found.collect()
+    assert all(r.lossless and r._language in ("own0", "own1") for r in after)
+    assert any(r.doc_id is None for r in after) and {r.source for r in after if r.doc_id is None} >= {"s0", "s1", "s2", "s9"}
