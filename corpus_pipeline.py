@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import langid, minhash, mixing, pieces, substrings
-from palaver.llm.common import stored, table
+from palaver.llm.common import spare, stored, table
 from palaver.session import configure
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -24,8 +24,7 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is named with a margin; without letters or a clear language they go."""
     configure(spark)
-    named = langid.identify(docs, langid.sample_dictionaries(docs), into="_language")
-    return named.filter("_language.accepted").select(*docs.columns)
+    return langid.keep_identified(docs, langid.sample_dictionaries(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +52,10 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with the ids of their pieces, and whether these decode to the text."""
     configure(spark)
     # equal rows are interchangeable; numbered, each copy the mix takes has skips of its own
-    numbered = docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = numbered.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-    return pieces.encode(numbered, PIECE_MODEL, check=True, by=["doc_id", "_copy"]).drop("_copy")
+    n, copy = spare(docs, "_n"), spare(docs, "_copy")
+    numbered = docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias(n))
+    numbered = numbered.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
+    return pieces.encode(numbered, PIECE_MODEL, check=True, by=["doc_id", copy]).drop(copy)
 
 
 STAGES = [
