@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,40 +26,63 @@ MAIN_TEXT = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 )
 
-# Elements whose content is no text of the page, comments, declarations, then tags.
+# A tag ends at the first ">" outside a quoted value; a quote counts only after "=", and one that is
+# never closed is a plain character. Every part is possessive, so that a page is read once.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
 _TOKEN = re.compile(
-    r"<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|select|object|canvas|math|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<[a-zA-Z/][^<>]*\Z",
-    re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[\s/=]++|[^\s/>=]++(?:{_VALUE})?+)*+)(?:>|\Z)"
+    r"|</[^<>]*\Z",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 _WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+# fixed values: elements whose content is no text of the page; of these, the ones whose content is no markup either
+_SKIPPED = frozenset("script style title textarea noscript template iframe svg select object canvas audio video annotation annotation-xml".split())
+_CODE = frozenset("script style".split())
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)|</{name}\Z", re.I) for name in _SKIPPED}
+
 # fixed values: elements that end a block, that hold no content, and names of boilerplate
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del input picture source".split()
+    "a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del input picture source "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mstyle mpadded semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SELF_CLOSING = frozenset("p li dt dd option tr td th thead tbody tfoot html body".split())
-_BOILERPLATE_TAGS = frozenset("nav aside footer form menu button dialog".split())
-_BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay "
-    "comment comments respond replies disqus discussion share sharing social related recommended widget toolbar pagination pager skip copyright login search toc "
-    "complementary contentinfo alert hidden topbar bottombar paywall".split()
+_BOILERPLATE_TAGS = frozenset("nav aside footer menu button dialog".split())
+# Names of elements that are boilerplate with everything inside, and of elements that an article can stand in.
+_FIRM_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar cookie cookies consent gdpr newsletter popup modal "
+    "overlay comment comments respond replies disqus discussion related recommended complementary hidden paywall".split()
+)
+_SOFT_NAMES = frozenset(
+    "banner menu nav navbar navigation breadcrumb breadcrumbs footer masthead notice notices subscribe subscription signup share sharing social widget "
+    "toolbar pagination pager skip copyright login search toc contentinfo alert topbar bottombar".split()
+)
+# Parts of a name that say nothing about its kind, those that make it a frame of the page, and those that make it a state.
+_PLACES = frozenset(
+    "site main page top bottom left right primary secondary box block section area list item items link links bar unit slot text post posts article articles "
+    "inner outer content contents body title header heading head form field group column col row panel image img icon icons button buttons small large id js the".split()
 )
+_FRAMES = frozenset("wrapper wrap container layout outer holder".split())
+_STATES = frozenset("has have no not non with without is enabled disabled open closed off on hide show free".split())
 _ARTICLE_NAMES = frozenset("article post entry story main content body text".split())
 _STRONG_ARTICLE = frozenset("article story entry post".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+# How far an element and those inside are boilerplate: not, until an article begins, or altogether.
+_NOT, _SOFT, _FIRM = 0, 1, 2
+
+
 class _Blocks:
     """Collects the blocks of one page."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool]] = []  # element, is it boilerplate, is it an article
+        # open elements: name, degree of boilerplate and whether in an article, both of all elements down to this one
+        self.stack: list[tuple[str, int, bool]] = [("", _NOT, False)]
+        self.opened: Counter[str] = Counter()
         self.blocks: list[list] = []
         self.parts: list[tuple[str, bool]] = []
         self.in_link = 0
@@ -75,11 +99,20 @@ class _Blocks:
         if words:
             count = len(words.split())
             linked = sum(len(t.split()) for t, link in self.parts if link)
-            boilerplate = any(b for _, b, _ in self.stack)
-            article = any(a for _, _, a in self.stack) and not boilerplate
-            self.blocks.append([words, count, min(1.0, linked / count), float(article), float(boilerplate), float(self.heading)])
+            _, degree, article = self.stack[-1]
+            self.blocks.append([words, count, min(1.0, linked / count), float(article and not degree), float(degree > 0), float(self.heading)])
         self.parts, self.breaks = [], 0
 
+    def push(self, name: str, degree: int, article: bool) -> None:
+        _, around, inside = self.stack[-1]
+        if name in ("article", "main") and around == _SOFT:
+            around = _NOT
+        self.stack.append((name, max(around, degree), inside or article))
+        self.opened[name] += 1
+
+    def pop(self) -> None:
+        self.opened[self.stack.pop()[0]] -= 1
+
     def open(self, name: str, attributes: str) -> None:
         if name == "a":
             self.in_link = 1
@@ -90,11 +123,11 @@ class _Blocks:
             if self.breaks > 1:
                 self.end_block()
             return
-        named = _kind(name, attributes)
+        degree, article = _kind(name, attributes)
         if name in _INLINE:
-            if named[0] and name not in _VOID:
+            if degree and name not in _VOID:
                 self.end_block()
-                self.stack.append((name, *named))
+                self.push(name, degree, article)
             return
         self.end_block()
         if name in _HEADINGS:
@@ -103,64 +136,93 @@ class _Blocks:
             return
         if name in ("article", "main"):
             # an article does not stand in a paragraph or list item someone left open
-            while self.stack and self.stack[-1][0] in _SELF_CLOSING:
-                self.stack.pop()
-        if name in _SELF_CLOSING and self.stack and self.stack[-1][0] == name:
-            self.stack.pop()
-        if name == "header":
-            named = (named[0] or not any(a for _, _, a in self.stack), named[1])
-        self.stack.append((name, *named))
+            while self.stack[-1][0] in _SELF_CLOSING:
+                self.pop()
+        if name in _SELF_CLOSING and self.stack[-1][0] == name:
+            self.pop()
+        if name == "header" and not self.stack[-1][2]:
+            degree = max(degree, _SOFT)
+        self.push(name, degree, article)
 
     def close(self, name: str) -> None:
         if name == "a":
             self.in_link = 0
             return
-        if name in _INLINE and not any(s[0] == name for s in self.stack):
+        if name in _INLINE and not self.opened[name]:
             return
         self.end_block()
         if name in _HEADINGS:
             self.heading = False
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:]
-                self.in_link = 0
-                break
+        if self.opened[name]:
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+            self.in_link = 0
+
 
+def _named(token: str) -> int:
+    """Degree of boilerplate that one class or id names.
 
-def _kind(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its name or attributes, and whether it is an article."""
-    boilerplate, article = name in _BOILERPLATE_TAGS, name in ("article", "main")
-    if attributes and not article and name not in ("body", "html"):
+    The last part that says more than a place decides, as in ``google-ads`` or
+    ``comment-body``; ``copyright-law`` and states such as ``has-sidebar`` name none.
+    """
+    parts = [p.lower() for p in _WORD_PARTS.findall(token)]
+    if not _STATES.isdisjoint(parts):
+        return _NOT
+    telling = [p for p in parts if p not in _PLACES and p not in _FRAMES]
+    if not telling or telling[-1] not in _FIRM_NAMES and telling[-1] not in _SOFT_NAMES:
+        return _NOT
+    return _FIRM if telling[-1] in _FIRM_NAMES and _FRAMES.isdisjoint(parts) else _SOFT
+
+
+def _kind(name: str, attributes: str) -> tuple[int, bool]:
+    """How far an element is boilerplate by its name or attributes, and whether it is an article."""
+    element = name in ("article", "main")
+    degree, article = _FIRM if name in _BOILERPLATE_TAGS else _SOFT if name == "form" else _NOT, element
+    if attributes and not attributes.isspace() and name not in ("body", "html"):
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "style":
-                boilerplate |= "display:none" in value.replace(" ", "").lower()
+                if "display:none" in value.replace(" ", "").lower():
+                    degree = _FIRM
             elif key in ("hidden", "aria-hidden"):
-                boilerplate |= value.lower() != "false"
-            else:
+                if value.lower() != "false":
+                    degree = _FIRM
+            elif key in ("class", "id", "role"):
                 parts = {p.lower() for p in _WORD_PARTS.findall(value)}
                 article |= bool(parts & _STRONG_ARTICLE) or parts <= _ARTICLE_NAMES and bool(parts)
-                boilerplate |= bool(parts & _BOILERPLATE_NAMES)
-    return boilerplate, article and not boilerplate
+                own = max(map(_named, value.split()), default=_NOT)
+                # names around the text do not unmake an article, those of comments and adverts do
+                degree = max(degree, own if not element else own if own == _FIRM and name == "article" else _NOT)
+    return degree, article and not degree
 
 
 def blocks(page: str | None) -> list[list]:
     """The blocks of a page: text, words, link density, in an article, in boilerplate, heading."""
     found, at = _Blocks(), 0
     page = page or ""
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             found.text(page[at : m.start()])
         at = m.end()
-        name = m["name"]
-        if name is None:
-            if m["raw"] is None and m[0].startswith("<![CDATA["):
-                continue
+        if m["name"] is None:
             continue
-        if m["close"]:
-            found.close(name.lower())
+        name = m["name"].lower()
+        if name in _SKIPPED:
+            if m["close"] or m[0].endswith("/>") or name in unclosed:
+                continue
+            end = _END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in _CODE:
+                at = len(page)
+            else:  # left open: what follows is the page
+                unclosed.add(name)
+        elif m["close"]:
+            found.close(name)
         else:
-            found.open(name.lower(), m["attributes"])
+            found.open(name, m["attributes"])
     if at < len(page):
         found.text(page[at:])
     found.end_block()
@@ -261,6 +323,9 @@ LABELLED: list[tuple[str, list[int]]] = [
     ("<article><p><a href=a>Rain</a> in June</p><p>" + _S + "</p></article>", [1, 1]),
     ("<article><p>" + _S + "</p><p><a href=a>Rain</a></p><p><a href=b>Sun and rain</a></p></article>", [1, 1, 1]),
     ("<article><h1><a href=a>Rain</a></h1><p>" + _S + "</p></article>", [1, 1]),
+    ("<div class='layout has-sidebar'><article><p>" + _S + "</p></article></div><div class=left-sidebar><p>" + _S + "</p></div>", [1, 0]),
+    ("<div class='post comments-enabled'><p>" + _S + "</p><div class=comment-list><article class=comment-body><p>" + _S + "</p></article></div></div>", [1, 0]),
+    ("<div id=main-menu-wrapper><ul><li>Rain</li></ul><main><p>" + _S + "</p></main></div>", [0, 1]),
 ]
 
 

@@ -1,5 +1,7 @@
 """Main text of whole pages, stated by hand."""
 
+import time
+
 from palaver.llm import html
 
 S = "The river was high that spring and nobody in the village could remember such a flood in all the years before."
@@ -33,6 +35,33 @@ def test_page_without_article():
     assert text(page) == f"The flood\n{S}\n{S}"
 
 
+def test_names_around_an_article():
+    article = f"<article><h1>One</h1><p>{S}</p></article>"
+    for around in ("class='layout has-sidebar'", "class='page no-sidebar'", "id=main-menu-wrapper", "class=page--with-banner", "class='nav-open search-enabled'", "title='id=ad class=ad'"):
+        assert text(f"<div {around}>{article}</div>") == f"One\n{S}", around
+    assert text(f"<form id=all>{article}<p>Your mail</p></form>") == f"One\n{S}"
+    for own in ("post comments-enabled", "copyright-law article", "story share-price"):
+        assert text(f"<div class='{own}'><h1>One</h1><p>{S}</p></div>") == f"One\n{S}", own
+    for other in ("class=google-ads", "class=cookie-notice", "id=left-sidebar", "class='box comments'", "class=relatedPosts", "hidden", "style='display: none'", "role=complementary"):
+        assert text(f"{article}<div {other}><p>{S}</p></div>") == f"One\n{S}", other
+    assert text(f"{article}<ol class=comment-list><li><article class=comment-body><p>{S}</p></article></ol>") == f"One\n{S}"
+    assert text(f"{article}<aside><article><p>{S}</p></article></aside>") == f"One\n{S}"
+
+
+def test_quotes_and_elements_left_open():
+    assert text(f"<article><p title='it's'>{S}</p><p title=\"a > b\">Two</p><p data-x=\"5 >{S}</p></article>") == f"{S}\nTwo\n{S}"
+    assert text(f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><p>{S}</p></article>") == f"So x=2 holds\n{S}"
+    assert text(f"<article><p>{S}</p><object><p>After</p></article>") == f"{S}\nAfter"
+    assert text(f"<article><p>{S}</p><object>none<p>of it</p></object><!--><p>After</p></article>") == f"{S}\nAfter"
+
+
+def test_time_grows_with_the_page():
+    for part in ('<a ', "<div>", "<object>", "</p><i>", "<svg x='", "<!-- ", "<p class=\"ad ", "<div></b>", "<a =\"", "< a"):
+        start = time.perf_counter()
+        text(part * 100_000 + '"')
+        assert time.perf_counter() - start < 5, part
+
+
 def test_nothing_to_find():
     assert text(None) == text("") == text("<nav><a href=x>Home</a></nav>") == text("<script>x") == ""
 
