@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import html as h
 from palaver.functions import render, times
-from palaver.operators import catalog, clean, importance, privacy, progress, search_index, summary, threads
+from palaver.operators import catalog, clean, importance, index_store, privacy, progress, search_index, summary, threads
 from palaver.plans import export as plans
 from palaver.plans import layout as lay
 from palaver.plans import run
@@ -1281,19 +1281,76 @@ def term_statistics(spark, folder):
     return search_index.term_statistics(search_index.postings(_documents(spark, folder)))
 
 
-@register(
-    "bm25_topk",
-    f"""WITH {INDEX}, st AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM tok),
+BM25 = f"""WITH {INDEX}, st AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM tok),
 q AS (SELECT * FROM idx WHERE term IN ('ing', 'the', 'und')), df AS (SELECT term, count(*) AS df FROM q GROUP BY term)
 SELECT channel, "timestamp", round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score,
        count(*) AS matched
-FROM q JOIN df USING (term), st GROUP BY channel, "timestamp" ORDER BY score DESC, channel, "timestamp" LIMIT 10""",
-)
+FROM q JOIN df USING (term), st GROUP BY channel, "timestamp" ORDER BY score DESC, channel, "timestamp" LIMIT 10"""
+
+
+@register("bm25_topk", BM25)
 def bm25_topk(spark, folder):
     messages = _documents(spark, folder)
     return search_index.search(search_index.postings(messages), messages, "the und ing", limit=10)
 
 
+@register("bm25_stored", BM25)
+def bm25_stored(spark, folder):
+    """The same ranking from a stored index: no text is read again, and only blocks that can hold a hit are scored."""
+    return index_store.top_k(spark, _stored_index(spark, folder), "the und ing", 10)
+
+
+def _stored_index(spark, folder):
+    path = shared_folder(spark, "index")
+    index_store.append(_documents(spark, folder), path)
+    return path
+
+
+@register(
+    "index_grown",
+    f"""WITH {INDEX.replace("FROM documents)", "FROM documents WHERE doc_id % 9 <> 4)")},
+f AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM idx GROUP BY term)
+SELECT term, df, cf, (SELECT count(*) FROM tok) AS n, (SELECT CAST(sum(len(ws)) AS BIGINT) FROM tok) AS total FROM f""",
+)
+def index_grown(spark, folder):
+    """Three additions, the third again with other texts that are replaced, a removal and a merge: the figures of what is left."""
+    messages, path = _documents(spark, folder), shared_folder(spark, "index")
+    number = F.col("seq")
+    for rest in range(3):
+        part = messages.filter(number % 3 == rest)
+        index_store.append(part.withColumn("text", F.upper(F.reverse("text"))) if rest == 2 else part, path)
+    index_store.append(messages.filter(number % 3 == 2), path)
+    index_store.remove(messages.filter(number % 9 == 4), path)
+    index_store.merge(spark, path)
+    frequency = index_store.postings(spark, path).groupBy("term").agg(F.sum("tf").alias("cf"))
+    statistics = index_store.term_statistics(spark, path).join(frequency, "term")
+    every = index_store.collection(spark, path)
+    return statistics.select("term", "df", "cf", every.select("n").scalar().alias("n"), every.select("total").scalar().alias("total"))
+
+
+PHRASE, NEAR = "of the", ("de", "la", 3)
+PHRASE_SQL = " AND ".join(f"ws[i + {i}] = '{w}'" for i, w in enumerate(PHRASE.split()))
+NEAR_SQL = f"ws[i] = '{NEAR[0]}' AND list_contains(ws[greatest(i - {NEAR[2]}, 1):i + {NEAR[2]}], '{NEAR[1]}')"
+
+
+@register(
+    "phrase_search",
+    f"""WITH {INDEX}, found AS (SELECT channel, "timestamp", len([i FOR i IN range(1, len(ws) + 1) IF {PHRASE_SQL}]) AS n FROM tok)
+SELECT channel, "timestamp", n FROM found WHERE n > 0""",
+)
+def phrase_search(spark, folder):
+    return index_store.phrase(spark, _stored_index(spark, folder), PHRASE)
+
+
+@register(
+    "near_search",
+    f"""WITH {INDEX}, found AS (SELECT channel, "timestamp", len([i FOR i IN range(1, len(ws) + 1) IF {NEAR_SQL}]) AS n FROM tok)
+SELECT channel, "timestamp", n FROM found WHERE n > 0""",
+)
+def near_search(spark, folder):
+    return index_store.near(spark, _stored_index(spark, folder), *NEAR)
+
+
 TAXONOMY = {"articles": ["the", "der", "die", "das", "la", "le"], "joins": ["and", "und", "et", "y"]}
 
 
