@@ -1386,3 +1386,30 @@ FROM p LEFT JOIN r ON p.channel = r.channel AND p.ts = r.parent_ts GROUP BY p.ch
 def message_importance(spark, folder):
     messages, replies = _orders(spark, folder)
     return importance.score(messages, replies)
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = [
+        f"""k{i} AS MATERIALIZED (SELECT node, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM k{i - 1} WHERE node NOT IN (SELECT source FROM share))) / (SELECT count(*) FROM k0)
+       + 0.85 * coalesce(got, 0) AS rank FROM k{i - 1} LEFT JOIN (
+         SELECT target, sum(rank * share) AS got FROM share JOIN k{i - 1} ON node = source GROUP BY target) ON node = target)"""
+        for i in range(1, rounds + 1)
+    ]
+    return ",\n".join(steps)
+
+
+RANK_ROUNDS = 6
+
+
+@register(
+    "people_rank",
+    f"""WITH {ORDERS}, link AS (SELECT r."user" AS source, o."user" AS target, count(*) AS w FROM r JOIN o ON o.channel = r.channel AND o.ts = r.parent_ts GROUP BY ALL),
+share AS MATERIALIZED (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS share FROM link),
+k0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / count(*) OVER () AS rank FROM (SELECT source AS node FROM link UNION SELECT target FROM link)),
+{_rank_sql(RANK_ROUNDS)}
+SELECT node, round(rank, 9) AS rank FROM k{RANK_ROUNDS}""",
+)
+def people_rank(spark, folder):
+    """Six rounds of the iteration over who replied to whom."""
+    links = importance.reply_links(*_orders(spark, folder))
+    return importance.rank(links, tolerance=0.0, rounds=RANK_ROUNDS).select("node", F.round("rank", 9).alias("rank"))

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,23 @@ def test_importance_and_metadata(market):
     assert rows == {"nadia": 0, "ruben": (1 + 12) + 2 * 3 + 3, "tally": 0, "olga": 0}
     export = plans.channel_export(*market)
     assert summary.run_metadata(export.parents, export.replies, export.standalone).first() == (1, 2, 3, 2)
+
+
+def test_rank_equals_a_dense_solution(spark):
+    # a loop, two nodes without links of their own, one that nobody links to, a repeated link, rows that are no link
+    links = [("a", "b", 2), ("a", "c", 1), ("b", "a", 1), ("c", "c", 3), ("c", "d", 1), ("e", "a", 5), ("e", "f", 1), ("a", "b", 1), (None, "a", 1), ("d", "a", 0)]
+    found = dict(map(tuple, importance.rank(spark.createDataFrame(links, "source string, target string, weight bigint"), tolerance=1e-8).collect()))
+    names = "abcdef"
+    matrix = np.zeros((6, 6))
+    for source, target, weight in links[:8]:
+        matrix[names.index(target), names.index(source)] += weight
+    out = matrix.sum(axis=0)
+    matrix = np.where(out > 0, matrix / np.maximum(out, 1), 1 / 6)
+    expected = np.linalg.solve(np.eye(6) - 0.85 * matrix, np.full(6, 0.15 / 6))
+    assert [found[n] for n in names] == pytest.approx(expected, abs=1e-7) and sum(found.values()) == pytest.approx(1)
+    assert importance.rank(spark.createDataFrame([], "source string, target string, weight bigint")).count() == 0
+
+
+def test_reply_links(market):
+    rows = {tuple(r) for r in importance.reply_links(*market).collect()}
+    assert rows == {("pim", "ruben", 1), ("olga", "ruben", 1), ("tally", "ruben", 1)}
