@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import html as h
 from palaver.functions import render, times
-from palaver.operators import catalog, clean, importance, index_store, privacy, progress, search_index, summary, threads
+from palaver.operators import catalog, clean, importance, index_store, privacy, progress, search_index, summary, threads, topics
 from palaver.plans import export as plans
 from palaver.plans import layout as lay
 from palaver.plans import run
@@ -24,7 +24,7 @@ from palaver.session import configure, shared_folder
 from palaver.sinks import rows as row_sink
 from palaver.sinks import text as text_sink
 from palaver.sources import adapters as a
-from palaver.sources import progress_files, snapshots
+from palaver.sources import page_files, progress_files, progress_store, snapshots
 from palaver.streaming import event_time
 from palaver.streaming import ingest as stream
 from palaver.streaming import run as stream_run
@@ -1413,3 +1413,87 @@ def people_rank(spark, folder):
     """Six rounds of the iteration over who replied to whom."""
     links = importance.reply_links(*_orders(spark, folder))
     return importance.rank(links, tolerance=0.0, rounds=RANK_ROUNDS).select("node", F.round("rank", 9).alias("rank"))
+
+
+def _topic_rounds_sql(rounds: int) -> str:
+    steps = [
+        f"""l{i} AS MATERIALIZED (SELECT a AS term, topic FROM (SELECT a, topic, row_number() OVER (PARTITION BY a ORDER BY sum(weight) DESC, topic) AS rn
+       FROM around JOIN l{i - 1} ON b = term GROUP BY a, topic) WHERE rn = 1)"""
+        for i in range(1, rounds + 1)
+    ]
+    return ",\n".join(steps)
+
+
+TOPIC_ROUNDS = 4
+TOPICS = f"""tok AS MATERIALIZED (SELECT row_number() OVER () AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+v AS MATERIALIZED (SELECT term, sum(tf) AS tf, count(*) AS df FROM (
+    SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM tok) WHERE length(term) > 1 GROUP BY ALL)
+  GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.2::DOUBLE * (SELECT count(*) FROM tok)),
+near AS MATERIALIZED (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM (
+    SELECT unnest(ws[1:len(ws) - d]) AS x, unnest(ws[1 + d:len(ws)]) AS y FROM tok, (VALUES (1), (2), (3)) t(d) WHERE len(ws) > d)
+  WHERE x <> y AND x IN (SELECT term FROM v) AND y IN (SELECT term FROM v) GROUP BY ALL),
+ends AS MATERIALIZED (SELECT term, sum(n) AS n FROM (SELECT a AS term, n FROM near UNION ALL SELECT b, n FROM near) GROUP BY term),
+edge AS MATERIALIZED (SELECT * FROM (SELECT a, b, CAST(floor(1000 * ln((2 * near.n * (SELECT sum(n) FROM near))::DOUBLE / (x.n * y.n)::DOUBLE)) AS BIGINT) AS weight
+  FROM near JOIN ends x ON a = x.term JOIN ends y ON b = y.term WHERE near.n >= 3) WHERE weight >= 1000),
+sides AS (SELECT a, b, weight FROM edge UNION ALL SELECT b, a, weight FROM edge),
+around AS MATERIALIZED (SELECT * FROM sides UNION ALL SELECT a, a, max(weight) FROM sides GROUP BY a),
+l0 AS MATERIALIZED (SELECT DISTINCT a AS term, a AS topic FROM around),
+{_topic_rounds_sql(TOPIC_ROUNDS)},
+scored AS (SELECT l.topic AS label, term, round(tf * ln((SELECT count(*) FROM tok) / df), 6) AS score FROM l{TOPIC_ROUNDS} l JOIN v USING (term)),
+topic AS MATERIALIZED (SELECT first_value(term) OVER (PARTITION BY label ORDER BY score DESC, term) AS topic, term, count(*) OVER (PARTITION BY label) AS size, score FROM scored)"""
+
+
+@register("topic_words", f"WITH {TOPICS} SELECT topic, term, size, score FROM topic")
+def topic_words(spark, folder):
+    """Communities of words that stand near each other, four rounds of labels."""
+    return topics.topics(_documents(spark, folder), rounds=TOPIC_ROUNDS)
+
+
+@register(
+    "message_topics",
+    f"""WITH {TOPICS}, {DOCUMENTS},
+hit AS (SELECT channel, "timestamp", topic, count(*) AS hits FROM (
+    SELECT channel, "timestamp", unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM m) JOIN topic USING (term) GROUP BY ALL)
+SELECT channel, "timestamp", topic, hits FROM (
+  SELECT *, row_number() OVER (PARTITION BY channel, "timestamp" ORDER BY hits DESC, topic) AS rn FROM hit) WHERE rn = 1""",
+)
+def message_topics(spark, folder):
+    """The topic of every message by the number of its words."""
+    messages = _documents(spark, folder)
+    return topics.message_topics(messages, topics.topics(messages, rounds=TOPIC_ROUNDS))
+
+
+@register("saved_pages", ORACLES["parse_items"])
+def saved_pages(spark, folder):
+    """Pages written to files and read back, those over 2 kB cut at their items and parsed in parts."""
+    path = shared_folder(spark, "pages")
+    page_files.write_pages(a.snapshots_from_conversations(a.table(spark, folder, "conversations")), path)
+    found = clean.first_seen(snapshots.parse_messages(page_files.read_pages(spark, path, cut=2048)))
+    attached = F.array_join("attachments", "|").alias("attachments")
+    replied = F.col("reply_count").cast("bigint").alias("reply_count")
+    return found.select("channel", "user", "text", "timestamp", "datetime", "is_bot", attached, replied)
+
+
+@register(
+    "progress_compacted",
+    f"""WITH {EVENTS}, days AS (SELECT channel, CAST(ts AS DATE) AS d, count(*) AS message_count, max("timestamp") AS last_message_ts FROM e GROUP BY ALL),
+last AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY d DESC) AS rn FROM days),
+late AS (SELECT count(*) AS n FROM days WHERE day(d) % 3 = 2)
+SELECT channel, CAST(d AS VARCHAR) AS updated_at, last_message_ts, message_count,
+  (SELECT count(DISTINCT channel) FROM days WHERE day(d) % 3 < 2) + (SELECT n FROM late) AS stored FROM last WHERE rn = 1""",
+)
+def progress_compacted(spark, folder):
+    """Daily saves in three lots, compacted after the second: the newest rows, and how many rows a reader looks at."""
+    path = shared_folder(spark, "progress")
+    day = F.to_date(times.id_datetime(F.col("timestamp")))
+    events = _events(spark, folder).withColumn("timestamp_day", day)
+    daily = progress.progress_rows(
+        events.withColumn("channel", F.struct("channel", "timestamp_day")), F.lit("run"), F.lit("in_progress"), F.col("channel.timestamp_day").cast("string")
+    )
+    lot = F.dayofmonth("channel.timestamp_day") % 3
+    for number in range(3):
+        progress_store.append(path, daily.filter(lot == number).withColumn("channel", F.col("channel.channel")))
+        if number == 1:
+            progress_store.compact(spark, path)
+    stored = progress_store.stored_rows(spark, path).select("n").scalar()
+    return progress_store.read(spark, path).select("channel", "updated_at", "last_message_ts", "message_count", stored.alias("stored"))
