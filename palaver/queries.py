@@ -1222,8 +1222,12 @@ def _sql_pattern(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _searched_sql(kind: str) -> str:
+    return f"regexp_replace(text, {_sql_pattern(privacy.PATTERNS['iban'])}, '[IBAN]', 'g')" if kind == "card" else "text"
+
+
 PII_SQL = " UNION ALL ".join(
-    f"SELECT channel, \"timestamp\", '{kind}' AS kind, unnest(regexp_extract_all(text, {_sql_pattern(p)})) AS value FROM m"
+    f"SELECT channel, \"timestamp\", '{kind}' AS kind, unnest(regexp_extract_all({_searched_sql(kind)}, {_sql_pattern(p)})) AS value FROM m"
     for kind, p in privacy.PATTERNS.items()
 )
 LUHN = """list_sum([CASE WHEN i % 2 = 1 THEN CAST(d[i] AS INT) ELSE CAST(d[i] AS INT)*2 - CASE WHEN CAST(d[i] AS INT) > 4 THEN 9 ELSE 0 END END
@@ -1257,6 +1261,33 @@ def pii_redacted(spark, folder):
     return _documents(spark, folder).select("channel", "timestamp", privacy.redact(F.col("text")).alias("text"))
 
 
+@register(
+    "pii_planted",
+    """WITH b AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 18, '0') AS bank, doc_id % 3 = 0 AS wrong FROM documents),
+c AS (SELECT *, CAST(98 - (CAST(bank AS HUGEINT) * 1000000 + 131400) % 97 AS INTEGER) AS right_digits FROM b),
+d AS (SELECT *, lpad(CAST(CASE WHEN wrong THEN (right_digits + 1) % 100 ELSE right_digits END AS VARCHAR), 2, '0') AS digits FROM c)
+SELECT doc_id, 'iban' AS kind, 'DE' || digits || regexp_replace(bank, '(....)', ' \\1', 'g') AS value, NOT wrong AS valid
+FROM (SELECT doc_id, digits, wrong, bank[1:16] || ' ' || bank[17:18] AS bank FROM d)
+UNION ALL SELECT doc_id, 'ipv6', '2001:db8::' || CAST(doc_id % 10000 AS VARCHAR), true FROM documents
+UNION ALL SELECT doc_id, 'ipv6', 'fe80:0:0:0:1:2:3:' || CAST(doc_id % 9 AS VARCHAR), true FROM documents""",
+)
+def pii_planted(spark, folder):
+    """A bank number, every third with wrong check digits, and two addresses written for each document's id are found."""
+    documents = a.table(spark, folder, "documents").select("doc_id")
+    bank = F.lpad(F.col("doc_id").cast("string"), 18, "0")
+    # the digits that make the remainder right, from the number as a decimal
+    right = 98 - (F.concat(bank, F.lit("131400")).cast("decimal(38,0)") % 97).cast("int")
+    digits = F.lpad(F.when(F.col("doc_id") % 3 == 0, (right + 1) % 100).otherwise(right).cast("string"), 2, "0")
+    spaced = [F.substring(bank, i, 4) for i in (1, 5, 9, 13)]
+    number = F.concat_ws(" ", F.concat(F.lit("DE"), digits), *spaced, F.substring(bank, 17, 2))
+    text = F.concat(
+        F.lit("paid to "), number, F.lit(", from 2001:db8::"), (F.col("doc_id") % 10000).cast("string"),
+        F.lit(" and fe80:0:0:0:1:2:3:"), (F.col("doc_id") % 9).cast("string"), F.lit(" at 10:15:30"),
+    )
+    found = privacy.findings(documents.select(F.lit("c").alias("channel"), F.col("doc_id").alias("timestamp"), text.alias("text")))
+    return found.select(F.col("timestamp").alias("doc_id"), "kind", "value", "valid")
+
+
 INDEX = DOCUMENTS + """,
 tok AS (SELECT channel, "timestamp", regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM m),
 idx AS (SELECT term, channel, "timestamp", length, count(*) AS tf FROM (

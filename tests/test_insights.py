@@ -108,3 +108,27 @@ def test_rank_equals_a_dense_solution(spark):
 def test_reply_links(market):
     rows = {tuple(r) for r in importance.reply_links(*market).collect()}
     assert rows == {("pim", "ruben", 1), ("olga", "ruben", 1), ("tally", "ruben", 1)}
+
+
+def test_bank_numbers_and_addresses(message_table):
+    texts = {
+        "1": "send to GB82 WEST 1234 5698 7654 32, thanks",
+        "2": "or GB82WEST12345698765433",
+        "3": "host 2001:db8::ff00:42:8329 at 12:30:45",
+        "4": "host 1:2:3:4:5:6:7:8, not 1:2:3:4:5:6:7",
+        "5": "card 4111 1111 1111 1111, code AB12",
+        "6": "NL91 ABNA 0417 1643 00 and card 4111-1111-1111-1112",
+    }
+    df = message_table(*[{"timestamp": i, "text": t} for i, t in texts.items()], {"timestamp": "7", "text": None})
+    got = sorted((r.timestamp, r.kind, r.value, r.valid) for r in privacy.findings(df).collect())
+    assert got == [
+        ("1", "iban", "GB82 WEST 1234 5698 7654 32", True),
+        ("2", "iban", "GB82WEST12345698765433", False),
+        ("3", "ipv6", "2001:db8::ff00:42:8329", True),
+        ("4", "ipv6", "1:2:3:4:5:6:7:8", True),
+        ("5", "card", "4111 1111 1111 1111", True),
+        ("6", "card", "4111-1111-1111-1112", False),
+        ("6", "iban", "NL91 ABNA 0417 1643 00", True),
+    ]
+    masked = [r[0] for r in df.orderBy("timestamp").select(privacy.redact(F.col("text"))).collect()]
+    assert masked[0] == "send to [IBAN], thanks" and masked[2] == "host [IPV6] at 12:30:45"
