@@ -8,6 +8,8 @@ rows without a date, are kept like any other.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,17 +20,20 @@ from palaver.operators import clean, threads
 KEY = ["channel", "timestamp"]
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, order: str = "seq") -> StreamingQuery:
+def ingest(stream: DataFrame, path: str, checkpoint: str, order: str = "seq", key: Sequence[str] = KEY) -> StreamingQuery:
     """Append messages not yet stored; a replayed micro-batch adds nothing twice.
 
+    ``key`` tells messages apart. Where a source gives several messages of a channel one id, a column
+    with the source's own number joins it; the id stays in the key, since the month goes by it.
+
     The month is that of the id, so copies of a message share it whatever their
     labels say; messages dated by label alone are filed under ``unknown``.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        distinct = clean.first_seen(clean.with_ids(batch), order=(order,))
+        distinct = clean.first_seen(clean.with_ids(batch), key, (order,))
         month = times.month_key(times.id_datetime(F.col("timestamp")))
-        merge(distinct.withColumn("month", month), path, KEY, "month")
+        merge(distinct.withColumn("month", month), path, key, "month")
 
     return _for_each_batch(stream, save, checkpoint)
 
@@ -49,7 +54,7 @@ def ingest_replies(stream: DataFrame, path: str, checkpoint: str, order: tuple[s
     return _for_each_batch(stream, save, checkpoint)
 
 
-def merge(batch: DataFrame, path: str, key: list[str], partition: str) -> None:
+def merge(batch: DataFrame, path: str, key: Sequence[str], partition: str) -> None:
     """Append the rows whose key the table lacks. Only partitions present in the batch are read.
 
     The partition is a function of the key, so equal keys meet in the same one.
@@ -60,7 +65,7 @@ def merge(batch: DataFrame, path: str, key: list[str], partition: str) -> None:
         batch.limit(0).write.mode("append").partitionBy(partition).parquet(path)  # makes the folder
         touched = batch.select(partition).distinct()  # prunes the partitions read, at run time
         stored = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
-        new = batch.join(stored.select(*key), key, "left_anti").select(*batch.columns)
+        new = batch.join(stored.select(*key), list(key), "left_anti").select(*batch.columns)
         new.write.mode("append").partitionBy(partition).parquet(path)
     finally:
         batch.unpersist()

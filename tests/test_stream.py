@@ -216,3 +216,12 @@ def test_run_broken_off_between_batches(spark, feed, monkeypatch):
     assert stream_run.committed(spark, path, "other", ddl).count() == 0
     stream_run.finish_run(spark, path, "other", "t2")
     assert stream_run.saved_progress(spark, path, "other").count() == 0
+
+
+def test_events_that_share_an_id_are_told_apart_by_their_number(feed):
+    feed.add({"timestamp": micros(3), "text": "a", "seq": 0}, {"timestamp": micros(3), "text": "b", "seq": 2}, {"timestamp": micros(3), "text": "A", "seq": 1})
+    feed.add({"timestamp": micros(3), "text": "B", "seq": 3}, {"timestamp": micros(3), "text": "c", "seq": 4})
+    for state in ("state", "again"):
+        numbered = feed.read().selectExpr("*", "shiftright(seq, 1) AS event")
+        stream.ingest(numbered, f"{feed.base}/messages", f"{feed.base}/{state}", key=[*stream.KEY, "event"]).awaitTermination()
+        assert texts(feed.stored()) == ["a", "b", "c"]
