@@ -20,32 +20,33 @@ from palaver.streaming.ingest import KEY, _for_each_batch, merge
 _THREAD = ["channel", "parent_ts"]
 
 
-def ingest_within(stream: DataFrame, path: str, checkpoint: str, delay: str, order: str = "seq") -> StreamingQuery:
+def ingest_within(stream: DataFrame, path: str, checkpoint: str, delay: str, order: str = "seq", key: Sequence[str] = KEY) -> StreamingQuery:
     """Distinct messages below ``path/kept``, those behind the watermark below ``path/late``.
 
     A message is late if its time lies ``delay`` or more before the newest one of the micro-batches up to the last
     but one and no copy of it has been kept. Of copies in a micro-batch the first in ``order`` is kept. Keys are
     remembered for the delay only; rows without a date cannot be late and are compared with the table. Kept and late rows
-    together have every message that came in.
+    together have every message that came in. ``key`` as in :func:`palaver.streaming.ingest.ingest`.
     """
+    key = list(key)
     # one source feeds both branches: what came in, and what the state lets pass
     named = clean.with_ids(stream).withColumn("moment", times.id_datetime(F.col("timestamp")))
-    new = named.filter("moment IS NOT NULL").withWatermark("moment", delay).dropDuplicatesWithinWatermark(KEY)
+    new = named.filter("moment IS NOT NULL").withWatermark("moment", delay).dropDuplicatesWithinWatermark(key)
     both = named.withColumn("passed", F.lit(False)).unionByName(new.withColumn("passed", F.lit(True)))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             # a micro-batch can repeat a key with another first copy in the state than by the order
-            seen = clean.first_seen(batch.filter("NOT passed"), KEY, (order,)).withColumn("month", times.month_key(F.col("moment")))
-            passed = batch.filter("passed OR moment IS NULL").select(*KEY).distinct()
-            kept = seen.join(passed, KEY, "left_semi").drop("passed", "moment")
-            merge(kept, f"{path}/kept", KEY, "month")
+            seen = clean.first_seen(batch.filter("NOT passed"), key, (order,)).withColumn("month", times.month_key(F.col("moment")))
+            passed = batch.filter("passed OR moment IS NULL").select(*key).distinct()
+            kept = seen.join(passed, key, "left_semi").drop("passed", "moment")
+            merge(kept, f"{path}/kept", key, "month")
             rest = seen.filter("moment IS NOT NULL").drop("passed", "moment")
             stored = batch.sparkSession.read.schema(rest.schema).parquet(f"{path}/kept")
             touched = rest.select("month").distinct()
-            late = rest.join(stored.join(touched, "month", "left_semi").select(*KEY), KEY, "left_anti")
-            merge(late, f"{path}/late", KEY, "month")
+            late = rest.join(stored.join(touched, "month", "left_semi").select(*key), key, "left_anti")
+            merge(late, f"{path}/late", key, "month")
         finally:
             batch.unpersist()
 
@@ -85,14 +86,15 @@ def heartbeat(spark: SparkSession, schema: str, **columns) -> DataFrame:
     return spark.range(1).select(*[F.lit(columns.get(f.name)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def day_counters(stream: DataFrame, path: str, checkpoint: str, delay: str) -> StreamingQuery:
+def day_counters(stream: DataFrame, path: str, checkpoint: str, delay: str, key: Sequence[str] = KEY) -> StreamingQuery:
     """Count and largest id per channel and day of an overlapping stream, appended below ``path`` when a day is over.
 
     Two stateful operators in a chain: copies go, then the rest is counted by day. Days still open are
     in the state alone: see :func:`open_days`. Undated and late messages are not counted.
     """
+    key = list(key)
     named = clean.with_ids(stream).withColumn("moment", times.id_datetime(F.col("timestamp")))
-    new = named.filter("moment IS NOT NULL").withWatermark("moment", delay).dropDuplicatesWithinWatermark(KEY)
+    new = named.filter("moment IS NOT NULL").withWatermark("moment", delay).dropDuplicatesWithinWatermark(key)
     days = new.groupBy("channel", F.window("moment", "1 day")).agg(F.max("timestamp").alias("last_message_ts"), F.count(F.lit(1)).alias("message_count"))
 
     def save(batch: DataFrame, batch_id: int) -> None:

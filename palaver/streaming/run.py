@@ -8,6 +8,8 @@ How much a batch reads is the source's choice (``maxFilesPerTrigger``, ``maxByte
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,18 +25,20 @@ _BATCH = "batch bigint"
 
 
 def start_run(
-    stream: DataFrame, path: str, checkpoint: str, export_id: str, updated_at: str, workspace: str = "", fmt: str = "json", order: str = "seq"
+    stream: DataFrame, path: str, checkpoint: str, export_id: str, updated_at: str, workspace: str = "", fmt: str = "json", order: str = "seq",
+    key: Sequence[str] = KEY,
 ) -> StreamingQuery:
     """Messages below ``path/messages``, progress below ``path/progress``, each by run and micro-batch.
 
-    Channels stay ``in_progress`` until :func:`finish_run`. A message already committed is not taken again.
+    Channels stay ``in_progress`` until :func:`finish_run`. A message already committed is not taken again;
+    ``key`` tells messages apart, as in :func:`palaver.streaming.ingest.ingest`.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        distinct = clean.first_seen(clean.with_ids(batch), order=(order,))
+        distinct = clean.first_seen(clean.with_ids(batch), key, (order,))
         before = committed(spark, path, export_id, batch.schema, batch_id)
-        new = distinct.join(before.select(*KEY), KEY, "left_anti").select(*batch.columns)
+        new = distinct.join(before.select(*key), list(key), "left_anti").select(*batch.columns)
         folder = f"{path}/messages/run={export_id}/batch={batch_id}"
         new.write.mode("overwrite").parquet(folder)
         saved = progress_ops.high_water(spark.read.schema(batch.schema).parquet(folder))

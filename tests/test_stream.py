@@ -225,3 +225,36 @@ def test_events_that_share_an_id_are_told_apart_by_their_number(feed):
         numbered = feed.read().selectExpr("*", "shiftright(seq, 1) AS event")
         stream.ingest(numbered, f"{feed.base}/messages", f"{feed.base}/{state}", key=[*stream.KEY, "event"]).awaitTermination()
         assert texts(feed.stored()) == ["a", "b", "c"]
+
+
+def shared_ids(feed):
+    """Five events of one channel and microsecond, the first two read twice; their number joins the key."""
+    feed.add({"timestamp": micros(3), "text": "a", "seq": 0}, {"timestamp": micros(3), "text": "b", "seq": 2}, {"timestamp": micros(3), "text": "A", "seq": 1})
+    feed.add({"timestamp": micros(3), "text": "B", "seq": 3}, {"timestamp": micros(3), "text": "c", "seq": 4})
+    feed.add({"timestamp": micros(9), "text": "d", "seq": 6})
+    feed.add({"timestamp": micros(3), "text": "e", "seq": 8}, {"timestamp": micros(3), "text": "C", "seq": 5})
+    return feed.read().selectExpr("*", "shiftright(seq, 1) AS event"), [*stream.KEY, "event"]
+
+
+def test_late_events_that_share_an_id(feed):
+    numbered, key = shared_ids(feed)
+    step = lambda: event_time.ingest_within(numbered, f"{feed.base}/m", f"{feed.base}/state", "2 days", key=key)
+    assert run_of(feed, step, "m/kept", "m/late") == [["a", "b", "c", "d", "e"], []]
+    feed.add({"timestamp": micros(3), "text": "f", "seq": 10}, {"timestamp": micros(3), "text": "E", "seq": 9})
+    assert run_of(feed, step, "m/kept", "m/late") == [["a", "b", "c", "d", "e"], ["f"]]
+
+
+def test_run_of_events_that_share_an_id(spark, feed):
+    numbered, key = shared_ids(feed)
+    stream_run.start_run(numbered, f"{feed.base}/run", f"{feed.base}/state", "r", "t1", key=key).awaitTermination()
+    assert texts(stream_run.committed(spark, f"{feed.base}/run", "r", MESSAGES)) == ["a", "b", "c", "d", "e"]
+    saved = progress.latest(stream_run.saved_progress(spark, f"{feed.base}/run", "r").filter("channel IS NOT NULL"))
+    assert [(r.last_message_ts, r.message_count) for r in saved.collect()] == [(micros(9), 5)]
+
+
+def test_day_counts_of_events_that_share_an_id(spark, feed):
+    numbered, key = shared_ids(feed)
+    event_time.day_counters(numbered, f"{feed.base}/days", f"{feed.base}/state", "7 days", key=key).awaitTermination()
+    closed = event_time.read_batches(spark, f"{feed.base}/days", "channel string, day date, last_message_ts string, message_count bigint")
+    found = event_time.counted(closed, event_time.open_days(spark, f"{feed.base}/state"))
+    assert [(r.last_message_ts, r.message_count) for r in found.collect()] == [(micros(9), 5)]
