@@ -18,6 +18,7 @@ from palaver.functions import times
 from palaver.operators import clean, threads
 
 KEY = ["channel", "timestamp"]
+FILE_ROWS = 250_000  # rows of a file, about
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, order: str = "seq", key: Sequence[str] = KEY) -> StreamingQuery:
@@ -66,7 +67,11 @@ def merge(batch: DataFrame, path: str, key: Sequence[str], partition: str) -> No
         touched = batch.select(partition).distinct()  # prunes the partitions read, at run time
         stored = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
         new = batch.join(stored.select(*key), list(key), "left_anti").select(*batch.columns)
-        new.write.mode("append").partitionBy(partition).parquet(path)
+        # one file for a small partition, however many tasks there are; a large one is cut by key
+        sizes = batch.groupBy(partition).agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files"))
+        slot = F.pmod(F.xxhash64(*key), F.coalesce("_files", F.lit(1)))
+        dealt = new.join(sizes, partition, "left").repartition(partition, slot).drop("_files")
+        dealt.write.mode("append").partitionBy(partition).parquet(path)
     finally:
         batch.unpersist()
 

@@ -3,8 +3,10 @@ import time
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from palaver.functions import times
 from palaver.operators import progress
 from palaver.schema import MESSAGES
 from palaver.streaming import event_time
@@ -279,3 +281,19 @@ def test_a_part_of_the_feed_is_one_micro_batch_of_many_files(spark, message_tabl
     step = feed.writeStream.foreachBatch(lambda batch, _: sizes.append((batch.count(), batch.rdd.getNumPartitions() > 1)))
     step.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert [n for n, _ in sizes] == [100, 1, 0, 59] and sizes[0][1]
+
+
+def test_small_months_are_one_file_each(spark, message_table, tmp_path, monkeypatch):
+    rows = [{"timestamp": str(1_704_067_200_000_000 + day * 86_400_000_000), "text": str(day)} for day in range(180)]
+    # dealt over eight tasks, every month would be a file in each; inside a stream tasks are not merged by size
+    monkeypatch.setattr(stream, "FILE_ROWS", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    batch = message_table(*rows).repartition(8).withColumn("month", times.month_key(times.id_datetime(F.col("timestamp"))))
+    stream.merge(batch, f"{tmp_path}/small", stream.KEY, "month")
+    monkeypatch.setattr(stream, "FILE_ROWS", 5)
+    stream.merge(batch, f"{tmp_path}/cut", stream.KEY, "month")
+    for name, least, most in (("small", 6, 6), ("cut", 12, 48)):
+        stored = spark.read.parquet(f"{tmp_path}/{name}")
+        assert texts(stored) == sorted(str(day) for day in range(180))
+        assert least <= stored.select(F.input_file_name()).distinct().count() <= most
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
