@@ -5,10 +5,12 @@ documents it hides and the figures to be taken off. The table ``versions`` says
 count: its newest version is written last and as one file, so readers see an addition whole or not
 at all and a broken write leaves files that nobody reads. One writer at a time.
 
-``postings`` has a row per term and document, in term order, and one with an empty term per document,
-whose figures are those of the collection. Documents of like length share a block; ``blocks`` holds for each
-term and block how many documents there are, the highest frequency and the shortest length. These bound any
-score in the block, so a ranking scores only blocks that can hold one of the best.
+``postings`` has a row per term and document and one with an empty term per document, whose figures are those
+of the collection. Every file is in term order. Documents are dealt to parts and numbered in them; a part is written
+by one task as one file, so only texts are exchanged, never postings. ``removed`` has a bit per document, 64 to a row.
+Documents of like length share a block; ``blocks`` holds for each term and block how many documents there are, the
+highest frequency and the shortest length, in rows that add up. These bound any score in the block, so a ranking
+scores only blocks that can hold one of the best.
 """
 
 from __future__ import annotations
@@ -16,20 +18,29 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.operators import word_batches
 from palaver.operators.search_index import B, DOCUMENT, K1, tokens
 
-POSTINGS = "term string, block bigint, channel string, timestamp string, tf bigint, length int, positions array<int>"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
+
+POSTINGS = "term string, block bigint, part int, doc int, channel string, timestamp string, tf bigint, length int, positions array<int>"
 BLOCKS = "of string, term string, block bigint, n bigint, total bigint, max_tf bigint, min_length int"
-REMOVED = "of string, channel string, timestamp string"
+REMOVED = "of string, part int, word int, bits bigint"
 VERSIONS = "version bigint, segment string, added boolean, n bigint"
 
 _EVERY = ""  # the term every document has
 _BANDS = 16  # blocks of one slice per doubling of the length
+_PART_DOCUMENTS, _PART_BYTES = 4096, 8 << 20  # of a part, about
+_ORDER = ["term", "block", "doc"]
 _MARGIN = 1e-6  # scores are compared after rounding
 
 
@@ -55,9 +66,17 @@ def _live(spark: SparkSession, path: str, of: Sequence[str] | None = None) -> Da
     """Postings with their segment, without removed documents."""
     known = _segments(spark, path)
     added = [s for s, a, _ in known if a and (of is None or s in of)]
-    removed = _read(spark, path, "removed", REMOVED, [s for s, a, _ in known if not a]).filter(F.col("of").isin(added))
-    gone = removed.select(F.col("of").alias("segment"), *DOCUMENT)
-    return _read(spark, path, "postings", POSTINGS, added).join(gone, ["segment", *DOCUMENT], "left_anti")
+    found, removals = _read(spark, path, "postings", POSTINGS, added), [s for s, a, _ in known if not a]
+    if not removals:  # an empty table in memory has no size that Spark would know, and the join would exchange postings
+        return found
+    return _marked(found, _read(spark, path, "removed", REMOVED, removals).filter(F.col("of").isin(added)), "left_anti")
+
+
+def _marked(found: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """Postings whose document's bit is set (``left_semi``) or not (``left_anti``)."""
+    bits = marks.select(F.col("of").alias("_of"), F.col("part").alias("_part"), F.col("word").alias("_word"), "bits")
+    same = (F.col("segment") == F.col("_of")) & (F.col("part") == F.col("_part")) & (F.shiftright("doc", 6) == F.col("_word"))
+    return found.join(bits, same & (F.getbit("bits", F.col("doc").bitwiseAND(63)) == 1), how)
 
 
 def _figures(spark: SparkSession, path: str) -> DataFrame:
@@ -91,47 +110,83 @@ def collection(spark: SparkSession, path: str) -> DataFrame:
 # --- writing ---
 
 
-def _document_postings(messages: DataFrame, slices: int) -> DataFrame:
-    """Postings of whole messages without an exchange: the words of a row are sorted in it and cut where they change."""
-    words = messages.select(*DOCUMENT, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    placed = words.select(
-        *DOCUMENT,
-        F.size("words").alias("length"),
-        F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("at")))).alias("sorted"),
-    )
-    places = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(F.array().cast("array<int>"))
-    first = F.filter(places, lambda i: (i == 0) | (F.get("sorted", i)["term"] != F.get("sorted", i - 1)["term"]))
-    cut = placed.select("*", F.concat(first, F.array("length")).alias("cuts"))
-
-    def posting(start: Column, i: Column) -> Column:
-        end = F.get("cuts", i + 1)
-        positions = F.transform(F.slice("sorted", start + 1, end - start), lambda w: w["at"])
-        return F.struct(F.get("sorted", start)["term"].alias("term"), (end - start).cast("bigint").alias("tf"), positions.alias("positions"))
-
-    every = F.struct(F.lit(_EVERY).alias("term"), F.lit(0).cast("bigint").alias("tf"), F.array().cast("array<int>").alias("positions"))
-    listed = F.concat(F.array(every), F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), posting))
-    slot = F.pmod(F.xxhash64(*DOCUMENT), F.lit(slices))
-    block = (F.log2(F.col("length") + 1) * _BANDS).cast("bigint") * slices + slot
-    return cut.select(block.alias("block"), *DOCUMENT, "length", F.explode(listed).alias("p")).select(
-        "p.term", "block", *DOCUMENT, "p.tf", "length", "p.positions"
-    )
+def _document_postings(messages: DataFrame, slices: int, parts: int) -> DataFrame:
+    """Postings of whole messages, dealt to ``parts`` tasks; only the texts are exchanged."""
+    part = F.pmod(F.xxhash64(*DOCUMENT), F.lit(parts)).cast("int")
+    dealt = messages.select(*DOCUMENT, "text", part.alias("part")).repartitionById(parts, F.col("part"))
+    words = dealt.select(*DOCUMENT, "part", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    block = (F.log2(F.size("words") + 1) * _BANDS).cast("bigint") * slices + F.col("part") % slices
+    return words.select(block.alias("block"), "part", *DOCUMENT, "words").mapInArrow(_postings_of, POSTINGS)
+
+
+def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents are numbered in the order they come to the task that writes them."""
+    seen = 0
+    for batch in batches:
+        for run in word_batches.runs(batch):
+            n = run.num_rows
+            terms, row, ends, places, lengths = word_batches.postings(run)
+            rows = np.concatenate([np.arange(n), row])  # those of the empty term first
+            take = pa.array(rows)
+            offsets = np.concatenate([np.zeros(n, np.int64), ends])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array([_EVERY] * n, terms.type), terms]),
+                    run.column("block").take(take),
+                    run.column("part").take(take),
+                    pa.array(rows + seen, pa.int32()),
+                    *[run.column(c).take(take) for c in DOCUMENT],
+                    pa.array(np.diff(offsets), pa.int64()),
+                    pa.array(lengths[rows], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32())),
+                ],
+                [c.split()[0] for c in POSTINGS.split(", ")],
+            )
+            seen += n
 
 
 def _write_segment(spark: SparkSession, found: DataFrame, path: str) -> tuple[str, bool, int]:
     name = "a" + uuid.uuid4().hex
-    order = ["term", "block", *DOCUMENT]
-    found.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings/segment={name}")
-    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings/segment={name}")
-    figures = stored.groupBy(F.lit(name).alias("of"), "term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length")
-    )
-    _write_figures(figures, path, name)
+    found.sortWithinPartitions(*_ORDER).write.parquet(f"{path}/postings/segment={name}")
+    _write_figures(_read(spark, path, "postings", POSTINGS, [name]), path, name, 1)
     n = _read(spark, path, "blocks", BLOCKS, [name]).filter(F.col("term") == _EVERY).agg(F.sum("n")).first()[0]
     return name, True, n or 0
 
 
-def _write_figures(figures: DataFrame, path: str, name: str) -> None:
-    figures.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks/segment={name}")
+def _write_figures(found: DataFrame, path: str, name: str, sign: int) -> None:
+    """Figures of postings as they lie in their files: terms and blocks are together there, so nothing is exchanged.
+
+    A term and block in several files or batches has a row for each.
+    """
+
+    # a segment travels as its place in this list, not as its name in every row
+    names = [s for s, _, _ in _segments(found.sparkSession, path)] + [name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _figures_of(batch, names, sign)
+
+    of = F.array_position(F.lit(names), F.col("segment")).cast("int") - 1
+    figures = found.select(of.alias("of"), "term", "block", "length", "tf").mapInArrow(run, BLOCKS)
+    figures.sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks/segment={name}")
+
+
+def _figures_of(batch: pa.RecordBatch, names: Sequence[str], sign: int) -> pa.RecordBatch:
+    of, block, tf, length = (batch.column(c).to_numpy() for c in ("of", "block", "tf", "length"))
+    term = batch.column("term").dictionary_encode().indices.to_numpy()
+    same = (of[1:] == of[:-1]) & (term[1:] == term[:-1]) & (block[1:] == block[:-1])
+    first = np.append(0, np.flatnonzero(~same) + 1)
+    n, total = np.diff(np.append(first, len(of))), np.add.reduceat(length.astype(np.int64), first)
+    bounds = [pa.array(np.maximum.reduceat(tf, first), pa.int64()), pa.array(np.minimum.reduceat(length, first), pa.int32())]
+    if sign < 0:  # what is taken off changes no bound
+        bounds = [pa.nulls(len(first), b.type) for b in bounds]
+    take = pa.array(first)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names).take(pa.array(of[first])), *[batch.column(c).take(take) for c in ("term", "block")],
+         pa.array(sign * n, pa.int64()), pa.array(sign * total, pa.int64()), *bounds],
+        [c.split()[0] for c in BLOCKS.split(", ")],
+    )
 
 
 def _write_removal(spark: SparkSession, path: str, keys: DataFrame) -> list[tuple[str, bool, int]]:
@@ -139,13 +194,13 @@ def _write_removal(spark: SparkSession, path: str, keys: DataFrame) -> list[tupl
     name = "r" + uuid.uuid4().hex
     keys = keys.select(*DOCUMENT).distinct()
     there = _live(spark, path).filter(F.col("term") == _EVERY).join(keys, DOCUMENT, "left_semi")
-    there.select(F.col("segment").alias("of"), *DOCUMENT).write.parquet(f"{path}/removed/segment={name}")
-    gone = _read(spark, path, "removed", REMOVED, [name]).select(F.col("of").alias("segment"), *DOCUMENT)
+    bit = F.expr("shiftleft(1L, doc & 63)")
+    marks = there.groupBy(F.col("segment").alias("of"), "part", F.shiftright("doc", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marks.write.parquet(f"{path}/removed/segment={name}")
+    gone = _read(spark, path, "removed", REMOVED, [name])
     if gone.isEmpty():
         return []
-    lost = _live(spark, path).join(gone, ["segment", *DOCUMENT], "left_semi")
-    figures = lost.groupBy(F.col("segment").alias("of"), "term", "block").agg((-F.count(F.lit(1))).alias("n"), (-F.sum("length")).alias("total"))
-    _write_figures(figures.select("*", F.lit(None).cast("bigint").alias("max_tf"), F.lit(None).cast("int").alias("min_length")), path, name)
+    _write_figures(_marked(_live(spark, path), gone, "left_semi"), path, name, -1)
     return [(name, False, 0)]
 
 
@@ -159,8 +214,10 @@ def _commit(spark: SparkSession, path: str, segments: Sequence[tuple[str, bool,
 def append(messages: DataFrame, path: str, block_size: int = 1024) -> None:
     """Add distinct messages. Documents the index has already are replaced in the same version."""
     spark = messages.sparkSession
-    slices = max(1, messages.count() // (block_size * _BANDS))
-    segment = _write_segment(spark, _document_postings(messages, slices), path)
+    n, size = messages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    slices = max(1, n // (block_size * _BANDS))
+    parts = slices * max(1, math.ceil(max(n / _PART_DOCUMENTS, size / _PART_BYTES) / slices))
+    segment = _write_segment(spark, _document_postings(messages, slices, parts), path)
     new = _read(spark, path, "postings", POSTINGS, [segment[0]]).filter(F.col("term") == _EVERY)
     removal = _write_removal(spark, path, new)
     _commit(spark, path, [*_segments(spark, path), *removal, segment])
@@ -188,7 +245,14 @@ def merge(spark: SparkSession, path: str, fan_in: int = 4) -> int:
     old = next((names for _, names in sorted(tiers.items()) if len(names) >= fan_in), [])
     if not old:
         return 0
-    segment = _write_segment(spark, _live(spark, path, old).select(*[c.split()[0] for c in POSTINGS.split(", ")]), path)
+    live = _live(spark, path, old)
+    # parts of the old segments get numbers of their own; files are sorted where they are read, without an exchange
+    parts = live.filter(F.col("term") == _EVERY).groupBy("segment").agg(F.max("part")).collect()
+    first, before = F.lit(0), 0
+    for of, last in sorted(map(tuple, parts)):
+        first, before = F.when(F.col("segment") == of, F.lit(before)).otherwise(first), before + last + 1
+    columns = [c.split()[0] for c in POSTINGS.split(", ")]
+    segment = _write_segment(spark, live.withColumn("part", F.col("part") + first).select(*columns), path)
     kept = [s for s in known if s[0] not in old]
     if not any(added for _, added, _ in kept):
         kept = []  # removals are about segments that are no more

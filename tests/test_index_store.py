@@ -122,3 +122,45 @@ def test_empty_index(spark, tmp_path):
 def test_lookup_reads_by_term(spark, grown):
     plan = store.postings(spark, grown[0]).filter(F.col("term") == "bell")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,bell)" in plan
+
+
+def test_no_posting_is_exchanged(spark, messages, tmp_path, monkeypatch):
+    """Texts are exchanged once; postings are not, neither for an addition, a replacement, a removal nor a merge."""
+    plans = []
+    write = store._write_segment, store._write_figures
+
+    def seen(name, found):
+        plans.append((name, found._jdf.queryExecution().executedPlan().toString()))
+
+    def segment(session, found, path):
+        seen("segment", found)
+        return write[0](session, found, path)
+
+    def figures(found, path, name, sign):
+        seen("figures", found)
+        return write[1](found, path, name, sign)
+
+    monkeypatch.setattr(store, "_write_segment", segment)
+    monkeypatch.setattr(store, "_write_figures", figures)
+    path = str(tmp_path / "index")
+    for low, high in ((0, 100), (80, 180), (180, 300)):
+        store.append(part(messages, low, high), path, 8)
+    store.remove(part(messages, 0, 10), path)
+    assert store.merge(spark, path, 3) == 3
+    added = [p for name, p in plans[:-2] if name == "segment"]
+    assert len(added) == 3 and all(p.count("Exchange") == 1 and "text" in p for p in added)
+    others = [p for name, p in plans if name == "figures"] + [plans[-2][1]]
+    assert all(not [line for line in p.splitlines() if "Exchange" in line and "BroadcastExchange" not in line] for p in others)
+
+
+def test_removals_name_documents_by_bits(spark, tmp_path):
+    """All bits of a row of 64, the sign bit included, and more documents than one row has."""
+    rows = [("c", f"{i:04}", f"word{i} all") for i in range(200)]
+    messages = spark.createDataFrame(rows, "channel string, timestamp string, text string")
+    path = str(tmp_path / "index")
+    store.append(messages, path)
+    for number in range(3):
+        store.remove(messages.filter(F.col("timestamp").cast("int") % 4 == number), path)
+    left = {r[1] for r in rows if int(r[1]) % 4 == 3}
+    assert {r.timestamp for r in store.documents(spark, path).collect()} == left
+    assert store.term_statistics(spark, path).filter("term = 'all'").first().df == len(left) == store.collection(spark, path).first().n
