@@ -8,9 +8,10 @@ Weights are whole numbers and ties go to the smaller label, so runs agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.operators import word_batches
 from palaver.operators.search_index import DOCUMENT, tokens
 from palaver.session import shared_folder
 
@@ -28,11 +29,11 @@ def vocabulary(messages: DataFrame, least: int = 3, share: float = 0.2) -> DataF
 
     ``score`` is TF-IDF over the whole table. Single characters are no words here.
     """
-    words = messages.select(F.sort_array(F.filter(tokens(F.col("text")), lambda w: F.length(w) > 1)).alias("words"))
-    # in order, a word is new to its message where it differs from the one before
-    met = F.transform("words", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (w != F.get("words", i - 1))).alias("new")))
-    listed = words.select(F.explode(met).alias("w")).select("w.*")
-    counted = listed.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_if("new").alias("df"))
+    # filters are on the text: one on the words would cut them out of it a second time
+    words = messages.filter("text IS NOT NULL").select(F.filter(tokens(F.col("text")), lambda w: F.length(w) > 1).alias("words"))
+    # a batch of messages is counted in its task; only its different words are exchanged
+    listed = words.mapInArrow(word_batches.by_run(word_batches.term_counts), "term string, tf bigint, df bigint")
+    counted = listed.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     n = messages.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     kept = counted.filter((F.col("df") >= least) & (F.col("df") <= share * n))
     return kept.withColumn("score", F.round(F.col("tf") * F.ln(n / F.col("df")), 6))
@@ -40,15 +41,10 @@ def vocabulary(messages: DataFrame, least: int = 3, share: float = 0.2) -> DataF
 
 def neighbours(messages: DataFrame, reach: int = REACH) -> DataFrame:
     """``a, b, n`` with ``a < b``: how often two different words stand at most ``reach`` places apart."""
-    words = messages.select(tokens(F.col("text")).alias("words")).filter(F.size("words") > 1)
+    words = messages.filter("text IS NOT NULL").select(tokens(F.col("text")).alias("words"))
 
-    def apart(d: Column) -> Column:
-        near = F.arrays_zip(F.slice("words", F.lit(1), F.size("words") - d).alias("x"), F.slice("words", d + 1, F.size("words")).alias("y"))
-        return F.filter(near, lambda p: p["x"] != p["y"])
-
-    distances = words.select("words", F.explode(F.sequence(F.lit(1), F.least(F.lit(reach), F.size("words") - 1))).alias("d"))
-    pairs = distances.select(F.explode(apart(F.col("d"))).alias("p"))
-    return pairs.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = words.mapInArrow(word_batches.by_run(word_batches.pair_counts, reach=reach), "a string, b string, n bigint")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def graph(pairs: DataFrame, terms: DataFrame, least: int = 3, information: float = 1.0) -> DataFrame:
@@ -114,8 +110,9 @@ def topics(messages: DataFrame, least: int = 3, share: float = 0.2, reach: int =
 
 def message_topics(messages: DataFrame, found: DataFrame) -> DataFrame:
     """``channel, timestamp, topic, hits``: the topic with most words in a message, ties by name; messages without any have none."""
-    words = messages.select(*DOCUMENT, F.explode(tokens(F.col("text"))).alias("term"))
-    hits = words.groupBy(*DOCUMENT, "term").agg(F.count(F.lit(1)).alias("n")).join(found.select("term", "topic"), "term")
+    words = messages.filter("text IS NOT NULL").select(*DOCUMENT, tokens(F.col("text")).alias("words"))
+    counted = words.mapInArrow(word_batches.by_run(word_batches.row_counts), "channel string, timestamp string, term string, n bigint")
+    hits = counted.join(found.select("term", "topic"), "term")
     per_topic = hits.groupBy(*DOCUMENT, "topic").agg(F.sum("n").alias("hits"))
     best = per_topic.groupBy(*DOCUMENT).agg(F.min(F.struct((-F.col("hits")).alias("h"), "topic")).alias("best"))
     return best.select(*DOCUMENT, "best.topic", (-F.col("best.h")).alias("hits"))

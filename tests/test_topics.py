@@ -64,3 +64,17 @@ def test_ties_and_nothing(spark, message_table):
     best = topics.leading(topics.topics(planted(message_table), share=0.5), k=2)
     assert [r["count"] for r in best.groupBy("topic").count().collect()] == [2, 2, 2]
     assert best.filter((F.col("rank") == 1) & (F.col("term") != F.col("topic"))).isEmpty()
+
+
+def test_words_and_pairs_are_counted_before_the_exchange(spark):
+    """Copies of one text cost the exchange a batch's different words and pairs, not every word."""
+    from palaver.operators import topics
+
+    messages = spark.createDataFrame([("c", str(i), "one two two three") for i in range(500)], "channel string, timestamp string, text string").coalesce(1)
+    plans = {}
+    for name, df in (("terms", topics.vocabulary(messages, share=1.0)), ("pairs", topics.neighbours(messages))):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("MapInArrow" in p and "Generate" not in p for p in plans.values())
+    assert {(r.term, r.tf, r.df) for r in topics.vocabulary(messages, share=1.0).collect()} == {("one", 500, 500), ("two", 1000, 500), ("three", 500, 500)}
+    pairs = {(r.a, r.b): r.n for r in topics.neighbours(messages).collect()}
+    assert pairs == {("one", "two"): 1000, ("one", "three"): 500, ("three", "two"): 1000}
