@@ -83,34 +83,42 @@ def nest(parents: DataFrame, replies: DataFrame, page_size: int = PAGE_SIZE) ->
     exceeds a page and a huge thread spreads over many tasks. A thread below the page
     size is one row with page 0; longer ones continue in further rows, each naming
     its parent. Parents without replies keep an empty array; replies of other messages
-    fall away in the join.
+    fall away in the join. First pages meet their parents by thread, where each has one row; only
+    further pages, which are few, are exchanged with the parents by page.
     """
-    paged = replies.withColumn("page", F.floor(F.col("pos") / page_size).cast("bigint"))
+    place = F.coalesce("pos", F.lit(0))
+    first = (place >= 0) & (place < page_size)
     keys = [*_THREAD, "page"]
-    arrays = paged.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", message_struct().alias("m")))).alias("_sorted")
-    ).select(*keys, F.transform("_sorted", lambda r: r["m"]).alias("replies"))
-
-    sizes = paged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    totals = sizes.groupBy(*_THREAD).agg(F.sum("_n").alias("n_replies"))
+    item = F.struct("pos", message_struct().alias("m"))
     heads = parents.select(
         "channel",
         F.col("timestamp").alias("parent_ts"),
         message_struct().alias("parent"),
         "reply_count",
     )
-    expected = heads.join(totals, _THREAD, "left").join(sizes.drop("_n"), _THREAD, "left")
-    return (
-        expected.withColumn("page", F.coalesce("page", F.lit(0).cast("bigint")))
-        .join(arrays, keys, "left")
-        .select(
-            "channel",
-            "parent",
-            "page",
-            F.coalesce("replies", F.array().cast(arrays.schema["replies"].dataType)).alias("replies"),
-            declared_or_found(F.col("reply_count"), F.coalesce("n_replies", F.lit(0))).alias("reply_count"),
-            F.coalesce("n_replies", F.lit(0).cast("bigint")).alias("n_replies"),
-        )
+    opening = replies.filter(first).groupBy(*_THREAD).agg(F.collect_list(item).alias("_items"), F.count(F.lit(1)).alias("_n"))
+    further = replies.filter(~first).withColumn("page", F.floor(place / page_size).cast("bigint"))
+    more = further.groupBy(*_THREAD).agg(F.count(F.lit(1)).alias("_more"))
+    total = (F.coalesce("_n", F.lit(0)) + F.coalesce("_more", F.lit(0))).cast("bigint").alias("n_replies")
+    counted = heads.join(opening, _THREAD, "left").join(more, _THREAD, "left").select("*", total)
+    # a thread whose replies all lie on further pages has no page 0
+    start = counted.filter("_n IS NOT NULL OR _more IS NULL").withColumn("page", F.lit(0).cast("bigint"))
+
+    sizes = replies.groupBy(*_THREAD).agg(F.count(F.lit(1)).alias("n_replies"))
+    pages = heads.join(further.select(*keys).distinct(), _THREAD).join(sizes, _THREAD)
+    rest = pages.join(further.groupBy(*keys).agg(F.collect_list(item).alias("_items")), keys)
+
+    columns = ["channel", "parent", "page", "_items", "reply_count", "n_replies"]
+    rows = start.select(*columns).unionByName(rest.select(*columns))
+    listed = F.transform(F.sort_array("_items"), lambda r: r["m"])
+    empty = F.array().cast(rows.select(listed.alias("r")).schema["r"].dataType)
+    return rows.select(
+        "channel",
+        "parent",
+        "page",
+        F.coalesce(listed, empty).alias("replies"),
+        declared_or_found(F.col("reply_count"), F.col("n_replies")).alias("reply_count"),
+        "n_replies",
     )
 
 

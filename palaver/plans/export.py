@@ -133,7 +133,8 @@ def channel_export(
     """Export of the requested channels (all when none are named, a table of names in name order).
 
     ``store`` writes the cleaned messages and their replies once to the shared folder.
-    Sinks that render documents read them several times, each time other columns.
+    Sinks that render documents read them several times, each time other columns. In an export of everything
+    the stored replies may include some of other messages.
 
     ``export_id`` names the run that ``progress`` is read for (all its runs when not given);
     of repeated saves the newest counts. With ``progress`` completed channels are left out and the rest is resumed:
@@ -155,10 +156,12 @@ def channel_export(
         kept = stored(kept, "messages")
     if not expand_threads:
         found = replies.filter(F.lit(False))
-    elif store:
-        found = stored(threads.thread_replies(replies, threads.parents(kept), exclude_bots), "replies")
     else:
         found = clean.exclude_bots(replies) if exclude_bots else replies
+        if store:
+            # Whoever reads replies joins them with their parents, so a join before is worth its exchange only if it drops many.
+            narrowed = channels is not None or progress is not None or exported is not None or oldest or newest
+            found = stored(threads.thread_replies(found, threads.parents(kept)) if narrowed else found, "replies")
     if isinstance(channels, DataFrame):
         meta = channels_found(channels)
     else:

@@ -7,7 +7,7 @@ reads of a channel would; the first copy must win.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import html as h
@@ -82,24 +82,11 @@ def threads_from_orders(orders: DataFrame, lineitem: DataFrame, shift: int = ORD
 
     Without the shift all ids have 15 digits and are undated.
     """
-    stamp = micros(F.col("o_orderdate")) + shift + F.col("o_orderkey")
-    top = as_messages(
-        orders,
-        channel=F.col("o_orderpriority"),
-        seq=F.col("o_orderkey"),
-        user=F.concat(F.lit("c"), F.col("o_custkey")),
-        text=F.col("o_orderstatus"),
-        timestamp=stamp.cast("string"),
-        is_bot=F.col("o_orderstatus") == "P",
-    )
-    lines = first_lines(lineitem).join(
-        orders.select(
-            F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", stamp.cast("string").alias("parent_ts")
-        ),
-        "l_orderkey",
-    )
+    stamp = (micros(F.col("o_orderdate")) + shift + F.col("o_orderkey")).cast("string")
+    # Dealt by order, the lines are made distinct, counted and joined with their order without a further exchange.
+    lines = lineitem.repartition("l_orderkey")
     found = as_replies(
-        lines,
+        first_lines(lines).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", stamp.alias("parent_ts")), "l_orderkey"),
         channel=F.col("o_orderpriority"),
         parent_ts=F.col("parent_ts"),
         pos=F.col("l_linenumber"),
@@ -108,7 +95,20 @@ def threads_from_orders(orders: DataFrame, lineitem: DataFrame, shift: int = ORD
         timestamp=(micros(F.col("l_shipdate")) + shift).cast("string"),
         is_bot=F.col("l_linestatus") == "F",
     )
-    return threads.with_reply_counts(top, found), found
+    # The count of a thread is the sum over the orders of its id: the numbers of lines suffice, not the lines.
+    counts = lines.select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n"))
+    counted = orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("_id", stamp)
+    top = as_messages(
+        counted.withColumn("_n", F.sum("_n").over(Window.partitionBy("o_orderpriority", "_id"))),
+        channel=F.col("o_orderpriority"),
+        seq=F.col("o_orderkey"),
+        user=F.concat(F.lit("c"), F.col("o_custkey")),
+        text=F.col("o_orderstatus"),
+        timestamp=F.col("_id"),
+        is_bot=F.col("o_orderstatus") == "P",
+        reply_count=F.when(F.col("o_orderpriority").isNotNull() & F.col("_id").isNotNull(), F.coalesce("_n", F.lit(0))).otherwise(0),
+    )
+    return top, found
 
 
 def first_lines(lineitem: DataFrame) -> DataFrame:

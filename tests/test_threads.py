@@ -1,8 +1,12 @@
+import re
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from palaver.operators import summary, threads
 from palaver.plans import export as plans
+from palaver.sources import adapters
 
 
 def users(replies):
@@ -117,3 +121,42 @@ def test_channel_metadata(spark, message_table):
     kept = {r["channel"]: (r["status"], r["export_started"], r["total_messages"]) for r in summary.attach_channels(totals, meta, True).collect()}
     assert kept == {"a": ("completed", "s1", 1), "empty": ("completed", "", 0)}
     assert summary.attach_channels(totals, meta, False).count() == 1
+
+
+def test_replies_without_a_place_or_before_the_first_page(message_table, reply_table):
+    """Replies without a place stand on page 0, negative places on a page of their own; none is lost."""
+    parents = message_table(*[{"timestamp": t, "reply_count": 1} for t in "12"])
+    odd = [{"parent_ts": "1", "pos": p, "user": f"u{p}"} for p in (None, -1, 3, 12)] + [{"parent_ts": "2", "pos": None, "user": "uNone"}]
+    rows = threads.nest(parents, reply_table(*odd), 10).collect()
+    found = sorted((r["parent"]["timestamp"], r["page"], users(r["replies"]), r["n_replies"]) for r in rows)
+    assert found == [("1", -1, ["u-1"], 4), ("1", 0, ["uNone", "u3"], 4), ("1", 1, ["u12"], 4), ("2", 0, ["uNone"], 1)]
+
+
+def test_lines_are_dealt_by_order_only(spark):
+    """Lines made distinct stay where they meet their order; dealt by line number they would be exchanged again."""
+    for df in _order_threads(spark):
+        dealt = re.findall(r"hashpartitioning\((.*?)\)", df._jdf.queryExecution().executedPlan().toString())
+        assert any(keys.startswith("l_orderkey") for keys in dealt) and not any("l_linenumber" in keys for keys in dealt)
+
+
+def test_counts_of_orders_that_share_an_id(spark):
+    """An order listed twice counts its lines twice; a null key or date has no replies."""
+    top, replies = _order_threads(spark)
+    declared = sorted((r["seq"] or 0, r["timestamp"] or "", r["reply_count"]) for r in top.collect())
+    assert [(k, n) for k, _, n in declared] == [(0, 0), (1, 3), (2, 0), (3, 2), (3, 2), (4, 0)]
+    assert replies.count() == 2 + 1 + 2 + 1
+
+
+def _order_threads(spark):
+    day = datetime(1995, 1, 2)
+    orders = [(1, day), (2, day), (3, day), (3, day), (4, None), (None, day)]
+    frame = spark.createDataFrame(
+        [(k, 7, "O", d, "1-URGENT") for k, d in orders],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string",
+    )
+    lines = [(1, 1), (1, 1), (1, 2), (1, None), (3, 1), (4, 1), (9, 1)]
+    lineitem = spark.createDataFrame(
+        [(k, 10 + i, 20 + i, n, 1.0, 2.0, "F", day + timedelta(days=i)) for i, (k, n) in enumerate(lines)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_linestatus string, l_shipdate timestamp",
+    )
+    return adapters.threads_from_orders(frame, lineitem)
