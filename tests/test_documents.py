@@ -194,6 +194,15 @@ def test_xml_rows(export, spark, tmp_path):
     assert sorted((r["parent"]["user"], r["reply_count"]) for r in back.collect()) == [("olga", 1), ("ruben", 3)]
 
 
+def test_compressed_rows(export, spark, tmp_path):
+    row_sink.write_json_lines(export, f"{tmp_path}/json", compression="gzip")
+    row_sink.write_xml(export, f"{tmp_path}/xml", compression="gzip")
+    files = [name for folder, _, names in os.walk(tmp_path) for name in names if "threads" in folder and name.startswith("part-")]
+    assert files and all(name.endswith(".gz") for name in files)
+    assert spark.read.text(f"{tmp_path}/json/threads").count() == 2
+    assert spark.read.format("xml").option("rowTag", "thread").load(f"{tmp_path}/xml/threads").count() == 2
+
+
 def test_a_second_export_keeps_the_first(spark, message_table, reply_table, tmp_path):
     def write(month, *rows):
         monthly = plans.channel_export(message_table(*rows), reply_table(), channels=["general"]).dated("w", "d")
