@@ -33,6 +33,7 @@ def run_export(
     workspace: str = "",
     mode: str = "anti_join",
     exported: DataFrame | None = None,
+    compression: str = "none",
 ) -> Export:
     """Export what run ``export_id`` has not exported yet, then append its progress.
 
@@ -40,7 +41,7 @@ def run_export(
     appended to. Channels the run has completed are left out, threads it has expanded too, and
     ``mode`` says how the rest of a channel is told apart (see :func:`channel_export`): by the ids the run
     has exported, or those of the table ``exported`` where one is given, or by the high-water mark, which loses
-    older history. A run without channels and without saved progress is refused.
+    older history. A run without channels and without saved progress is refused. ``compression`` is that of the JSON lines.
     """
     spark = messages.sparkSession
     saved, expanded, done = _saved(spark, progress_path, export_id)
@@ -54,7 +55,7 @@ def run_export(
         mode=mode if known else "anti_join", store=True,
     ).without_expanded(expanded).dated(workspace, updated_at)
     if fmt == "json_lines":
-        rows.write_json_lines(export, path)
+        rows.write_json_lines(export, path, compression=compression)
     else:
         WRITERS[fmt](export, path, split_by=split_by)
     _append(export, saved, progress_path, export_id, updated_at, fmt)
