@@ -62,16 +62,15 @@ def label_datetime(label: Column, captured_at: Column | None = None) -> Column:
             .when(label.rlike(_DAY_MONTH), reordered(_DAY_MONTH, "$1 $2 ", year))
             .when(label.rlike(_RELATIVE) | label.rlike(_BARE_CLOCK), F.date_sub(captured, back).cast("string"))
         )
+    # Day and clock stand in the result once each: repeated, they make code too long to be compiled.
+    return F.when(label.rlike("[0-9]"), F.concat(day, F.lit(" "), _clock(label)).try_cast("timestamp"))
+
+
+def _clock(label: Column) -> Column:
+    """The clock of a label by 24 hours, midnight without one, null for one that 12 hours do not have."""
     clock = F.regexp_extract(label, _CLOCK, 0)
-    return F.when(
-        label.rlike("[0-9]"),
-        F.when(clock == "", day.try_cast("timestamp"))
-        .when(
-            F.lower(clock).endswith("m"),
-            F.try_to_timestamp(F.concat(day, F.lit(" "), F.upper(clock)), F.lit("yyyy-MM-dd h:mm[:ss][ ]a")),
-        )
-        .otherwise(F.concat(day, F.lit(" "), clock).try_cast("timestamp")),
-    )
+    twelve = F.try_to_timestamp(F.upper(clock), F.lit("h:mm[:ss][ ]a"))
+    return F.when(clock == "", F.lit("00:00")).when(F.lower(clock).endswith("m"), F.date_format(twelve, "HH:mm:ss")).otherwise(clock)
 
 
 def message_datetime(timestamp: Column, label: Column, captured_at: Column | None = None) -> Column:

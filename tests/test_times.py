@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.functions import text, times
+from palaver.queries import QUERIES
 
 
 @pytest.mark.parametrize(
@@ -84,3 +85,18 @@ def test_weekday_labels_name_no_day(spark):
     df = spark.createDataFrame([(i, label, datetime(2024, 7, 4, 8)) for i, label in enumerate(labels)], "i int, label string, captured timestamp")
     rows = df.select("i", times.label_datetime(F.col("label"), F.col("captured")).alias("t")).orderBy("i").collect()
     assert [r.t and r.t.day for r in rows] == [None, 4, 3, 4, 4]
+
+
+def test_labels_are_dealt_before_they_are_parsed(spark, tmp_path):
+    """One file is read by one task; without an exchange that task would parse every label."""
+    events = "SELECT id AS event_id, timestamp_seconds(1704067200 + id) AS ts, id AS user_id, 'view' AS event_type, 1.0D AS value, '{}' AS props FROM range(64)"
+    spark.sql(events).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    dates = QUERIES["label_dates"](spark, str(tmp_path))
+    assert "REPARTITION_BY_COL" in dates._jdf.queryExecution().executedPlan().toString()
+    assert dates.filter("moment IS NOT NULL").count() == 64 * 8
+
+
+@pytest.mark.parametrize("label, hour", [("Mar 7, 2024 12:05 AM", 0), ("Mar 7, 2024 12:05pm", 12), ("Mar 7, 2024 13:05 pm", None), ("Mar 7, 2024 0:05 am", None), ("Mar 7, 2024 24:05", None)])
+def test_hours_of_a_clock(spark, label, hour):
+    found = spark.range(1).select(times.label_datetime(F.lit(label)).alias("t")).first().t
+    assert found == (None if hour is None else datetime(2024, 3, 7, hour, 5))
