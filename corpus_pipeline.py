@@ -20,22 +20,29 @@ PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model
 # Every stage but the first depends on hashes or models SQL does not have.
 ORACLE_SQL = None
 
+# Rows of an Arrow batch: documents are long, and a batch of the usual 10,000 lies whole in the executor's memory and in the worker's.
+BATCH_ROWS = 1000
+
+
+def _configure(spark: SparkSession) -> None:
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is named with a margin; without letters or a clear language they go."""
-    configure(spark)
+    _configure(spark)
     return langid.keep_identified(docs, langid.sample_dictionaries(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each class of near duplicates."""
-    configure(spark)
+    _configure(spark)
     return minhash.keep_one(docs, minhash.near_duplicates(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that a smaller document has; ``n_chars`` follows the text."""
-    configure(spark)
+    _configure(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = substrings.remove_repeats(docs, carry=others)
     cut = cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("bigint"))
@@ -44,13 +51,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    configure(spark)
+    _configure(spark)
     return mixing.repeat_rows(docs, mixing.mix(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces, and whether these decode to the text."""
-    configure(spark)
+    _configure(spark)
     # equal rows are interchangeable; numbered, each copy the mix takes has skips of its own
     n, copy = spare(docs, "_n"), spare(docs, "_copy")
     numbered = docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias(n))

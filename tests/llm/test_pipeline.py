@@ -87,3 +87,15 @@ def test_null_ids_and_clashing_columns(spark, tmp_path):
     after = found.collect()
     assert all(r.lossless and r._language in ("own0", "own1") for r in after)
     assert any(r.doc_id is None for r in after) and {r.source for r in after if r.doc_id is None} >= {"s0", "s1", "s2", "s9"}
+
+
+def test_batches_of_long_documents_are_small(spark):
+    """10,000 documents of the usual length would lie whole in the executor's memory and in the worker's."""
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        corpus_pipeline.cut_repeats(spark, docs, "")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == corpus_pipeline.BATCH_ROWS <= 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
