@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import operator
 import re
 import sys
 import types
@@ -102,9 +101,8 @@ class Tokens:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode())
-        self.sizes_a, self.sizes_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
-        self.barred = [name + "|" for name in self.names]
+        self.sizes_a, self.sizes_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        self.names = names(max(len(self.bytes_a), len(self.bytes_b)))
 
     def _same_merges(self, file: dict) -> tiktoken.Encoding | None:
         """The same merges as ranks, where the file has nothing beside them: a quicker way for plain texts."""
@@ -176,37 +174,49 @@ def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int
     return out
 
 
-def links(groups: list[tuple[int, int, int, int]], ends_a: list[int], ends_b: list[int], a: Sequence, b: Sequence) -> tuple[list, list]:
+def closing(groups: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The last token of every group in both tokenizations."""
+    i, j, m, n = np.fromiter(itertools.chain.from_iterable(groups), np.int64, 4 * len(groups)).reshape(-1, 4).T
+    size = np.where(n > 0, 1, m)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(np.where(n > 0, i + m - 1, i), size) + step, np.repeat(np.where(n > 0, j + n - 1, j), size) + step
+
+
+def links(groups: list[tuple[int, int, int, int]], ends_a: Sequence, ends_b: Sequence, a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
     """The members of ``a`` and ``b`` (one for each token) that are linked: pairs along the runs, stairs within the other groups."""
-    left: list = []
-    right: list = []
-    for i, j, m, n in groups:
-        if not n:
-            left += a[i : i + m]
-            right += b[j : j + m]
-            continue
-        left.append(a[i])
-        right.append(b[j])
-        for _ in range(m + n - 2):
-            if ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-            left.append(a[i])
-            right.append(b[j])
-    return left, right
-
-
-def spelled(groups: list[tuple[int, int, int, int]], a: Sequence[int], b: Sequence[int], names: list[str], barred: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group; ``names`` has each id as text, ``barred`` with a bar behind it."""
-    of_a, of_b, out = list(map(barred.__getitem__, a)), list(map(names.__getitem__, b)), []
-    for i, j, m, n in groups:
-        if not n:
-            out += map(operator.add, of_a[i : i + m], of_b[j : j + m])
-        else:
-            left = of_a[i] if m == 1 else names[a[i]] + "," + of_a[i + 1] if m == 2 else ",".join(map(names.__getitem__, a[i : i + m])) + "|"
-            out.append(left + (of_b[j] if n == 1 else of_b[j] + "," + of_b[j + 1] if n == 2 else ",".join(of_b[j : j + n])))
-    return ";".join(out)
+    return _linked(closing(groups), np.asarray(ends_a), np.asarray(ends_b), np.asarray(a), np.asarray(b))
+
+
+def _linked(last: tuple[np.ndarray, np.ndarray], ends_a: np.ndarray, ends_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every end within a group is a step of its stairs, and the common end closes it: a link for each end."""
+    last_a, last_b = last
+    inner = np.ones(len(b), bool)
+    inner[last_b] = False
+    order = np.argsort(np.concatenate([ends_a, ends_b[inner]]), kind="stable")  # two rising runs
+    of_a = order < len(a)
+    moves_b = ~of_a
+    moves_b[np.flatnonzero(of_a)[last_a]] = True
+    return a[np.cumsum(of_a) - of_a], b[np.cumsum(moves_b) - moves_b]
+
+
+def names(n: int) -> np.ndarray:
+    """The numbers below ``n`` as rows of zero bytes, decimal digits and a comma."""
+    width = len(str(n))
+    return np.array([str(i).rjust(width, "\0") + "," for i in range(n)], f"S{width + 1}").view(np.uint8).reshape(n, -1)
+
+
+def spelled(last: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, names: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group, whose last tokens are given."""
+    last_a, last_b = last
+    rows = np.empty((len(a) + len(b), names.shape[1]), np.uint8)
+    # a token stands behind all of its own tokenization before it and those of the other up to its group
+    size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    at_a = np.arange(len(a)) + np.repeat(last_b + 1 - size_b, size_a)
+    at_b = np.arange(len(b)) + np.repeat(last_a + 1, size_b)
+    for ids, at, ends, sign in ((a, at_a, last_a, b"|"), (b, at_b, last_b, b";")):
+        rows[at] = names[ids]
+        rows[at[ends], -1] = ord(sign)
+    return rows[rows > 0].tobytes()[:-1]
 
 
 class _Chunk:
@@ -218,17 +228,18 @@ class _Chunk:
         self.often: list[np.ndarray] = []  # and how often it has each
 
     def add(self, doc_id: int | None, a: list[int], b: list[int], tokens: Tokens) -> None:
-        ends_a = list(itertools.accumulate(map(tokens.sizes_a.__getitem__, a)))
-        ends_b = list(itertools.accumulate(map(tokens.sizes_b.__getitem__, b)))
-        groups = align(ends_a, ends_b)
-        left, right = links(groups, ends_a, ends_b, a, b)
-        codes = np.sort(np.fromiter(left, np.int64, len(left)) << _PAIR_BITS | np.fromiter(right, np.int64, len(right)))
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(tokens.sizes_a[ids_a]), np.cumsum(tokens.sizes_b[ids_b])
+        groups = align(ends_a.tolist(), ends_b.tolist())
+        last = closing(groups)
+        left, right = _linked(last, ends_a, ends_b, ids_a, ids_b)
+        codes = np.sort(left << _PAIR_BITS | right)
         heads = np.flatnonzero(np.diff(codes, prepend=-1))
         self.codes.append(codes[heads])
         self.often.append(np.diff(heads, append=len(codes)))
-        digest = hashlib.sha256(spelled(groups, a, b, tokens.names, tokens.barred).encode()).hexdigest() if groups else ""
-        self.documents.append((doc_id, len(a), len(b), sum(1 if n else m for _, _, m, n in groups), len(left), digest))
-        self.size += 64 + (ends_a[-1] if ends_a else 0)
+        digest = hashlib.sha256(spelled(last, ids_a, ids_b, tokens.names)).hexdigest() if groups else ""
+        self.documents.append((doc_id, len(a), len(b), len(last[0]), len(left), digest))
+        self.size += 64 + (int(ends_a[-1]) if len(ends_a) else 0)
 
     def row(self, schema: pa.Schema) -> pa.RecordBatch:
         often = np.concatenate(self.often)

@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 import tokenizers
@@ -56,6 +57,21 @@ def test_long_runs_take_few_comparisons():
     assert Counted.compared < 250_000
 
 
+def test_groups_are_spelled_from_arrays():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        ends_a, ends_b = (np.array([i for i in range(1, n) if rng.random() < 0.6] + [n]) for _ in range(2))
+        ids_a, ids_b = (np.array([rng.choice((0, 9, 10, 4321, 50_000)) for _ in ends]) for ends in (ends_a, ends_b))
+        last = alignment.closing(alignment.align(ends_a.tolist(), ends_b.tolist()))
+        assert ends_a[last[0]].tolist() == ends_b[last[1]].tolist() == sorted({*ends_a.tolist()} & {*ends_b.tolist()})
+        groups, low = [], 0
+        for end in ends_a[last[0]]:
+            groups.append("|".join(",".join(str(i) for i, at in zip(ids, ends) if low < at <= end) for ids, ends in ((ids_a, ends_a), (ids_b, ends_b))))
+            low = end
+        assert alignment.spelled(last, ids_a, ids_b, alignment.names(50_001)) == ";".join(groups).encode()
+
+
 def oracle(rows):
     """Tokens by the two libraries, bytes by their vocabularies, every pair of tokens compared."""
     a = tokenizers.Tokenizer.from_file(BYTE_MODEL)
