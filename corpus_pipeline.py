@@ -23,6 +23,9 @@ ORACLE_SQL = None
 # Rows of an Arrow batch: documents are long, and a batch of the usual 10,000 lies whole in the executor's memory and in the worker's.
 BATCH_ROWS = 1000
 
+# Documents of a chunk in which repeats are looked for: its words lie in the worker's memory, beside an executor that earlier stages have filled.
+CHUNK_DOCS = 1024
+
 
 def _configure(spark: SparkSession) -> None:
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -44,7 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that a smaller document has; ``n_chars`` follows the text."""
     _configure(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = substrings.remove_repeats(docs, carry=others)
+    cut = substrings.remove_repeats(docs, chunk_docs=CHUNK_DOCS, carry=others)
     cut = cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("bigint"))
     return cut.select(*docs.columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -68,3 +69,11 @@ def byte_slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.Re
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def give_back() -> None:
+    """Return unused memory of a task's worker: the worker stays, and the next stage needs the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks
+    if trim is not None:
+        trim(0)

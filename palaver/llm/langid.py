@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import byte_slices, held_out, ship
+from palaver.llm.common import byte_slices, give_back, held_out, ship
 
 ship(__name__)
 
@@ -125,5 +125,6 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], min_margin:
             for part in byte_slices(batch, text, _SLICE):
                 found = [guess(t, own) for t in part.column(text).to_pylist()]
                 yield part.filter(pa.array([lang != UNDETERMINED and margin >= min_margin for lang, _, margin in found]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

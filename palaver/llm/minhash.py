@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.llm.common import arrow_schema, byte_slices, ship, stored
+from palaver.llm.common import arrow_schema, byte_slices, give_back, ship, stored
 from palaver.llm.graph import components
 from palaver.llm.wordhash import Words, mixed
 
@@ -169,6 +169,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 ]
                 lists = _lists(keys, np.diff(first) > 0).cast(schema.field("bands").type)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(copies, pa.binary()), lists], schema=schema)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
@@ -185,6 +186,7 @@ def element_sets(docs: DataFrame) -> DataFrame:
                 short = _lists(sketch(signatures(cells, first, SKETCH)), np.diff(first) > 0)
                 columns = [part.column("node"), lists.cast(schema.field("elements").type), short.cast(schema.field("sketch").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        give_back()
 
     return docs.mapInArrow(run, ELEMENTS)
 

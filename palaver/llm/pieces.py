@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from palaver.llm.common import arrow_schema, byte_slices, ship, taken_names
+from palaver.llm.common import arrow_schema, byte_slices, give_back, ship, taken_names
 
 ship(__name__)
 
@@ -406,7 +406,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
                 if check:
                     columns.append(pa.array([decode_ids(ids[a:b].tolist(), model.spelled) == (t or "") for a, b, t in zip(offsets, offsets[1:], texts)]))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-        pa.default_memory_pool().release_unused()  # the worker stays, other stages need the memory
+        give_back()
 
     return docs.select(*kept).mapInArrow(run, schema)
 

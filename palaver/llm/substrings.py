@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.llm.common import arrow_schema, ship
+from palaver.llm.common import arrow_schema, give_back, ship
 from palaver.llm.wordhash import Words
 
 ship(__name__)
@@ -75,15 +75,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_docs: int = 2048
         *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
     )
     plan = _Plan(window, bits)
-    sent = dealt.groupBy("chunk").applyInArrow(lambda own: plan.index(own), PACKED)
-    anchors = sent.groupBy("part").applyInArrow(lambda sent: plan.match_anchors(sent), PACKED)
-    windows = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lambda own, hits: plan.extend(own, hits), PACKED)
-    repeats = windows.groupBy("part").applyInArrow(lambda sent: plan.match_windows(sent), PACKED)
+    sent = dealt.groupBy("chunk").applyInArrow(lambda own: _lean(plan.index(own)), PACKED)
+    anchors = sent.groupBy("part").applyInArrow(lambda sent: _lean(plan.match_anchors(sent)), PACKED)
+    windows = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lambda own, hits: _lean(plan.extend(own, hits)), PACKED)
+    repeats = windows.groupBy("part").applyInArrow(lambda sent: _lean(plan.match_windows(sent)), PACKED)
     fields = [T.StructField(f"carry_{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
-    cut = dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(plan.cutter(arrow_schema(T.StructType(OWN)), len(carry), texts), T.StructType(OWN + fields))
+    cutter = plan.cutter(arrow_schema(T.StructType(OWN)), len(carry), texts)
+    cut = dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(lambda own, hits: _lean(cutter(own, hits)), T.StructType(OWN + fields))
     return cut.select(*[f.name for f in OWN], *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
 
 
+def _lean(result: pa.Table) -> pa.Table:
+    """A group's result, after what its work left over is given back."""
+    give_back()
+    return result
+
+
 def _packed(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [(), (), (), ()]
     types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
-from palaver.llm import langid, pieces
+import pyarrow as pa
+from palaver.llm import common, langid, pieces, substrings
 from test_minhash import brute as near_classes
 from test_mixing import brute_targets
 from test_substrings import brute as cut
@@ -99,3 +101,29 @@ def test_batches_of_long_documents_are_small(spark):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == corpus_pipeline.BATCH_ROWS <= 1000
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+
+
+def test_a_chunk_of_the_pipeline_is_small():
+    """Executors have a few hundred MB beside the memory that earlier stages filled, for all their workers."""
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(5000)}" for _ in range(550)) for _ in range(64)]
+    rows = corpus_pipeline.CHUNK_DOCS
+    chunk = pa.table({"chunk": [0] * rows, "doc_id": range(rows), "text": [text[i % 64] for i in range(rows)]})
+    tracemalloc.start()
+    substrings._Plan(50, 6).index(chunk)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_workers_give_memory_back():
+    def held():
+        with open("/proc/self/status") as file:
+            return next(int(line.split()[1]) for line in file if line.startswith("RssAnon"))
+
+    blocks = [bytes(40_000) for _ in range(6000)]
+    last = blocks.pop()
+    full = held()
+    del blocks
+    common.give_back()
+    assert len(last) and held() < full - 150_000
