@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -38,6 +39,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of tables that are no longer used; in a loop they add up until the driver collects garbage by itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of the documents no model may learn from; rows without an id are never learned from either."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.llm.common import arrow_schema, byte_slices, give_back, ship, stored
+from palaver.llm.common import arrow_schema, byte_slices, drop_shuffles, give_back, ship, stored
 from palaver.llm.graph import components
 from palaver.llm.wordhash import Words, mixed
 
@@ -257,7 +257,9 @@ def near_duplicates(docs: DataFrame, sketched: bool = True) -> DataFrame:
     edges = stored(similar(pairs, sets), "minhash-edges")
     left = members
     for turn in itertools.count():
+        drop_shuffles(docs.sparkSession)
         roots = components(edges)
+        drop_shuffles(docs.sparkSession)
         named = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = stored(named, "minhash-left")
         split = named.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("band")

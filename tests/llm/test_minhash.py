@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import time
 import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from palaver.llm import graph, minhash
+from palaver.llm import common, graph, minhash
 from palaver.llm.wordhash import Words
 
 
@@ -144,3 +145,23 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i % 70_000}" for i in range(120_000))
     docs = spark.createDataFrame([(5, long), (3, long + " end"), (9, long[: len(long) // 2])], "doc_id bigint, text string")
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {5: 3, 3: 3, 9: 9}
+
+
+def test_rounds_drop_their_shuffle_files(spark):
+    """Without a word to the driver they stay until it collects garbage by itself."""
+
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    common.drop_shuffles(spark)
+    time.sleep(2)
+    before = files()
+    edges = spark.range(500).selectExpr("id AS a", "id + 1 AS b")
+    graph.components(edges.filter("a % 50 > 0")).count()
+    held = files()
+    common.drop_shuffles(spark)
+    for _ in range(20):
+        time.sleep(1)
+        if files() - before < (held - before) // 4:
+            break
+    assert files() - before < (held - before) // 4
