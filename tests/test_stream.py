@@ -167,6 +167,22 @@ def test_replies_meet_their_parents_in_any_order(spark, message_table, reply_tab
         assert read("orphans") == ["6.1", "6.2", "no time"]
 
 
+def test_threads_wait_in_tables_that_follow_the_watermark(spark, message_table, reply_table, tmp_path):
+    """No row of a thread is held by a state store; months the watermark has passed are deleted, late parents find nothing."""
+    path, state = f"{tmp_path}/out", f"{tmp_path}/state"
+    first = [{"timestamp": "1704067200000000"}], [{"parent_ts": micros(3), "text": "early"}, {"parent_ts": "undated", "text": "no time"}]
+    then = [{"timestamp": "1717200000000000"}], [{"parent_ts": "1717200000000000", "text": "june"}, {"parent_ts": "1717200000000001", "text": "open"}]
+    late = [{"timestamp": micros(3)}], [{"parent_ts": micros(3), "text": "too late"}]
+    for number, (parents, replies) in enumerate((first, then, late)):
+        streams = replies_feed(spark, tmp_path, message_table, reply_table, [parents], [replies])
+        event_time.join_replies(*streams, path, state, "10 days").awaitTermination()
+        found = [texts(event_time.read_batches(spark, f"{path}/{name}", reply_table().schema)) for name in ("replies", "orphans")]
+        assert found == ([[], ["no time"]] if number == 0 else [["june"], ["early", "no time"]])
+    assert not os.path.exists(f"{state}/state")
+    months = {f for _, folders, _ in os.walk(f"{state}/threads/replies") for f in folders if f.startswith("_month=")}
+    assert months == {"_month=2024-06"}
+
+
 def test_counters_of_an_overlapping_stream(spark, feed):
     def run():
         event_time.day_counters(feed.read(), f"{feed.base}/days", f"{feed.base}/state", "1 day").awaitTermination()
