@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
@@ -30,7 +30,7 @@ def runs(batch: pa.RecordBatch, size: int = RUN) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def by_run(work: Callable[..., pa.RecordBatch], **options: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def by_run(work: Callable[..., pa.RecordBatch], **options: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work`` on every run of the batches of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +93,41 @@ def pair_counts(batch: pa.RecordBatch, reach: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([words.take(pa.array(a)), words.take(pa.array(b)), pa.array(n, pa.int64())], ["a", "b", "n"])
 
 
+def _numbered(batch: pa.RecordBatch, vocabulary: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every word in the vocabulary, -1 without one, and the row of each word."""
+    codes, words, row, _ = _coded(batch)
+    place = pc.fill_null(pc.index_in(words, value_set=vocabulary.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return place[codes], row
+
+
+def known_pairs(batch: pa.RecordBatch, reach: int, vocabulary: Broadcast) -> pa.RecordBatch:
+    """``pair, n``: as :func:`pair_counts`, of words of the sorted vocabulary alone; the places of both make one number."""
+    codes, row = _numbered(batch, vocabulary)
+    size, keys = len(vocabulary.value), []
+    for d in range(1, reach + 1):
+        x, y = codes[:-d], codes[d:]
+        kept = (row[:-d] == row[d:]) & (x != y) & (x >= 0) & (y >= 0)
+        x, y = x[kept], y[kept]
+        keys.append(np.minimum(x, y) * size + np.maximum(x, y))
+    key = np.sort(np.concatenate(keys))
+    first = changes(key)
+    return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.diff(np.append(first, len(key))), pa.int64())], ["pair", "n"])
+
+
+def topic_counts(batch: pa.RecordBatch, vocabulary: Broadcast, place: Broadcast, names: Broadcast) -> pa.RecordBatch:
+    """The columns beside the words, ``topic, n``: how many words of a row are of a topic; ``place`` is that of a word's topic among the names."""
+    codes, row = _numbered(batch, vocabulary)
+    kept = codes >= 0
+    size = max(len(names.value), 1)
+    key = np.sort(row[kept] * size + place.value[codes[kept]])
+    first = changes(key)
+    row, topic = np.divmod(key[first], size)
+    others = [c for c in batch.schema.names if c != "words"]
+    columns = [batch.column(c).take(pa.array(row)) for c in others]
+    n = np.diff(np.append(first, len(key)))
+    return pa.RecordBatch.from_arrays([*columns, names.value.take(pa.array(topic)), pa.array(n, pa.int64())], [*others, "topic", "n"])
+
+
 def row_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The columns beside the words, ``term, n``: how often a row has a word."""
     terms, row, ends, _, _ = postings(batch)

@@ -78,3 +78,38 @@ def test_words_and_pairs_are_counted_before_the_exchange(spark):
     assert {(r.term, r.tf, r.df) for r in topics.vocabulary(messages, share=1.0).collect()} == {("one", 500, 500), ("two", 1000, 500), ("three", 500, 500)}
     pairs = {(r.a, r.b): r.n for r in topics.neighbours(messages).collect()}
     assert pairs == {("one", "two"): 1000, ("one", "three"): 500, ("three", "two"): 1000}
+
+
+def test_pairs_are_exchanged_as_numbers(spark, message_table, monkeypatch):
+    """With and without a vocabulary that fits every task: the same topics, and no word in the exchange of pairs where it does."""
+    messages = planted(message_table)
+    messages = messages.unionByName(messages.limit(5).withColumn("text", F.concat("text", F.lit(" é ßß zz")))).repartition(3)
+    words = topics._numbers(topics.vocabulary(messages, share=0.5))
+    named = topics.graph(topics.neighbours(messages), topics.vocabulary(messages, share=0.5))
+    pairs = topics._known_neighbours(messages, topics.REACH, words)
+    assert dict(pairs.dtypes) == {"a": "bigint", "b": "bigint", "n": "bigint"}
+    ends = {(words[r.a].as_py(), words[r.b].as_py()) for r in pairs.collect()}
+    assert {(r.a, r.b) for r in named.collect()} <= ends and all(a < b for a, b in ends)
+    results = []
+    for sent in (topics.SENT, 3):
+        monkeypatch.setattr(topics, "SENT", sent)
+        found = topics.topics(messages, share=0.5)
+        results.append((sorted(found.collect()), sorted(topics.message_topics(messages, found).collect())))
+    assert results[0] == results[1] and results[0][0]
+
+
+def test_a_word_of_two_topics_counts_for_both(spark, message_table):
+    found = spark.createDataFrame([("aa", "x"), ("aa", "y"), ("bb", "y")], "term string, topic string")
+    messages = message_table({"timestamp": "1", "text": "aa bb cc"}, {"timestamp": "2", "text": "bb"}, {"timestamp": "2", "text": "aa aa"}, {"timestamp": "3", "text": "cc"})
+    assert sorted(topics.message_topics(messages, found).collect()) == [("general", "1", "y", 2), ("general", "2", "y", 3)]
+    assert sorted(topics.message_topics(messages, found.filter("topic = 'y' OR term = 'bb'")).collect()) == [("general", "1", "y", 2), ("general", "2", "y", 3)]
+
+
+def test_words_are_cut_out_once(spark, message_table):
+    messages = planted(message_table)
+    words = topics.cut(messages)
+    assert words.columns == ["channel", "timestamp", "words"] and words.count() == messages.count()
+    found = topics.topics(words, share=0.5)
+    assert "regexp_extract_all" not in topics.message_topics(words, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found.collect()) == sorted(topics.topics(messages, share=0.5).collect())
+    assert sorted(topics.message_topics(words, found).collect()) == sorted(topics.message_topics(messages, found).collect())
